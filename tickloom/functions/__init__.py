@@ -9,6 +9,7 @@ from tickloom.functions.expr import (
     time_literal,
     time_range,
     unset_first,
+    utc_date,
 )
 
 __all__ = [
@@ -20,4 +21,5 @@ __all__ = [
     "time_literal",
     "time_range",
     "unset_first",
+    "utc_date",
 ]

@@ -26,8 +26,11 @@ def json_struct(text: Column, schema: T.StructType) -> Column:
 
 
 def price(text: Column) -> Column:
-    """Text to double; NULL where it is no number, where a plain cast would end the job."""
-    return text.try_cast("double")
+    """Text to double; NULL where it is no number, where a plain cast would end the job.
+
+    The cast would also take Java's type suffix, as in 1.5f.
+    """
+    return F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text.try_cast("double"))
 
 
 def decimal_round(value: Column, scale: int) -> Column:
@@ -47,6 +50,11 @@ def time_literal(df: DataFrame, column: str, value: str | datetime | Column) ->
     return bound.cast(df.schema[column].dataType)
 
 
+def utc_date(time: Column) -> Column:
+    """The date of an instant in UTC, whatever the session's zone, for partition folders."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(time) / 86400).cast("int"))
+
+
 def time_range(
     df: DataFrame,
     column: str,
@@ -56,19 +64,19 @@ def time_range(
 ) -> DataFrame:
     """Rows with `start <= column <= end`; either bound may be left out.
 
-    `date_column` names a partition column holding the date of `column`: it gets the same
+    `date_column` names a partition column holding the UTC date of `column`: it gets the same
     bounds, so that whole partitions are skipped.
     """
     if start is not None:
         low = time_literal(df, column, start)
         df = df.where(F.col(column) >= low)
         if date_column:
-            df = df.where(F.col(date_column) >= F.to_date(low))
+            df = df.where(F.col(date_column) >= utc_date(low))
     if end is not None:
         high = time_literal(df, column, end)
         df = df.where(F.col(column) <= high)
         if date_column:
-            df = df.where(F.col(date_column) <= F.to_date(high))
+            df = df.where(F.col(date_column) <= utc_date(high))
     return df
 
 

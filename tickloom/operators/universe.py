@@ -14,10 +14,12 @@ def keep_symbols(rows: DataFrame, symbols: Iterable[str] = SYMBOLS) -> DataFrame
     return rows.where(F.col("symbol").isin(list(symbols)))
 
 
-def keep_listed(rows: DataFrame, listed: DataFrame) -> DataFrame:
+def keep_listed(rows: DataFrame, listed: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """Rows whose symbol occurs in a table.
 
-    No broadcast hint: Spark broadcasts the list if its size allows, else it joins by shuffle and
-    splits hot symbols.
+    The list is measured first: one that fits is broadcast, so that the rows stay where they are.
+    A larger one is joined by shuffle, where Spark splits hot symbols at run time.
     """
-    return rows.join(listed.select("symbol"), "symbol", "left_semi")
+    names = listed.select("symbol").where(F.col("symbol").isNotNull()).distinct()
+    size = names.agg(F.sum(F.octet_length("symbol") + 32)).first()[0] or 0
+    return rows.join(F.broadcast(names) if size <= broadcast_bytes else names, "symbol", "left_semi")

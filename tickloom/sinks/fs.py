@@ -13,38 +13,22 @@ def _open(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, jpath = _open(spark, path)
-    return fs.exists(jpath)
-
-
 def glob(spark: SparkSession, pattern: str) -> list[str]:
     fs, jpath = _open(spark, pattern)
     return sorted(status.getPath().toString() for status in fs.globStatus(jpath) or [])
 
 
-def create(spark: SparkSession, path: str, text: str = "") -> bool:
-    """Create a small file; False if it is there already."""
+def create(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if it is there already."""
     fs, jpath = _open(spark, path)
     fs.mkdirs(jpath.getParent())
-    if not fs.createNewFile(jpath):
-        return False
-    if text:
-        out = fs.create(jpath, True)
-        try:
-            out.writeUTF(text)
-        finally:
-            out.close()
-    return True
-
-
-def read(spark: SparkSession, path: str) -> str:
-    fs, jpath = _open(spark, path)
-    stream = fs.open(jpath)
-    try:
-        return stream.readUTF()
-    finally:
-        stream.close()
+    return fs.createNewFile(jpath)
+
+
+def marker(spark: SparkSession, folder: str, name: str) -> str | None:
+    """The value of a marker file `<name>=<value>` in a folder, if there is one."""
+    found = glob(spark, f"{folder}/{name}=*")
+    return found[0].rsplit("=", 1)[1] if found else None
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -1,16 +1,19 @@
 """Database tables: executors fill a staging table, then one transaction moves its rows.
 
-The driver sends two statements and sees no rows. A ledger row per version, written in the same
+The driver sends two statements and sees no rows. A ledger row per batch, written in the same
 transaction, makes a batch that is delivered again change nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.sinks import fs
+
 LEDGER = "applied_batches"
 
 
@@ -33,18 +36,27 @@ class JdbcTarget:
         }
 
 
-def append_sql(table: str, stage: str, columns: Sequence[str], version: int) -> list[str]:
-    """Add the staged rows unless the version has been applied to the table already."""
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """A name that stays with a checkpoint folder; batch numbers are unique under it."""
+    known = fs.marker(spark, checkpoint, "_id")
+    if known is None:
+        known = uuid.uuid4().hex
+        fs.create(spark, f"{checkpoint}/_id={known}")
+    return known
+
+
+def append_sql(table: str, stage: str, columns: Sequence[str], batch: str) -> list[str]:
+    """Add the staged rows unless the batch has been applied to the table already."""
     names = ", ".join(columns)
     return [
         f"INSERT INTO {table} ({names}) SELECT {names} FROM {stage} "
-        f"WHERE NOT EXISTS ({_applied(table, version)})",
-        _record(table, version),
+        f"WHERE NOT EXISTS ({_applied(table, batch)})",
+        _record(table, batch),
     ]
 
 
 def upsert_sql(
-    table: str, stage: str, columns: Sequence[str], keys: Sequence[str], version: int
+    table: str, stage: str, columns: Sequence[str], keys: Sequence[str], batch: str
 ) -> list[str]:
     """Insert the staged rows, or update those whose key is there, in one statement.
 
@@ -54,40 +66,40 @@ def upsert_sql(
     updates = ", ".join(f"{c} = EXCLUDED.{c}" for c in columns if c not in keys)
     return [
         f"INSERT INTO {table} ({names}) SELECT {names} FROM {stage} "
-        f"WHERE NOT EXISTS ({_applied(table, version)}) "
+        f"WHERE NOT EXISTS ({_applied(table, batch)}) "
         f"ON CONFLICT ({', '.join(keys)}) DO UPDATE SET {updates}",
-        _record(table, version),
+        _record(table, batch),
     ]
 
 
 def ledger_ddl() -> str:
     return (
         f"CREATE TABLE IF NOT EXISTS {LEDGER} "
-        "(target VARCHAR(200), version BIGINT, PRIMARY KEY (target, version))"
+        "(target VARCHAR(200), batch VARCHAR(100), PRIMARY KEY (target, batch))"
     )
 
 
-def _applied(table: str, version: int) -> str:
-    return f"SELECT 1 FROM {LEDGER} WHERE target = '{table}' AND version = {version}"
+def _applied(table: str, batch: str) -> str:
+    return f"SELECT 1 FROM {LEDGER} WHERE target = '{table}' AND batch = '{batch}'"
 
 
-def _record(table: str, version: int) -> str:
+def _record(table: str, batch: str) -> str:
     return (
-        f"INSERT INTO {LEDGER} (target, version) VALUES ('{table}', {version}) "
+        f"INSERT INTO {LEDGER} (target, batch) VALUES ('{table}', '{batch}') "
         "ON CONFLICT DO NOTHING"
     )
 
 
-def write_once(rows: DataFrame, target: JdbcTarget, table: str, version: int) -> None:
+def write_once(rows: DataFrame, target: JdbcTarget, table: str, batch: str) -> None:
     """Append a batch to a table without keys, once however often it is delivered."""
     stage = _stage(rows, target, table)
     run_in_transaction(
-        rows.sparkSession, target, [ledger_ddl(), *append_sql(table, stage, rows.columns, version)]
+        rows.sparkSession, target, [ledger_ddl(), *append_sql(table, stage, rows.columns, batch)]
     )
 
 
 def write_upsert(
-    rows: DataFrame, target: JdbcTarget, table: str, keys: Sequence[str], version: int
+    rows: DataFrame, target: JdbcTarget, table: str, keys: Sequence[str], batch: str
 ) -> None:
     """Bring a batch of keyed rows into a table; the batch written last wins.
 
@@ -95,7 +107,7 @@ def write_upsert(
     """
     rows = rows.dropna(subset=list(keys))
     stage = _stage(rows, target, table)
-    statements = upsert_sql(table, stage, rows.columns, keys, version)
+    statements = upsert_sql(table, stage, rows.columns, keys, batch)
     run_in_transaction(rows.sparkSession, target, [ledger_ddl(), *statements])
 
 

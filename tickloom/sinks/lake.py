@@ -2,10 +2,13 @@
 
 Layout of a table folder:
 
-    log/version=<v>/<partitions>/     one folder per micro-batch; writing it again replaces it
+    log/version=<v>/                  one folder per micro-batch; writing it again replaces it
     folded/upto=<v>/<partitions>/     the log up to v, folded into larger files by date
     epochs/<n>                        marker files: numbers given out to checkpoints
 
+A micro-batch is close in time already, so its few files are skipped by their own statistics;
+folders by date come with the fold.
+
 A version is one bigint made of the epoch and the batch number. An epoch belongs to a checkpoint:
 batch numbers start again at 0 with a new checkpoint, and the higher epoch makes its rows the
 newer ones. Readers use only folders whose write has ended (_SUCCESS).
@@ -14,12 +17,12 @@ newer ones. Readers use only folders whose write has ended (_SUCCESS).
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tickloom.functions import time_range
+from tickloom.functions import time_range, utc_date
 from tickloom.operators.latest import newest_version
 from tickloom.operators.parse import OK
 from tickloom.schema import AGGREGATE_KEY, AGGREGATES, STOCKS
@@ -34,44 +37,51 @@ def version_of(epoch: int, batch_id: int) -> int:
 
 def open_epoch(spark: SparkSession, checkpoint: str, table_path: str) -> int:
     """The epoch of a checkpoint folder; a folder that is new gets the next number of the table."""
-    marker = f"{checkpoint}/_epoch"
-    if fs.exists(spark, marker):
-        return int(fs.read(spark, marker))
+    known = fs.marker(spark, checkpoint, "_epoch")
+    if known is not None:
+        return int(known)
     taken = [int(p.rsplit("/", 1)[1]) for p in fs.glob(spark, f"{table_path}/epochs/*")]
     epoch = max(taken, default=-1) + 1
     while not fs.create(spark, f"{table_path}/epochs/{epoch}"):
         epoch += 1
-    fs.create(spark, marker, str(epoch))
+    fs.create(spark, f"{checkpoint}/_epoch={epoch}")
     return epoch
 
 
 @dataclass(frozen=True)
 class LakeTable:
-    """A table folder layout. `keys` are empty for an append-only table."""
+    """A table folder layout.
+
+    `time` is the column that ranges apply to and `date` the folder column made from it.
+    `keys` are empty for an append-only table.
+    """
 
     columns: T.StructType
     time: str
     date: str
     partitions: tuple[str, ...]
     keys: tuple[str, ...] = ()
-    extra: T.StructType = field(default_factory=T.StructType)
 
     @property
-    def _stored(self) -> T.StructType:
-        fields = [*self.columns.fields, *self.extra.fields, T.StructField(self.date, T.DateType())]
-        return T.StructType([*fields, T.StructField("version", T.LongType())])
+    def _logged_columns(self) -> T.StructType:
+        return T.StructType([*self.columns.fields, T.StructField("version", T.LongType())])
+
+    @property
+    def _folded_columns(self) -> T.StructType:
+        return T.StructType([*self._logged_columns.fields, T.StructField(self.date, T.DateType())])
 
     def write_batch(
         self, rows: DataFrame, path: str, version: int, files: int | None = None
     ) -> None:
         """Write one micro-batch, replacing what an earlier try of the same batch left.
 
-        `files` gathers a small batch into that many tasks.
+        `files` gathers a small batch into that many files.
         """
-        rows = rows.withColumn(self.date, F.to_date(self.time))
         if files:
             rows = rows.repartition(files)
-        _overwrite(rows, f"{path}/log/version={version}", self.partitions)
+        rows.select(self.columns.names).write.mode("overwrite").parquet(
+            f"{path}/log/version={version}"
+        )
 
     def read(
         self,
@@ -81,11 +91,12 @@ class LakeTable:
         end: str | datetime | None = None,
     ) -> DataFrame:
         """All rows in a time range with their version; of a keyed table the newest per key."""
-        upto, folded = self._folded(spark, path)
-        rows = time_range(
-            folded.unionByName(self._log(spark, path, upto)), self.time, start, end, self.date
-        )
-        return newest_version(rows.drop(self.date), self.keys) if self.keys else rows
+        folds = self._folds(spark, path)
+        tail = [v for v in self._versions(spark, path) if v > max(folds, default=-1)]
+        folded = time_range(self._folded(spark, path, folds), self.time, start, end, self.date)
+        logged = time_range(self._log(spark, path, tail), self.time, start, end)
+        rows = folded.drop(self.date).unionByName(logged)
+        return newest_version(rows, self.keys) if self.keys else rows
 
     def fold(self, spark: SparkSession, path: str) -> int | None:
         """Rewrite the log folders since the last fold as few files per date.
@@ -93,16 +104,22 @@ class LakeTable:
         Each logged row is rewritten once, however large the table is. A keyed table keeps the
         newest row per key of those folders. Returns the version it reaches.
         """
-        upto, _ = self._folded(spark, path)
-        versions = [v for v in self._logged(spark, path) if v > upto]
+        upto = max(self._folds(spark, path), default=-1)
+        versions = [v for v in self._versions(spark, path) if v > upto]
         if not versions:
             return None
-        rows = self._log(spark, path, upto)
+        rows = self._log(spark, path, versions)
         if self.keys:
             rows = newest_version(rows, self.keys)
+        rows = rows.withColumn(self.date, utc_date(F.col(self.time)))
         # Spark sizes the partitions at run time: small dates are joined, a large one is split.
-        rows = rows.hint("rebalance", *self.partitions)
-        _overwrite(rows, f"{path}/folded/upto={versions[-1]}", self.partitions)
+        (
+            rows.hint("rebalance", *self.partitions)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .partitionBy(*self.partitions)
+            .parquet(f"{path}/folded/upto={versions[-1]}")
+        )
         return versions[-1]
 
     def expire(self, spark: SparkSession, path: str) -> int:
@@ -110,47 +127,35 @@ class LakeTable:
 
         Those of the newest fold stay for readers that have planned on them.
         """
-        done = self._folds(spark, path)
-        if len(done) < 2:
+        folds = self._folds(spark, path)
+        if len(folds) < 2:
             return 0
-        old = [v for v in self._logged(spark, path) if v <= done[-2]]
+        old = [v for v in self._versions(spark, path) if v <= folds[-2]]
         for version in old:
             fs.delete(spark, f"{path}/log/version={version}")
         return len(old)
 
-    def _logged(self, spark: SparkSession, path: str) -> list[int]:
+    def _versions(self, spark: SparkSession, path: str) -> list[int]:
         return _complete(spark, f"{path}/log", "version")
 
     def _folds(self, spark: SparkSession, path: str) -> list[int]:
         return _complete(spark, f"{path}/folded", "upto")
 
-    def _log(self, spark: SparkSession, path: str, after: int) -> DataFrame:
-        folders = [f"version={v}" for v in self._logged(spark, path) if v > after]
-        return self._load(spark, f"{path}/log", folders)
-
-    def _folded(self, spark: SparkSession, path: str) -> tuple[int, DataFrame]:
-        done = self._folds(spark, path)
-        folders = [f"upto={v}" for v in done]
-        return max(done, default=-1), self._load(spark, f"{path}/folded", folders)
-
-    def _load(self, spark: SparkSession, base: str, folders: list[str]) -> DataFrame:
-        if not folders:
-            return spark.createDataFrame([], self._stored)
-        return (
-            spark.read.schema(self._stored)
-            .option("basePath", base)
-            .parquet(*(f"{base}/{f}" for f in folders))
-            .select(self._stored.names)
-        )
+    def _log(self, spark: SparkSession, path: str, versions: list[int]) -> DataFrame:
+        folders = [f"version={v}" for v in versions]
+        return _load(spark, f"{path}/log", folders, self._logged_columns)
+
+    def _folded(self, spark: SparkSession, path: str, folds: list[int]) -> DataFrame:
+        folders = [f"upto={v}" for v in folds]
+        return _load(spark, f"{path}/folded", folders, self._folded_columns)
 
 
-def _overwrite(rows: DataFrame, path: str, partitions: tuple[str, ...]) -> None:
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy(*partitions)
-        .parquet(path)
-    )
+def _load(spark: SparkSession, base: str, folders: list[str], columns: T.StructType) -> DataFrame:
+    if not folders:
+        return spark.createDataFrame([], columns)
+    paths = (f"{base}/{folder}" for folder in folders)
+    reader = spark.read.schema(columns).option("basePath", base)
+    return reader.parquet(*paths).select(columns.names)
 
 
 def _complete(spark: SparkSession, base: str, name: str) -> list[int]:
@@ -159,13 +164,16 @@ def _complete(spark: SparkSession, base: str, name: str) -> list[int]:
 
 
 STOCKS_TABLE = LakeTable(
-    columns=STOCKS,
+    columns=T.StructType(
+        [
+            *STOCKS.fields,
+            T.StructField("raw_value", T.BinaryType()),
+            T.StructField("fault", T.StringType()),
+        ]
+    ),
     time="timestamp",
     date="trade_date",
     partitions=("fault", "trade_date"),
-    extra=T.StructType(
-        [T.StructField("raw_value", T.BinaryType()), T.StructField("fault", T.StringType())]
-    ),
 )
 
 AGGREGATES_TABLE = LakeTable(

@@ -11,13 +11,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickloom.operators import accepted, drop_resent, parse_messages, window_aggregate
+from tickloom.operators import (
+    accepted,
+    drop_resent,
+    parse_messages,
+    quarantined,
+    window_aggregate,
+)
 from tickloom.schema import AGGREGATE_KEY, AGGREGATES, STOCKS
 from tickloom.session import ROCKSDB, session_conf
 from tickloom.sinks import (
     AGGREGATES_TABLE,
     STOCKS_TABLE,
     JdbcTarget,
+    checkpoint_id,
     open_epoch,
     version_of,
     write_once,
@@ -44,7 +51,7 @@ class PipelineConfig:
     dedup: bool = False
     keep_malformed: bool = False
     state_partitions: int | None = None
-    aggregate_files: int = 8
+    aggregate_files: int | None = 4
     jdbc: JdbcTarget | None = None
 
     @property
@@ -65,9 +72,10 @@ def start_pipeline(
 
 
 def start_raw(spark: SparkSession, parsed: DataFrame, config: PipelineConfig) -> StreamingQuery:
-    """Append every record to `stocks`; unusable messages go to its quarantine partitions.
+    """Append every record to `stocks`; unusable messages are kept there with their fault.
 
-    One write per batch serves both, so a batch is read and parsed once.
+    One write per batch serves both, so a batch is read and parsed once. With a database only the
+    unusable messages are kept in the folder.
     """
     checkpoint = f"{config.checkpoint}/raw"
     epoch = open_epoch(spark, checkpoint, config.stocks)
@@ -77,11 +85,17 @@ def start_raw(spark: SparkSession, parsed: DataFrame, config: PipelineConfig) ->
 
     def write(batch: DataFrame, batch_id: int) -> None:
         version = version_of(epoch, batch_id)
-        if config.jdbc:
-            usable = batch if config.keep_malformed else accepted(batch)
-            write_once(usable.select(STOCKS.names), config.jdbc, "stocks", version)
-        else:
+        if not config.jdbc:
             STOCKS_TABLE.write_batch(batch, config.stocks, version)
+            return
+        batch = batch.persist()
+        try:
+            STOCKS_TABLE.write_batch(quarantined(batch), config.stocks, version)
+            usable = batch if config.keep_malformed else accepted(batch)
+            name = f"{checkpoint_id(spark, checkpoint)}/{batch_id}"
+            write_once(usable.select(STOCKS.names), config.jdbc, "stocks", name)
+        finally:
+            batch.unpersist()
 
     return _start(spark, rows, "append", write, checkpoint, config)
 
@@ -99,12 +113,14 @@ def start_aggregates(
     windows = window_aggregate(rows, config.width, watermark=config.watermark)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        version = version_of(epoch, batch_id)
         if config.jdbc:
-            write_upsert(batch, config.jdbc, "stocks_aggregates_1m", AGGREGATE_KEY, version)
+            name = f"{checkpoint_id(spark, checkpoint)}/{batch_id}"
+            write_upsert(batch, config.jdbc, "stocks_aggregates_1m", AGGREGATE_KEY, name)
         else:
-            files = config.aggregate_files
-            AGGREGATES_TABLE.write_batch(batch, config.aggregates, version, files)
+            version = version_of(epoch, batch_id)
+            AGGREGATES_TABLE.write_batch(
+                batch, config.aggregates, version, config.aggregate_files
+            )
 
     windows = windows.select(AGGREGATES.names)
     return _start(spark, windows, config.output_mode, write, checkpoint, config)
@@ -125,6 +141,7 @@ def _start(
     with session_conf(
         spark,
         spark__sql__streaming__stateStore__providerClass=ROCKSDB,
+        spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
         spark__sql__shuffle__partitions=str(partitions) if partitions else None,
     ):
         return (
