@@ -1,0 +1,56 @@
+import json
+
+import pytest
+
+from helpers import land, message
+from tickloom import __main__ as command
+
+
+@pytest.fixture(autouse=True)
+def same_session(spark, monkeypatch):
+    monkeypatch.setattr(command, "build_session", lambda timezone: spark)
+
+
+def test_documents_to_panel(spark, tmp_path, capsys):
+    d = {n: str(tmp_path / n) for n in ("docs", "wire", "c1", "c2", "bad", "tables", "out")}
+    bar = {"1. open": "1.0", "2. high": "4.0", "3. low": "0.5", "4. close": "2.0"}
+    series = {f"2024-01-01 09:{m:02}:00": bar for m in range(0, 60, 5)}
+    documents = [
+        json.dumps({"Meta Data": {"2. Symbol": s}, "Time Series (5min)": series})
+        for s in ("AAPL", "TSLA", "NOPE")
+    ]
+    land(d["docs"], documents, "0.txt")
+    ingest = ["ingest", "--documents", d["docs"], "--files", d["wire"]]
+    command.main([*ingest, "--checkpoint", d["c1"], "--quarantine", d["bad"]])
+    run = ["run", "--once", "--files", d["wire"], "--checkpoint", d["c2"], "--tables", d["tables"]]
+    command.main([*run, "--state-partitions", "2"])
+    command.main(["fold", "--tables", d["tables"], "--expire"])
+    panel = lambda *a: command.main(["panel", *a, "--tables", d["tables"], "--out", d["out"]])
+    read = lambda: [tuple(r) for r in spark.read.parquet(d["out"]).collect()]
+    panel("total")
+    assert read() == [(24,)]
+    panel("spread", "--start", "2024-01-01 09:10:00", "--end", "2024-01-01 09:20:00")
+    assert sorted(read()) == [("AAPL", 3.5), ("TSLA", 3.5)]
+    panel("series", "--start", "2024-01-01 09:50:00")
+    assert len(read()) == 4
+    command.main(["panel", "latest", "--tables", d["tables"]])
+    assert "Latest Close" in capsys.readouterr().out
+
+
+def test_messages_come_from_one_place(capsys):
+    both = ["run", "--files", "f", "--bootstrap", "b", "--checkpoint", "c", "--tables", "t"]
+    for argv in (both, ["run", "--checkpoint", "c", "--tables", "t"], ["run", "--files", "f"]):
+        with pytest.raises(SystemExit):
+            command.parser().parse_args(argv)
+
+
+def test_settings(monkeypatch):
+    monkeypatch.setenv("JDBC_USER", "u")
+    monkeypatch.setenv("JDBC_PASSWORD", "p")
+    argv = ["run", "--bootstrap", "b", "--checkpoint", "c", "--tables", "t"]
+    config = command._config(command.parser().parse_args(argv))
+    assert (config.width, config.watermark, config.trigger) == ("1 minute", "2 minutes", "30 seconds")
+    assert config.jdbc is None and not config.dedup
+    more = command.parser().parse_args([*argv, "--once", "--jdbc-url", "jdbc:x", "--dedup"])
+    config = command._config(more)
+    assert config.trigger is None and config.dedup and config.jdbc.url == "jdbc:x"

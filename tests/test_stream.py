@@ -1,0 +1,241 @@
+import json
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import land, message, rows
+from tickloom.operators import parse_messages, window_aggregate
+from tickloom.sinks.lake import read_aggregates, read_quarantine, read_stocks
+from tickloom.sinks import publish_files
+from tickloom.sources import read_files
+from tickloom.streaming import (
+    PipelineConfig,
+    ingest_documents,
+    run_available,
+    start_aggregates,
+    start_pipeline,
+    start_raw,
+    supervise,
+    totals,
+)
+
+DAY = "2024-01-01 "
+
+
+@pytest.fixture
+def config(tmp_path):
+    return PipelineConfig(
+        checkpoint=str(tmp_path / "checkpoint"),
+        tables=str(tmp_path / "tables"),
+        trigger=None,
+        state_partitions=2,
+    )
+
+
+def changed(config, **settings):
+    return PipelineConfig(**{**vars(config), **settings})
+
+
+def wait(*queries):
+    supervise(queries, bounded=True, poll_seconds=0.1)
+    return queries
+
+
+def counts(spark, config):
+    got = read_aggregates(spark, config.aggregates).collect()
+    return sorted((f"{r.window_start:%H:%M}", r.symbol, r.trade_count) for r in got)
+
+
+def emitted(spark, config):
+    """What each batch has written, from the log folders."""
+    log = spark.read.parquet(f"{config.aggregates}/log").collect()
+    return sorted((r.version, f"{r.window_start:%H:%M}", r.trade_count) for r in log)
+
+
+def one_file_per_batch(spark, folder):
+    return parse_messages(read_files(spark, folder, max_files_per_trigger=1))
+
+
+def test_lateness_sequence(spark, tmp_path, config):
+    """The late filter lags the watermark by one batch; a window ends when the watermark is there."""
+    folder = str(tmp_path / "in")
+    batches = [["09:30:10"], ["09:35:00"], ["09:30:55"], ["09:30:56", "09:33:30", "09:32:59"]]
+    for i, times in enumerate(batches):
+        land(folder, [message("A", DAY + t) for t in times], f"{i}.txt")
+    # Batches without data would move the late filter on between the files.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        (query,) = wait(start_aggregates(spark, one_file_per_batch(spark, folder), config))
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert emitted(spark, config) == [
+        (0, "09:30", 1),
+        (1, "09:35", 1),
+        (2, "09:30", 2),
+        (3, "09:33", 1),
+    ]
+    assert counts(spark, config) == [("09:30", "A", 2), ("09:33", "A", 1), ("09:35", "A", 1)]
+    got = totals(query)
+    assert (got["batches"], got["input_rows"], got["written_rows"], got["late_rows"]) == (4, 6, 4, 2)
+
+
+def test_resent_bar_counts_again_unless_dropped(spark, tmp_path, config):
+    folder = str(tmp_path / "in")
+    for i in range(3):
+        land(folder, [message("A", DAY + "09:35:00")], f"{i}.txt")
+    parsed = one_file_per_batch(spark, folder)
+    wait(start_aggregates(spark, parsed, config))
+    assert counts(spark, config) == [("09:35", "A", 3)]
+    once = changed(config, dedup=True, tables=config.tables + "2", checkpoint=config.checkpoint + "2")
+    wait(start_aggregates(spark, parsed, once))
+    assert counts(spark, once) == [("09:35", "A", 1)]
+
+
+def test_copies_spread_over_files_count_once(spark, tmp_path, config):
+    """Copies with different salts reach the second pass in the same batch."""
+    folder = str(tmp_path / "in")
+    for i in range(20):
+        land(folder, [message("A", DAY + "09:35:00")] * 30 + [message(f"S{i}", DAY + "09:35:00")], f"{i}.txt")
+    once = changed(config, dedup=True)
+    wait(start_aggregates(spark, parse_messages(read_files(spark, folder)), once))
+    assert counts(spark, once) == sorted([("09:35", "A", 1), *(("09:35", f"S{i}", 1) for i in range(20))])
+
+
+def feed(minutes, symbols="AB"):
+    start = datetime(2024, 1, 1, 9)
+    return [
+        message(s, str(start + timedelta(minutes=m, seconds=20 * k)), m + k / 10)
+        for m in minutes
+        for k in range(3)
+        for s in symbols
+    ]
+
+
+def test_stream_equals_batch_after_replays(spark, tmp_path, config):
+    folder = str(tmp_path / "in")
+    for i in range(4):
+        land(folder, feed(range(5 * i, 5 * i + 6)), f"{i}.txt")
+    messages = read_files(spark, folder, max_files_per_trigger=1)
+    run_available(spark, messages, config)
+    batch = parse_messages(read_files(spark, folder, stream=False))
+    want = rows(window_aggregate(batch))
+    assert rows(read_aggregates(spark, config.aggregates)) == want
+    assert read_stocks(spark, config.stocks).count() == batch.count()
+    # Run again from the same checkpoint: nothing is new.
+    run_available(spark, messages, config)
+    assert read_stocks(spark, config.stocks).count() == batch.count()
+    # With the checkpoint lost everything is read again: windows stay, raw rows double.
+    run_available(spark, messages, changed(config, checkpoint=config.checkpoint + "2"))
+    assert rows(read_aggregates(spark, config.aggregates)) == want
+    assert read_stocks(spark, config.stocks).count() == 2 * batch.count()
+
+
+def test_unusable_messages(spark, tmp_path, config):
+    folder = str(tmp_path / "in")
+    bad = ["not json", message(None, DAY + "09:30:00"), message("A", "nope")]
+    land(folder, [message("A", DAY + "09:30:00"), *bad], "0.txt")
+    messages = read_files(spark, folder)
+    run_available(spark, messages, config)
+    assert read_stocks(spark, config.stocks).count() == 1
+    kept = read_quarantine(spark, config.stocks).collect()
+    assert sorted(bytes(r.raw_value).decode() for r in kept) == sorted(bad)
+    assert counts(spark, config) == [("09:30", "A", 1)]
+    assert read_stocks(spark, config.stocks, keep_malformed=True).count() == 4
+    loose = changed(config, keep_malformed=True, tables=config.tables + "2", checkpoint=config.checkpoint + "2")
+    run_available(spark, messages, loose)
+    got = read_aggregates(spark, loose.aggregates).collect()
+    assert sorted((str(r.symbol), r.trade_count) for r in got) == [("A", 1), ("None", 1)]
+
+
+def test_append_mode_gives_closed_windows_once(spark, tmp_path, config):
+    folder = str(tmp_path / "in")
+    for i in range(3):
+        land(folder, feed(range(5 * i, 5 * i + 5), "A"), f"{i}.txt")
+    final = changed(config, output_mode="append")
+    wait(start_aggregates(spark, one_file_per_batch(spark, folder), final))
+    # The newest row is of 09:14:40, so the watermark is 09:12:40.
+    log = emitted(spark, final)
+    assert [r[1] for r in log] == [f"09:{m:02}" for m in range(12)]
+    assert {r[2] for r in log} == {3}
+
+
+def test_one_failing_query_stops_the_other(spark, tmp_path, config):
+    folder = str(tmp_path / "in")
+    land(folder, [message("A", DAY + "09:30:00")], "0.txt")
+    parsed = parse_messages(read_files(spark, folder))
+    raw = start_raw(spark, parsed, changed(config, trigger="1 second"))
+    failing = (
+        parsed.withColumn("x", F.raise_error(F.lit("broken sink")))
+        .writeStream.format("noop")
+        .option("checkpointLocation", config.checkpoint + "/failing")
+        .start()
+    )
+    with pytest.raises(Exception, match="broken sink"):
+        supervise([raw, failing], poll_seconds=0.1)
+    assert not raw.isActive and not failing.isActive
+
+
+def test_timed_trigger_until_stopped(spark, tmp_path, config):
+    folder = str(tmp_path / "in")
+    land(folder, [message("A", DAY + "09:30:00")], "0.txt")
+    timed = changed(config, trigger="100 milliseconds")
+    queries = start_pipeline(spark, read_files(spark, folder), timed)
+    for query in queries:
+        query.processAllAvailable()
+    land(folder, [message("A", DAY + "09:30:01")], "1.txt")
+    for query in queries:
+        query.processAllAvailable()
+    queries[0].stop()
+    supervise(queries)
+    assert not queries[1].isActive
+    assert counts(spark, config) == [("09:30", "A", 2)]
+    assert read_stocks(spark, config.stocks).count() == 2
+
+
+def test_bounded_run_wants_no_trigger(spark, config):
+    with pytest.raises(ValueError):
+        run_available(spark, None, changed(config, trigger="1 second"))
+
+
+def test_settings_of_the_session_stay(spark, tmp_path, config):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    land(str(tmp_path / "in"), [message("A", DAY + "09:30:00")], "0.txt")
+    wait(start_aggregates(spark, parse_messages(read_files(spark, str(tmp_path / "in"))), config))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_ingest_reads_each_document_once(spark, tmp_path):
+    landing, out = str(tmp_path / "in"), str(tmp_path / "out")
+    bar = {"1. open": "1.0", "2. high": "4.0", "3. low": "0.5", "4. close": "2.0"}
+
+    def document(symbol, *times):
+        series = {DAY + t: bar for t in times}
+        return json.dumps({"Meta Data": {"2. Symbol": symbol}, "Time Series (5min)": series}, indent=1)
+
+    def run():
+        wait(
+            ingest_documents(
+                spark,
+                read_files(spark, landing, whole_files=True),
+                lambda m, n: publish_files(m, out, n),
+                str(tmp_path / "checkpoint"),
+                str(tmp_path / "quarantine"),
+                ("AAPL", "KOS"),
+            )
+        )
+        return sorted(r.value for r in read_files(spark, f"{out}/run=*", stream=False).collect())
+
+    land(landing, [document("AAPL", "09:30:00", "09:35:00")], "a.json")
+    land(landing, [document("OTHER", "09:30:00")], "o.json")
+    land(landing, ['{"Note": "limit"}'], "n.json")
+    first = run()
+    assert [json.loads(v) for v in first] == [
+        {"symbol": "AAPL", "open": 1.0, "high": 4.0, "low": 0.5, "close": 2.0, "timestamp": DAY + t}
+        for t in ("09:30:00", "09:35:00")
+    ]
+    assert run() == first
+    land(landing, [document("KOS", "09:30:00")], "k.json")
+    assert len(run()) == 3
+    rejected = spark.read.parquet(str(tmp_path / "quarantine")).collect()
+    assert [(r.fault, json.loads(r.raw_value)) for r in rejected] == [("no_metadata", {"Note": "limit"})]

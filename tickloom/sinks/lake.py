@@ -4,7 +4,7 @@ Layout of a table folder:
 
     log/version=<v>/                  one folder per micro-batch; writing it again replaces it
     folded/upto=<v>/<partitions>/     the log up to v, folded into larger files by date
-    epochs/<n>                        marker files: numbers given out to checkpoints
+    _epochs/<n>                       marker files: numbers given out to checkpoints
 
 A micro-batch is close in time already, so its few files are skipped by their own statistics;
 folders by date come with the fold.
@@ -40,9 +40,9 @@ def open_epoch(spark: SparkSession, checkpoint: str, table_path: str) -> int:
     known = fs.marker(spark, checkpoint, "_epoch")
     if known is not None:
         return int(known)
-    taken = [int(p.rsplit("/", 1)[1]) for p in fs.glob(spark, f"{table_path}/epochs/*")]
+    taken = [int(p.rsplit("/", 1)[1]) for p in fs.glob(spark, f"{table_path}/_epochs/*")]
     epoch = max(taken, default=-1) + 1
-    while not fs.create(spark, f"{table_path}/epochs/{epoch}"):
+    while not fs.create(spark, f"{table_path}/_epochs/{epoch}"):
         epoch += 1
     fs.create(spark, f"{checkpoint}/_epoch={epoch}")
     return epoch

@@ -52,4 +52,4 @@ def read_files(
     reader = reader.option("ignoreMissingFiles", "true")
     if stream and max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.text(path)
+    return reader.format("text").load(path)
