@@ -4,6 +4,7 @@ from datetime import date, datetime
 import pytest
 
 from helpers import plan, rows
+from tickloom.plans import dashboard
 from tickloom.session import session_conf
 from tickloom.sinks import AGGREGATES_TABLE, STOCKS_TABLE, open_epoch, version_of
 from tickloom.sinks.lake import read_aggregates, read_quarantine, read_stocks
@@ -138,6 +139,14 @@ def test_range_skips_folders_and_row_groups(spark, path):
     assert "SortAggregate" not in text
 
 
+def test_days_up_to_now_skip_folders(spark, path):
+    AGGREGATES_TABLE.write_batch(windows(spark, (0, "A", 1)), path, 0)
+    AGGREGATES_TABLE.fold(spark, path)
+    df = read_aggregates(spark, path, *dashboard.last_days(7))
+    assert df.count() == 0
+    assert "window_date" in plan(df).split("PartitionFilters: ")[1].split("]")[0]
+
+
 @pytest.mark.parametrize("fold", [False, True])
 def test_quarantine_beside_the_rows(spark, path, fold):
     t = datetime(2024, 1, 1)

@@ -24,11 +24,14 @@ from tickloom.streaming import PipelineConfig, ingest_documents, start_pipeline,
 
 # Fixed value: the topic the messages go through.
 TOPIC = "stock_analysis"
+# The panels that look at a time range.
+RANGED = ("series", "lines", "spread")
 PANELS = {
     "total": lambda stocks, a: dashboard.total_records(stocks),
     "latest": lambda stocks, a: dashboard.latest_quotes(stocks),
-    "series": lambda stocks, a: dashboard.close_prices(stocks, a.start, a.end),
-    "spread": lambda stocks, a: dashboard.spreads(stocks, a.start, a.end),
+    "series": lambda stocks, a: dashboard.close_prices(stocks),
+    "lines": lambda stocks, a: dashboard.close_lines(stocks, a.symbols, bucket=a.bucket),
+    "spread": lambda stocks, a: dashboard.spreads(stocks),
 }
 
 
@@ -71,6 +74,9 @@ def parser() -> argparse.ArgumentParser:
     panel.add_argument("--tables", required=True)
     panel.add_argument("--start")
     panel.add_argument("--end")
+    panel.add_argument("--days", type=int, help="the last days up to now, in place of a range")
+    panel.add_argument("--symbols", nargs="+", default=list(SYMBOLS))
+    panel.add_argument("--bucket", help="width of a point in time of the lines")
     panel.add_argument("--keep-malformed", action="store_true")
     panel.add_argument("--out", help="Parquet folder; without it the first rows are printed")
     return top
@@ -144,8 +150,9 @@ def _fold(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def _panel(spark: SparkSession, args: argparse.Namespace) -> None:
     path = PipelineConfig(checkpoint="", tables=args.tables).stocks
-    ranged = args.name in ("series", "spread")
-    bounds = (args.start, args.end) if ranged else (None, None)
+    bounds = (None, None)
+    if args.name in RANGED:
+        bounds = dashboard.last_days(args.days) if args.days else (args.start, args.end)
     stocks = read_stocks(spark, path, *bounds, keep_malformed=args.keep_malformed)
     result = PANELS[args.name](stocks, args)
     if args.out:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.operators import average_spread, latest_per_key, long_series
+from tickloom.operators import average_spread, latest_per_key, long_series, wide_series
 from tickloom.operators.series import Bound
 
 
@@ -29,10 +31,27 @@ def close_prices(stocks: DataFrame, start: Bound = None, end: Bound = None) -> D
     return long_series(stocks, start, end)
 
 
+def close_lines(
+    stocks: DataFrame,
+    symbols: Sequence[str],
+    start: Bound = None,
+    end: Bound = None,
+    bucket: str | None = None,
+) -> DataFrame:
+    """The chart's lines: one column per symbol."""
+    return wide_series(stocks, symbols, start, end, bucket=bucket)
+
+
 def spreads(stocks: DataFrame, start: Bound = None, end: Bound = None) -> DataFrame:
     return average_spread(stocks, start, end)
 
 
+def last_days(days: int = 7) -> tuple[Column, Column]:
+    """The range the dashboard opens with: so many days up to now."""
+    now = F.current_timestamp()
+    return now - F.expr(f"INTERVAL {days} DAYS"), now
+
+
 def days_before_newest(stocks: DataFrame, days: int = 7) -> Column:
     """The start of a range that ends with the newest record, as a scalar subquery."""
     newest = stocks.agg(F.max("timestamp").alias("newest"))

@@ -18,13 +18,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tickloom.functions import time_range, utc_date
 from tickloom.operators.latest import newest_version
 from tickloom.operators.parse import OK
+from tickloom.operators.series import Bound
 from tickloom.schema import AGGREGATE_KEY, AGGREGATES, STOCKS
 from tickloom.sinks import fs
 
@@ -87,8 +87,8 @@ class LakeTable:
         self,
         spark: SparkSession,
         path: str,
-        start: str | datetime | None = None,
-        end: str | datetime | None = None,
+        start: Bound = None,
+        end: Bound = None,
     ) -> DataFrame:
         """All rows in a time range with their version; of a keyed table the newest per key."""
         folds = self._folds(spark, path)
@@ -188,8 +188,8 @@ AGGREGATES_TABLE = LakeTable(
 def read_stocks(
     spark: SparkSession,
     path: str,
-    start: str | datetime | None = None,
-    end: str | datetime | None = None,
+    start: Bound = None,
+    end: Bound = None,
     keep_malformed: bool = False,
 ) -> DataFrame:
     """The raw table. `keep_malformed` also gives the rows of unusable messages, as far as their
@@ -209,8 +209,8 @@ def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
 def read_aggregates(
     spark: SparkSession,
     path: str,
-    start: str | datetime | None = None,
-    end: str | datetime | None = None,
+    start: Bound = None,
+    end: Bound = None,
 ) -> DataFrame:
     """The newest state of every window; the range applies to window_start."""
     return AGGREGATES_TABLE.read(spark, path, start, end).select(AGGREGATES.names)
