@@ -1,15 +1,21 @@
 """Plans that have to hold at scale, checked on what Spark would run."""
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
+from bench import STREAMS
 from helpers import optimized, plan
+from tickloom.operators import long_series
 from tickloom.plans import catalogue, dashboard
 from tickloom.plans.adapters import read_ticks
+from tickloom.session import session_conf
 
 BATCH = [
     name
     for name in catalogue.QUERIES
-    if not any(name.startswith(s) for s in ("stream_", "final_", "pipeline_", "late_", "dedup_", "ingest_"))
+    if name not in STREAMS
 ]
 
 
@@ -41,3 +47,18 @@ def test_count_reads_no_column(spark, sf_dir):
 @pytest.mark.parametrize("name", ["close_wide", "close_wide_1h", "agg_1h", "ohlc_bars"])
 def test_one_shuffle_by_key(spark, sf_dir, name):
     assert plan(catalogue.QUERIES[name](spark, sf_dir)).count("Exchange hashpartitioning") == 1
+
+
+def test_a_run_of_equal_rows_is_cut(spark):
+    """A third of the rows are copies of one; sorted, they must not lie in one partition."""
+    rows = spark.range(30_000).selectExpr(
+        "if(id % 3 = 0, 'HOT', 'S') symbol",
+        "if(id % 3 = 0, 1D, double(id)) close",
+        "timestamp_micros(if(id % 3 = 0, 0, id)) timestamp",
+    )
+    with session_conf(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        placed = long_series(rows).select("metric", F.spark_partition_id().alias("p")).collect()
+    sizes = Counter(r.p for r in placed)
+    assert sum(sizes.values()) == 30_000
+    assert len({r.p for r in placed if r.metric == "HOT"}) > 1
+    assert max(sizes.values()) < 30_000 / 4

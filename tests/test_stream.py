@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helpers import land, message, rows
 from tickloom.operators import parse_messages, window_aggregate
 from tickloom.sinks.lake import read_aggregates, read_quarantine, read_stocks
-from tickloom.sinks import publish_files
+from tickloom.sinks import LakeTable, publish_files
 from tickloom.sources import read_files
 from tickloom.streaming import (
     PipelineConfig,
@@ -131,6 +131,32 @@ def test_stream_equals_batch_after_replays(spark, tmp_path, config):
     assert read_stocks(spark, config.stocks).count() == 2 * batch.count()
 
 
+@pytest.mark.parametrize("before_write", [True, False])
+def test_batch_that_fails_is_written_once(spark, tmp_path, config, monkeypatch, before_write):
+    """The job dies around a write and starts again from its checkpoint."""
+    folder = str(tmp_path / "in")
+    for i in range(3):
+        land(folder, feed(range(5 * i, 5 * i + 6)), f"{i}.txt")
+    messages = read_files(spark, folder, max_files_per_trigger=1)
+    write = LakeTable.write_batch
+
+    def dying(table, rows, path, version, files=None):
+        if version == 1 and before_write:
+            raise RuntimeError("lost")
+        write(table, rows, path, version, files)
+        if version == 1:
+            raise RuntimeError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(LakeTable, "write_batch", dying)
+        with pytest.raises(Exception, match="lost"):
+            run_available(spark, messages, config)
+    run_available(spark, messages, config)
+    batch = parse_messages(read_files(spark, folder, stream=False))
+    assert rows(read_aggregates(spark, config.aggregates)) == rows(window_aggregate(batch))
+    assert read_stocks(spark, config.stocks).count() == batch.count()
+
+
 def test_unusable_messages(spark, tmp_path, config):
     folder = str(tmp_path / "in")
     bad = ["not json", message(None, DAY + "09:30:00"), message("A", "nope")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.operators import ohlc_bars
 from tickloom.operators.parse import OK
@@ -48,3 +48,32 @@ def line_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.col("l_extendedprice").alias(c) for c in PRICES),
         F.col("l_shipdate").alias("timestamp"),
     )
+
+
+def spoilt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ticks as messages; the event number decides which message is spoilt, and how."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.col("event_id") % 97
+    fields = {
+        "symbol": F.col("event_type"),
+        **{c: F.col("value") for c in PRICES},
+        "timestamp": F.col("ts").cast("string"),
+    }
+
+    def message(**changed: Column | None) -> Column:
+        kept = {k: v for k, v in {**fields, **changed}.items() if v is not None}
+        return F.to_json(F.struct(*(v.alias(k) for k, v in kept.items())))
+
+    text = (
+        F.when(kind == 0, "not json")
+        .when(kind == 1, "")
+        .when(kind == 2, F.lit(None).cast("string"))
+        .when(kind == 3, "[]")
+        .when(kind == 4, F.expr("left(props, 5)"))
+        .when(kind == 5, message(timestamp=F.lit("nope")))
+        .when(kind == 6, message(high=None))
+        .when(kind == 7, message(open=F.lit("1.0")))
+        .when(kind == 8, message(symbol=None))
+        .otherwise(message())
+    )
+    return events.select(text.cast("binary").alias("value"))

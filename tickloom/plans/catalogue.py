@@ -14,6 +14,7 @@ from tickloom.functions import decimal_round
 from tickloom.operators import (
     accepted,
     build_payloads,
+    drop_resent,
     keep_listed,
     keep_symbols,
     last_not_null,
@@ -23,10 +24,16 @@ from tickloom.operators import (
     window_aggregate,
 )
 from tickloom.plans import dashboard
-from tickloom.plans.adapters import line_ticks, read_bars, read_ticks, stream_ticks
+from tickloom.plans.adapters import (
+    line_ticks,
+    read_bars,
+    read_ticks,
+    spoilt_messages,
+    stream_ticks,
+)
 from tickloom.schema import PRICES
 from tickloom.session import scratch_dir
-from tickloom.sinks import publish_files, to_messages
+from tickloom.sinks import AGGREGATES_TABLE, STOCKS_TABLE, publish_files, to_messages
 from tickloom.sinks.lake import read_aggregates, read_quarantine, read_stocks
 from tickloom.sources import read_files
 from tickloom.streaming import (
@@ -132,6 +139,19 @@ def agg_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(window_aggregate(read_ticks(spark, sf_dir), "1 hour", "timestamp"))
 
 
+def resent_agg_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record twice: it counts twice."""
+    stocks = read_ticks(spark, sf_dir)
+    return _rounded(window_aggregate(stocks.unionAll(stocks), "1 hour", "timestamp"))
+
+
+def dedup_agg_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record twice: it counts once."""
+    stocks = read_ticks(spark, sf_dir)
+    once = drop_resent(stocks.unionAll(stocks), ("symbol", "timestamp"))
+    return _rounded(window_aggregate(once, "1 hour", "timestamp"))
+
+
 def agg_1m_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(window_aggregate(read_bars(spark, sf_dir), "1 minute", "timestamp"))
 
@@ -150,32 +170,22 @@ def wire_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quarantine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ticks as messages; the event number decides which message is spoilt, and how."""
-    kind = F.col("event_id") % 97
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    prices = {c: F.col("value") for c in PRICES}
-    time = F.col("ts").cast("string")
-
-    def message(**changed):
-        fields = {"symbol": F.col("event_type"), **prices, "timestamp": time, **changed}
-        return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items() if v is not None)))
-
-    text = (
-        F.when(kind == 0, "not json")
-        .when(kind == 1, "")
-        .when(kind == 2, F.lit(None).cast("string"))
-        .when(kind == 3, "[]")
-        .when(kind == 4, F.expr("left(props, 5)"))
-        .when(kind == 5, message(timestamp=F.lit("nope")))
-        .when(kind == 6, message(high=None))
-        .when(kind == 7, message(open=F.lit("1.0")))
-        .when(kind == 8, message(symbol=None))
-        .otherwise(message())
-    )
-    parsed = parse_messages(events.select(text.cast("binary").alias("value")))
+    parsed = parse_messages(spoilt_messages(spark, sf_dir))
     return parsed.groupBy("fault").agg(F.count(F.lit(1)).alias("messages"))
 
 
+def loose_stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message as a row, unusable ones with the fields that could be read."""
+    parsed = parse_messages(spoilt_messages(spark, sf_dir))
+    rows = parsed.withColumnRenamed("event_time", "timestamp")
+    return _plain(rows.select("symbol", *PRICES, "timestamp"))
+
+
+def loose_agg_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unusable messages with a time count too; those without a symbol form a group."""
+    return _rounded(window_aggregate(parse_messages(spoilt_messages(spark, sf_dir)), "1 hour"))
+
+
 def foreign_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A feed in which other JSON, whole pages and whole documents are mixed with the ticks."""
 
@@ -247,15 +257,6 @@ def stream_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(read_stocks(spark, config.stocks))
 
 
-def _publish_and_run(
-    spark: SparkSession, runs: list[DataFrame], landing: str, config: PipelineConfig
-) -> None:
-    """Scheduled runs: each publishes its messages, then the pipeline goes on from its checkpoint."""
-    for number, rows in enumerate(runs):
-        publish_files(to_messages(rows), landing, number)
-        run_available(spark, read_files(spark, f"{landing}/run=*"), config)
-
-
 def _in_runs(stocks: DataFrame, runs: int) -> list[DataFrame]:
     """The table cut at equal distances in time."""
     first, last = stocks.agg(F.min("timestamp"), F.max("timestamp")).first()
@@ -269,10 +270,16 @@ def _in_runs(stocks: DataFrame, runs: int) -> list[DataFrame]:
     ]
 
 
-def _pipeline(spark: SparkSession, sf_dir: str, name: str) -> PipelineConfig:
+def _pipeline(spark: SparkSession, sf_dir: str, name: str, fold: bool = False) -> PipelineConfig:
+    """Scheduled runs: each publishes its messages, then the pipeline goes on from its checkpoint."""
     config = _config(spark, name)
-    runs = _in_runs(read_ticks(spark, sf_dir), 3)
-    _publish_and_run(spark, runs, f"{config.tables}/landing", config)
+    landing = f"{config.tables}/landing"
+    for number, rows in enumerate(_in_runs(read_ticks(spark, sf_dir), 3)):
+        publish_files(to_messages(rows), landing, number)
+        run_available(spark, read_files(spark, f"{landing}/run=*"), config)
+        if fold:
+            STOCKS_TABLE.fold(spark, config.stocks)
+            AGGREGATES_TABLE.fold(spark, config.aggregates)
     return config
 
 
@@ -284,6 +291,14 @@ def pipeline_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(read_aggregates(spark, _pipeline(spark, sf_dir, "windows").aggregates))
 
 
+def pipeline_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables are folded after every run. Minutes come from one, hours from the other."""
+    config = _pipeline(spark, sf_dir, "folded", fold=True)
+    minutes = read_aggregates(spark, config.aggregates)
+    hours = window_aggregate(read_stocks(spark, config.stocks), "1 hour", "timestamp")
+    return _rounded(minutes.unionAll(hours))
+
+
 def _resent(spark: SparkSession, sf_dir: str, name: str, dedup: bool) -> DataFrame:
     config = _config(spark, name, width="1 hour", dedup=dedup)
     landing = f"{config.tables}/landing"
@@ -353,10 +368,14 @@ QUERIES: dict[str, Query] = {
         ohlc_bars,
         agg_1m,
         agg_1h,
+        resent_agg_1h,
+        dedup_agg_1h,
         agg_1m_bars,
         agg_lines_1d,
         wire_roundtrip,
         quarantine_counts,
+        loose_stocks,
+        loose_agg_1h,
         foreign_messages,
         payload_unpivot,
         payload_faults,
@@ -365,6 +384,7 @@ QUERIES: dict[str, Query] = {
         stream_raw,
         pipeline_stocks,
         pipeline_aggregates,
+        pipeline_folded,
         late_resend_agg_1h,
         dedup_resend_agg_1h,
         stream_quarantine,

@@ -22,6 +22,17 @@ _LINES = """l AS (
   FROM lineitem
 )"""
 
+# What can be read of the spoilt messages; kinds 0 to 4 give nothing.
+_LOOSE = """m AS (
+  SELECT CASE WHEN event_id % 97 NOT IN (0, 1, 2, 3, 4, 8) THEN event_type END AS symbol,
+         CASE WHEN event_id % 97 NOT IN (0, 1, 2, 3, 4, 7) THEN value END AS open,
+         CASE WHEN event_id % 97 NOT IN (0, 1, 2, 3, 4, 6) THEN value END AS high,
+         CASE WHEN event_id % 97 NOT IN (0, 1, 2, 3, 4) THEN value END AS low,
+         CASE WHEN event_id % 97 NOT IN (0, 1, 2, 3, 4) THEN value END AS close,
+         CASE WHEN event_id % 97 NOT IN (0, 1, 2, 3, 4, 5) THEN ts END AS "timestamp"
+  FROM events
+)"""
+
 _SYMBOLS = ("click", "error", "purchase", "signup", "view")
 _SPAN = "BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31'"
 
@@ -80,6 +91,9 @@ FROM s WHERE close >= 20 GROUP BY symbol""",
 WHERE symbol IN (SELECT symbol FROM b WHERE close > 300)""",
     "agg_1m": f"WITH {_TICKS} {_windows('s', '1 minute')}",
     "agg_1h": f"WITH {_TICKS} {_windows('s', '1 hour')}",
+    "resent_agg_1h": f"""WITH {_TICKS}, sent AS (SELECT * FROM s UNION ALL SELECT * FROM s)
+{_windows('sent', '1 hour')}""",
+    "dedup_agg_1h": f"WITH {_TICKS} {_windows('s', '1 hour')}",
     "agg_1m_bars": f"WITH {_BARS} {_windows('b', '1 minute')}",
     "agg_lines_1d": f"WITH {_LINES} {_windows('l', '1 day')}",
     "ohlc_bars": f"WITH {_BARS} {_ROWS} b",
@@ -91,6 +105,8 @@ WHERE symbol IN (SELECT symbol FROM b WHERE close > 300)""",
     WHEN event_id % 97 IN (6, 8) THEN 'missing_field'
     ELSE 'ok' END AS fault, count(*) AS messages
 FROM events GROUP BY ALL""",
+    "loose_stocks": f"WITH {_LOOSE} {_ROWS} m",
+    "loose_agg_1h": f"""WITH {_LOOSE} {_windows('m', '1 hour', '"timestamp" IS NOT NULL')}""",
     "foreign_messages": """WITH feed AS (
   SELECT 'ok' AS fault, 0 AS bytes FROM events
   UNION ALL SELECT 'bad_time', strlen(props) FROM events
@@ -109,6 +125,8 @@ UNION ALL SELECT 'malformed', count(*) FROM pages""",
     "stream_raw": f"WITH {_TICKS} {_ROWS} s",
     "pipeline_stocks": f"WITH {_TICKS} {_ROWS} s",
     "pipeline_aggregates": f"WITH {_TICKS} {_windows('s', '1 minute')}",
+    "pipeline_folded": f"""WITH {_TICKS}
+{_windows('s', '1 minute')} UNION ALL {_windows('s', '1 hour')}""",
     "late_resend_agg_1h": f"""WITH {_TICKS}, sent AS (
   SELECT * FROM s
   UNION ALL SELECT * FROM s WHERE {_AFTER_END} > {_WATERMARK}
