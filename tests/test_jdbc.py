@@ -7,7 +7,7 @@ from tickloom.schema import AGGREGATES, AGGREGATE_KEY
 from tickloom.sinks import JdbcTarget, checkpoint_id, jdbc
 from tickloom.sources import jdbc_options
 
-TARGET = JdbcTarget("jdbc:postgresql://db/stock_data", "u", "secret", connections=4)
+TARGET = JdbcTarget("jdbc:postgresql://db/ticks", "u", "secret", connections=4)
 
 
 @pytest.fixture

@@ -22,4 +22,6 @@ def keep_listed(rows: DataFrame, listed: DataFrame, broadcast_bytes: int = 8 <<
     """
     names = listed.select("symbol").where(F.col("symbol").isNotNull()).distinct()
     size = names.agg(F.sum(F.octet_length("symbol") + 32)).first()[0] or 0
-    return rows.join(F.broadcast(names) if size <= broadcast_bytes else names, "symbol", "left_semi")
+    if size <= broadcast_bytes:
+        names = F.broadcast(names)
+    return rows.join(names, "symbol", "left_semi")

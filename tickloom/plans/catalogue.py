@@ -123,7 +123,7 @@ def symbol_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = read_bars(spark, sf_dir).where(F.col("close") > 300)
+    listed = read_bars(spark, sf_dir).where(F.col("symbol") < "p")
     return keep_listed(read_ticks(spark, sf_dir), listed)
 
 
@@ -271,7 +271,7 @@ def _in_runs(stocks: DataFrame, runs: int) -> list[DataFrame]:
 
 
 def _pipeline(spark: SparkSession, sf_dir: str, name: str, fold: bool = False) -> PipelineConfig:
-    """Scheduled runs: each publishes its messages, then the pipeline goes on from its checkpoint."""
+    """Scheduled runs: each publishes messages, then the pipeline goes on from its checkpoint."""
     config = _config(spark, name)
     landing = f"{config.tables}/landing"
     for number, rows in enumerate(_in_runs(read_ticks(spark, sf_dir), 3)):

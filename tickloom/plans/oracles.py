@@ -70,8 +70,10 @@ def _wide(time: str) -> str:
 
 
 _ROWS = 'SELECT symbol, open, high, low, close, "timestamp" FROM '
-_AFTER_END = """time_bucket(INTERVAL '1 hour', "timestamp") + INTERVAL '1 hour'"""
-_WATERMARK = """(SELECT date_trunc('milliseconds', max("timestamp")) - INTERVAL '2 minutes' FROM s)"""
+_HOUR = """time_bucket(INTERVAL '1 hour', "timestamp")"""
+_AFTER_END = f"{_HOUR} + INTERVAL '1 hour'"
+_WATERMARK = """(SELECT date_trunc('milliseconds', max("timestamp")) - INTERVAL '2 minutes'
+  FROM s)"""
 _LAST_WEEK = '"timestamp" >= (SELECT max("timestamp") - INTERVAL 7 DAY FROM {})'
 
 ORACLES: dict[str, str] = {
@@ -81,14 +83,14 @@ ORACLES: dict[str, str] = {
     "close_series": f"""WITH {_TICKS} {_series(f'"timestamp" {_SPAN}')}""",
     "close_series_7d": f"WITH {_TICKS} {_series(_LAST_WEEK.format('s'))}",
     "close_wide": f"""WITH {_TICKS} {_wide('"timestamp"')}""",
-    "close_wide_1h": f"""WITH {_TICKS} {_wide('''time_bucket(INTERVAL '1 hour', "timestamp")''')}""",
+    "close_wide_1h": f"""WITH {_TICKS} {_wide(_HOUR)}""",
     "avg_spread": f"""WITH {_BARS} {_spread(f'"timestamp" {_SPAN}')}""",
     "avg_spread_7d": f"WITH {_BARS} {_spread(_LAST_WEEK.format('b'))}",
     "last_known_close": f"""WITH {_TICKS} SELECT symbol, arg_max(close, "timestamp") AS close
 FROM s WHERE close >= 20 GROUP BY symbol""",
     "symbol_filter": f"WITH {_TICKS} {_ROWS} s WHERE symbol IN ('click', 'view')",
     "symbol_listed": f"""WITH {_TICKS}, {_BARS} {_ROWS} s
-WHERE symbol IN (SELECT symbol FROM b WHERE close > 300)""",
+WHERE symbol IN (SELECT symbol FROM b WHERE symbol < 'p')""",
     "agg_1m": f"WITH {_TICKS} {_windows('s', '1 minute')}",
     "agg_1h": f"WITH {_TICKS} {_windows('s', '1 hour')}",
     "resent_agg_1h": f"""WITH {_TICKS}, sent AS (SELECT * FROM s UNION ALL SELECT * FROM s)

@@ -16,6 +16,7 @@ newer ones. Readers use only folders whose write has ended (_SUCCESS).
 
 from __future__ import annotations
 
+import logging
 import re
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ from tickloom.operators.series import Bound
 from tickloom.schema import AGGREGATE_KEY, AGGREGATES, STOCKS
 from tickloom.sinks import fs
 
+log = logging.getLogger(__name__)
+
 BATCH_BITS = 40
 
 
@@ -45,6 +48,13 @@ def open_epoch(spark: SparkSession, checkpoint: str, table_path: str) -> int:
     while not fs.create(spark, f"{table_path}/_epochs/{epoch}"):
         epoch += 1
     fs.create(spark, f"{checkpoint}/_epoch={epoch}")
+    if epoch:
+        log.warning(
+            "%s: checkpoint %s is new. Messages read again are appended again, and windows that "
+            "come out differently replace the earlier ones.",
+            table_path,
+            checkpoint,
+        )
     return epoch
 
 

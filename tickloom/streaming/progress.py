@@ -14,12 +14,13 @@ def totals(query: StreamingQuery) -> dict[str, int]:
     window and partition may count as one.
     """
     reports = [json.loads(p.json) for p in query.recentProgress]
+    written = [r["observedMetrics"][WRITTEN] for r in reports if r.get("observedMetrics")]
     states = [s for r in reports for s in r.get("stateOperators", [])]
     last = reports[-1].get("stateOperators", []) if reports else []
     return {
         "batches": len(reports),
         "input_rows": sum(r["numInputRows"] for r in reports),
-        "written_rows": sum(r.get("observedMetrics", {}).get(WRITTEN, {}).get("rows", 0) for r in reports),
+        "written_rows": sum(m["rows"] for m in written),
         "late_rows": sum(s["numRowsDroppedByWatermark"] for s in states),
         "state_rows": sum(s["numRowsTotal"] for s in last),
     }
