@@ -1,4 +1,5 @@
 import json
+from datetime import datetime
 
 from helpers import message, optimized, rows
 from pyspark.sql import functions as F
@@ -63,3 +64,12 @@ def test_encode_keeps_values_and_names(spark):
     assert list(json.loads(text)) == names
     back = accepted(parse_messages(to_messages(stocks))).drop("fault", "raw_value")
     assert repr(rows(back)) == repr(rows(stocks.select(*names)))
+
+
+def test_topic_columns_do_not_clash(spark):
+    """A topic has a time, key and offset of its own beside the value."""
+    records = spark.createDataFrame(
+        [(None, bytearray(GOOD.encode()), "t", 0, 7, datetime(2030, 1, 1))],
+        "key binary, value binary, topic string, partition int, offset long, timestamp timestamp",
+    )
+    assert parse_messages(records).first().event_time == datetime(2024, 1, 1, 9, 30)

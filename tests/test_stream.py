@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helpers import land, message, rows
 from tickloom.operators import parse_messages, window_aggregate
+from tickloom.session import session_conf
 from tickloom.sinks.lake import read_aggregates, read_quarantine, read_stocks
 from tickloom.sinks import LakeTable, publish_files
 from tickloom.sources import read_files
@@ -64,11 +66,8 @@ def test_lateness_sequence(spark, tmp_path, config):
     for i, times in enumerate(batches):
         land(folder, [message("A", DAY + t) for t in times], f"{i}.txt")
     # Batches without data would move the late filter on between the files.
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    try:
+    with session_conf(spark, spark__sql__streaming__noDataMicroBatches__enabled="false"):
         (query,) = wait(start_aggregates(spark, one_file_per_batch(spark, folder), config))
-    finally:
-        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert emitted(spark, config) == [
         (0, "09:30", 1),
         (1, "09:35", 1),
@@ -80,6 +79,47 @@ def test_lateness_sequence(spark, tmp_path, config):
     assert (got["batches"], got["input_rows"], got["written_rows"], got["late_rows"]) == (4, 6, 4, 2)
 
 
+def expected_log(batches):
+    """Brute force: the late filter uses the previous batch's watermark, eviction the current."""
+    newest, before, state, log = None, datetime.min, {}, []
+    for number, times in enumerate(batches):
+        watermark = newest - timedelta(minutes=2) if newest else datetime.min
+        changes = set()
+        for time in times:
+            start = time.replace(second=0)
+            if start + timedelta(minutes=1) > before:
+                state[start] = state.get(start, 0) + 1
+                changes.add(start)
+        log += [(number, f"{start:%H:%M}", state[start]) for start in changes]
+        state = {s: n for s, n in state.items() if s + timedelta(minutes=1) > watermark}
+        newest = max([*times, newest or datetime.min])
+        before = watermark
+    return sorted(log)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_lateness_against_brute_force(spark, tmp_path, config, seed):
+    folder, pick = str(tmp_path / "in"), random.Random(seed)
+    batches = []
+    for number in range(7):
+        around = datetime(2024, 1, 1, 9) + timedelta(minutes=2 * number)
+        times = [around + timedelta(seconds=pick.randint(-400, 100)) for _ in range(25)]
+        land(folder, [message("A", str(t)) for t in times], f"{number}.txt")
+        batches.append(times)
+    with session_conf(spark, spark__sql__streaming__noDataMicroBatches__enabled="false"):
+        wait(start_aggregates(spark, one_file_per_batch(spark, folder), config))
+    want = expected_log(batches)
+    assert sum(n for _, _, n in want) and emitted(spark, config) == want
+    assert totals_of_last(want) == counts(spark, config)
+
+
+def totals_of_last(log):
+    last = {}
+    for number, start, n in log:
+        last[start] = n
+    return sorted((start, "A", n) for start, n in last.items())
+
+
 def test_resent_bar_counts_again_unless_dropped(spark, tmp_path, config):
     folder = str(tmp_path / "in")
     for i in range(3):
