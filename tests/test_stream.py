@@ -1,5 +1,7 @@
 import json
+import logging
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -12,6 +14,7 @@ from tickloom.sinks.lake import read_aggregates, read_quarantine, read_stocks
 from tickloom.sinks import LakeTable, publish_files
 from tickloom.sources import read_files
 from tickloom.streaming import (
+    BatchLog,
     PipelineConfig,
     ingest_documents,
     run_available,
@@ -259,6 +262,24 @@ def test_timed_trigger_until_stopped(spark, tmp_path, config):
     assert read_stocks(spark, config.stocks).count() == 2
 
 
+def test_each_batch_is_logged(spark, tmp_path, config, caplog):
+    folder = str(tmp_path / "in")
+    land(folder, [message("A", DAY + "09:30:00"), message("B", DAY + "09:30:01")], "0.txt")
+    listener = BatchLog()
+    spark.streams.addListener(listener)
+    want = f"{config.aggregates}: batch 0, input_rows 2, written_rows 2, late_rows 0, state_rows 2"
+    try:
+        with caplog.at_level(logging.INFO, "tickloom"):
+            parsed = parse_messages(read_files(spark, folder))
+            wait(start_aggregates(spark, parsed, config))
+            deadline = time.time() + 20
+            while want not in caplog.messages and time.time() < deadline:
+                time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert want in caplog.messages
+
+
 def test_bounded_run_wants_no_trigger(spark, config):
     with pytest.raises(ValueError):
         run_available(spark, None, changed(config, trigger="1 second"))

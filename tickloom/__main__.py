@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import os
 from collections.abc import Sequence
 
@@ -20,7 +21,13 @@ from tickloom.sinks import (
 )
 from tickloom.sinks.lake import read_stocks
 from tickloom.sources import kafka_options, read_files, read_kafka
-from tickloom.streaming import PipelineConfig, ingest_documents, start_pipeline, supervise
+from tickloom.streaming import (
+    BatchLog,
+    PipelineConfig,
+    ingest_documents,
+    start_pipeline,
+    supervise,
+)
 
 # Fixed value: the topic the messages go through.
 TOPIC = "stock_analysis"
@@ -164,6 +171,11 @@ def _panel(spark: SparkSession, args: argparse.Namespace) -> None:
 def main(argv: Sequence[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = build_session(timezone=args.timezone)
+    if args.command in ("run", "ingest"):
+        logger = logging.getLogger("tickloom")
+        logger.setLevel(logging.INFO)
+        logger.addHandler(logging.StreamHandler())
+        spark.streams.addListener(BatchLog())
     {"run": _run, "ingest": _ingest, "fold": _fold, "panel": _panel}[args.command](spark, args)
 
 

@@ -123,8 +123,8 @@ def symbol_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = read_bars(spark, sf_dir).where(F.col("symbol") < "p")
-    return keep_listed(read_ticks(spark, sf_dir), listed)
+    stocks = read_ticks(spark, sf_dir)
+    return keep_listed(stocks, stocks.where(F.col("symbol") < "p"))
 
 
 def ohlc_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

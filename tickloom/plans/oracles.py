@@ -89,8 +89,8 @@ ORACLES: dict[str, str] = {
     "last_known_close": f"""WITH {_TICKS} SELECT symbol, arg_max(close, "timestamp") AS close
 FROM s WHERE close >= 20 GROUP BY symbol""",
     "symbol_filter": f"WITH {_TICKS} {_ROWS} s WHERE symbol IN ('click', 'view')",
-    "symbol_listed": f"""WITH {_TICKS}, {_BARS} {_ROWS} s
-WHERE symbol IN (SELECT symbol FROM b WHERE symbol < 'p')""",
+    "symbol_listed": f"""WITH {_TICKS} {_ROWS} s
+WHERE symbol IN (SELECT symbol FROM s WHERE symbol < 'p')""",
     "agg_1m": f"WITH {_TICKS} {_windows('s', '1 minute')}",
     "agg_1h": f"WITH {_TICKS} {_windows('s', '1 hour')}",
     "resent_agg_1h": f"""WITH {_TICKS}, sent AS (SELECT * FROM s UNION ALL SELECT * FROM s)

@@ -9,9 +9,10 @@ from tickloom.streaming.pipeline import (
     start_raw,
     supervise,
 )
-from tickloom.streaming.progress import totals
+from tickloom.streaming.progress import BatchLog, totals
 
 __all__ = [
+    "BatchLog",
     "PipelineConfig",
     "ingest_documents",
     "run_available",

@@ -97,7 +97,7 @@ def start_raw(spark: SparkSession, parsed: DataFrame, config: PipelineConfig) ->
         finally:
             batch.unpersist()
 
-    return _start(spark, rows, "append", write, checkpoint, config)
+    return _start(spark, rows, "append", write, checkpoint, config, config.stocks)
 
 
 def start_aggregates(
@@ -123,7 +123,8 @@ def start_aggregates(
             )
 
     windows = windows.select(AGGREGATES.names)
-    return _start(spark, windows, config.output_mode, write, checkpoint, config)
+    mode = config.output_mode
+    return _start(spark, windows, mode, write, checkpoint, config, config.aggregates)
 
 
 def _start(
@@ -133,6 +134,7 @@ def _start(
     write: Callable[[DataFrame, int], None],
     checkpoint: str,
     config: PipelineConfig,
+    name: str,
 ) -> StreamingQuery:
     # The count travels with the one write of the batch into the query's progress report.
     counted = rows.observe(WRITTEN, F.count(F.lit(1)).alias("rows"))
@@ -146,6 +148,7 @@ def _start(
     ):
         return (
             counted.writeStream.foreachBatch(write)
+            .queryName(name)
             .outputMode(output_mode)
             .trigger(**trigger)
             .option("checkpointLocation", checkpoint)

@@ -1,26 +1,57 @@
+"""Row counts of a query, from Spark's own progress reports: no extra pass over a batch."""
+
 from __future__ import annotations
 
 import json
+import logging
+
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from pyspark.sql.streaming import StreamingQuery
+log = logging.getLogger(__name__)
 
+# The name under which a query observes the rows it hands to its table.
 WRITTEN = "written"
 
 
-def totals(query: StreamingQuery) -> dict[str, int]:
-    """Counts over the recent batches of a query, from Spark's own progress reports.
+def batch_counts(report: dict) -> dict[str, int]:
+    """Counts of one batch, from its progress report.
 
-    Rows dropped as late are counted after the partial aggregation, so several late rows of one
-    window and partition may count as one.
+    Late rows are counted after the partial aggregation, so several late rows of one window and
+    partition may count as one.
     """
-    reports = [json.loads(p.json) for p in query.recentProgress]
-    written = [r["observedMetrics"][WRITTEN] for r in reports if r.get("observedMetrics")]
-    states = [s for r in reports for s in r.get("stateOperators", [])]
-    last = reports[-1].get("stateOperators", []) if reports else []
+    states = report.get("stateOperators", [])
+    written = report.get("observedMetrics", {}).get(WRITTEN, {})
     return {
-        "batches": len(reports),
-        "input_rows": sum(r["numInputRows"] for r in reports),
-        "written_rows": sum(m["rows"] for m in written),
+        "input_rows": report["numInputRows"],
+        "written_rows": written.get("rows", 0),
         "late_rows": sum(s["numRowsDroppedByWatermark"] for s in states),
-        "state_rows": sum(s["numRowsTotal"] for s in last),
+        "state_rows": sum(s["numRowsTotal"] for s in states),
     }
+
+
+def totals(query: StreamingQuery) -> dict[str, int]:
+    """Counts over the recent batches of a query; state_rows are those of the last."""
+    batches = [batch_counts(json.loads(p.json)) for p in query.recentProgress]
+    result = {"batches": len(batches)}
+    for name in ("input_rows", "written_rows", "late_rows"):
+        result[name] = sum(b[name] for b in batches)
+    result["state_rows"] = batches[-1]["state_rows"] if batches else 0
+    return result
+
+
+class BatchLog(StreamingQueryListener):
+    """Logs one line per batch; add it with spark.streams.addListener."""
+
+    def onQueryStarted(self, event) -> None:
+        log.info("%s: started", event.name)
+
+    def onQueryProgress(self, event) -> None:
+        counts = batch_counts(json.loads(event.progress.json))
+        text = ", ".join(f"{name} {value}" for name, value in counts.items())
+        log.info("%s: batch %d, %s", event.progress.name, event.progress.batchId, text)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        log.info("query %s: ended%s", event.id, f", {event.exception}" if event.exception else "")
