@@ -135,6 +135,18 @@ def test_resent_bar_counts_again_unless_dropped(spark, tmp_path, config):
     assert counts(spark, once) == [("09:35", "A", 1)]
 
 
+def test_dedup_keeps_old_rows_of_open_windows(spark, tmp_path, config):
+    """09:32:20 is behind the watermark, 09:32:51, but its window is not; 09:31:59 is late."""
+    folder = str(tmp_path / "in")
+    late = ["09:32:20", "09:32:20", "09:31:59"]
+    for i, times in enumerate([["09:34:50"], ["09:34:51"], late, ["09:32:20", "09:32:40"]]):
+        land(folder, [message("A", DAY + t) for t in times], f"{i}.txt")
+    once = changed(config, dedup=True)
+    with session_conf(spark, spark__sql__streaming__noDataMicroBatches__enabled="false"):
+        wait(start_aggregates(spark, one_file_per_batch(spark, folder), once))
+    assert counts(spark, once) == [("09:32", "A", 2), ("09:34", "A", 2)]
+
+
 def test_copies_spread_over_files_count_once(spark, tmp_path, config):
     """Copies with different salts reach the second pass in the same batch."""
     folder = str(tmp_path / "in")

@@ -13,17 +13,25 @@ def window_aggregate(
     time: str = "event_time",
     key: str = "symbol",
     watermark: str | None = None,
+    dedup: bool = False,
 ) -> DataFrame:
     """avg_close, min_low, max_high, trade_count per window and key.
 
     All buffers are fixed-width, so each partition folds its rows in a hash aggregate before the
     shuffle: a hot symbol sends one row per window and partition. On a stream, `watermark` bounds
-    the state and late rows are dropped. Rows without a time fall out.
+    the state and late rows are dropped. Rows without a time fall out. With `dedup`, a row that is
+    sent again (same key and time) counts once.
     """
-    if watermark and not _watermarked(rows, time):
+    if watermark:
         rows = rows.withWatermark(time, watermark)
+    rows = rows.withColumn("window", F.window(time, width))
+    if dedup:
+        if rows.isStreaming:
+            rows = _drop_resent_in_window(rows, key, time)
+        else:
+            rows = drop_resent(rows, (key, time))
     return (
-        rows.groupBy(F.window(time, width).alias("window"), key)
+        rows.groupBy("window", key)
         .agg(
             F.avg("close").alias("avg_close"),
             F.min("low").alias("min_low"),
@@ -42,32 +50,22 @@ def window_aggregate(
     )
 
 
-def drop_resent(
-    rows: DataFrame,
-    keys: Sequence[str] = ("symbol", "event_time"),
-    watermark: str | None = None,
-    time: str = "event_time",
-    salts: int = 16,
-) -> DataFrame:
-    """Keep one row per key; a bar that is sent again counts once.
+def drop_resent(rows: DataFrame, keys: Sequence[str] = ("symbol", "event_time")) -> DataFrame:
+    """Keep one row per key of a table; copies are folded before the shuffle."""
+    return rows.dropDuplicates(list(keys))
+
 
-    A table needs one pass, since its copies are folded before the shuffle. A stream drops copies
-    first among the partitions that share a salt and then over all, so that a bar sent very often
-    does not pass through one task alone. The salt may change when a batch is run again: the
-    second pass decides.
+def _drop_resent_in_window(rows: DataFrame, key: str, time: str, salts: int = 16) -> DataFrame:
+    """Keep one row per key and time of a stream.
+
+    Copies are dropped first among the partitions that share a salt and then over all, so that a
+    bar sent very often does not pass through one task alone. The salt may change when a batch is
+    run again: the second pass decides. The time goes in as a number, which leaves the window as
+    the column with the watermark: a row is late here exactly when it is late for its window.
     """
-    keys = list(keys)
-    if not rows.isStreaming:
-        return rows.dropDuplicates(keys)
-    if watermark:
-        rows = rows.withWatermark(time, watermark)
+    keys = [key, "_instant", "window"]
     return (
-        rows.withColumn("_salt", F.spark_partition_id() % salts)
+        rows.withColumns({"_instant": F.unix_micros(time), "_salt": F.spark_partition_id() % salts})
         .dropDuplicates([*keys, "_salt"])
-        .drop("_salt")
         .dropDuplicates(keys)
     )
-
-
-def _watermarked(rows: DataFrame, time: str) -> bool:
-    return "spark.watermarkDelayMs" in rows.schema[time].metadata

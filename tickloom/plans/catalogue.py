@@ -14,7 +14,6 @@ from tickloom.functions import decimal_round
 from tickloom.operators import (
     accepted,
     build_payloads,
-    drop_resent,
     keep_listed,
     keep_symbols,
     last_not_null,
@@ -148,8 +147,8 @@ def resent_agg_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_agg_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record twice: it counts once."""
     stocks = read_ticks(spark, sf_dir)
-    once = drop_resent(stocks.unionAll(stocks), ("symbol", "timestamp"))
-    return _rounded(window_aggregate(once, "1 hour", "timestamp"))
+    sent = stocks.unionAll(stocks)
+    return _rounded(window_aggregate(sent, "1 hour", "timestamp", dedup=True))
 
 
 def agg_1m_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

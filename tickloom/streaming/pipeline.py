@@ -13,7 +13,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators import (
     accepted,
-    drop_resent,
     parse_messages,
     quarantined,
     window_aggregate,
@@ -108,9 +107,9 @@ def start_aggregates(
     epoch = open_epoch(spark, checkpoint, config.aggregates)
     rows = parsed if config.keep_malformed else accepted(parsed)
     rows = rows.select("symbol", "low", "high", "close", "event_time")
-    if config.dedup:
-        rows = drop_resent(rows, watermark=config.watermark)
-    windows = window_aggregate(rows, config.width, watermark=config.watermark)
+    windows = window_aggregate(
+        rows, config.width, watermark=config.watermark, dedup=config.dedup
+    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if config.jdbc:
