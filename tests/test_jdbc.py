@@ -1,11 +1,16 @@
 """The statements run on the SQL engine of the oracle; no database is started for Spark."""
 
+from datetime import datetime
+
 import duckdb
 import pytest
 
+from helpers import land, message
 from tickloom.schema import AGGREGATES, AGGREGATE_KEY
 from tickloom.sinks import JdbcTarget, checkpoint_id, jdbc
-from tickloom.sources import jdbc_options
+from tickloom.sinks.lake import read_quarantine, read_stocks
+from tickloom.sources import jdbc_options, read_files, tables
+from tickloom.streaming import PipelineConfig, pipeline, run_available
 
 TARGET = JdbcTarget("jdbc:postgresql://db/ticks", "u", "secret", connections=4)
 
@@ -107,6 +112,49 @@ def test_checkpoint_has_a_lasting_name(spark, tmp_path):
     assert one != two and checkpoint_id(spark, str(tmp_path / "a")) == one
 
 
+def test_table_is_read_in_slices_between_its_ends(spark, monkeypatch):
+    asked = []
+    ends = spark.sql("SELECT timestamp'2024-01-01' low, timestamp'2024-03-01 12:00:00' high")
+    monkeypatch.setattr(tables, "read_jdbc", lambda s, options: asked.append(options) or ends)
+    tables.read_table(spark, TARGET, "stocks", "timestamp")
+    assert asked[0]["query"].endswith("max(timestamp) AS high FROM stocks")
+    assert (asked[1]["lowerBound"], asked[1]["upperBound"]) == (
+        "2024-01-01 00:00:00",
+        "2024-03-01 12:00:00",
+    )
+    empty = spark.sql("SELECT cast(null AS timestamp) low, cast(null AS timestamp) high")
+    monkeypatch.setattr(tables, "read_jdbc", lambda s, options: asked.append(options) or empty)
+    tables.read_table(spark, TARGET, "stocks", "timestamp")
+    assert asked[-1]["dbtable"] == "stocks" and "partitionColumn" not in asked[-1]
+
+
+def test_pipeline_into_a_database(spark, tmp_path, monkeypatch):
+    """Good rows and windows go to the database, unusable messages into the folder."""
+    config = PipelineConfig(
+        checkpoint=str(tmp_path / "checkpoint"),
+        tables=str(tmp_path / "tables"),
+        trigger=None,
+        state_partitions=2,
+        jdbc=TARGET,
+    )
+    got = {}
+
+    def keep(rows, target, table, *rest):
+        got.setdefault(table, []).append((rest[-1], [tuple(r) for r in rows.collect()]))
+
+    monkeypatch.setattr(pipeline, "write_once", keep)
+    monkeypatch.setattr(pipeline, "write_upsert", keep)
+    land(str(tmp_path / "in"), [message("A", "2024-01-01 09:30:00", 2.0), "not json"], "0.txt")
+    run_available(spark, read_files(spark, str(tmp_path / "in")), config)
+    batch, rows = got["stocks"][0]
+    assert rows == [("A", 2.0, 2.0, 2.0, 2.0, datetime(2024, 1, 1, 9, 30))]
+    assert batch.endswith("/0")
+    batch, rows = got["stocks_aggregates_1m"][0]
+    assert [r[2:] for r in rows] == [("A", 2.0, 2.0, 2.0, 1)]
+    assert [bytes(r.raw_value) for r in read_quarantine(spark, config.stocks).collect()] == [b"not json"]
+    assert read_stocks(spark, config.stocks).count() == 0
+
+
 def test_options():
     assert "secret" not in repr(TARGET)
     got = jdbc_options(TARGET, "stocks", "timestamp", "2024-01-01", "2024-02-01")

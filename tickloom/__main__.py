@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.functions import time_range
 from tickloom.plans import dashboard
 from tickloom.schema import SYMBOLS
 from tickloom.session import build_session
@@ -20,7 +21,7 @@ from tickloom.sinks import (
     publish_kafka,
 )
 from tickloom.sinks.lake import read_stocks
-from tickloom.sources import kafka_options, read_files, read_kafka
+from tickloom.sources import kafka_options, read_files, read_kafka, read_table
 from tickloom.streaming import (
     BatchLog,
     PipelineConfig,
@@ -60,8 +61,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--state-partitions", type=int)
     run.add_argument("--min-partitions", type=int)
     run.add_argument("--max-per-trigger", type=int, help="offsets or files per batch")
-    run.add_argument("--jdbc-url", help="write to a database; user and password from JDBC_USER "
-                     "and JDBC_PASSWORD")
+    _add_database(run, "write to a database")
 
     ingest = commands.add_parser("ingest", help="landed documents into messages, then end")
     _add_messages(ingest)
@@ -78,7 +78,9 @@ def parser() -> argparse.ArgumentParser:
 
     panel = commands.add_parser("panel", help="answer one of the dashboard's questions")
     panel.add_argument("name", choices=sorted(PANELS))
-    panel.add_argument("--tables", required=True)
+    where = panel.add_mutually_exclusive_group(required=True)
+    where.add_argument("--tables")
+    _add_database(where, "read from a database")
     panel.add_argument("--start")
     panel.add_argument("--end")
     panel.add_argument("--days", type=int, help="the last days up to now, in place of a range")
@@ -96,10 +98,18 @@ def _add_messages(command: argparse.ArgumentParser) -> None:
     command.add_argument("--topic", default=TOPIC)
 
 
+def _add_database(command, purpose: str) -> None:
+    login = "user and password are in JDBC_USER and JDBC_PASSWORD"
+    command.add_argument("--jdbc-url", help=f"{purpose}; {login}")
+
+
+def _database(args: argparse.Namespace) -> JdbcTarget | None:
+    if not args.jdbc_url:
+        return None
+    return JdbcTarget(args.jdbc_url, os.environ["JDBC_USER"], os.environ["JDBC_PASSWORD"])
+
+
 def _config(args: argparse.Namespace) -> PipelineConfig:
-    jdbc = None
-    if args.jdbc_url:
-        jdbc = JdbcTarget(args.jdbc_url, os.environ["JDBC_USER"], os.environ["JDBC_PASSWORD"])
     return PipelineConfig(
         checkpoint=args.checkpoint,
         tables=args.tables,
@@ -109,7 +119,7 @@ def _config(args: argparse.Namespace) -> PipelineConfig:
         dedup=args.dedup,
         keep_malformed=args.keep_malformed,
         state_partitions=args.state_partitions,
-        jdbc=jdbc,
+        jdbc=_database(args),
     )
 
 
@@ -156,11 +166,16 @@ def _fold(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _panel(spark: SparkSession, args: argparse.Namespace) -> None:
-    path = PipelineConfig(checkpoint="", tables=args.tables).stocks
     bounds = (None, None)
     if args.name in RANGED:
         bounds = dashboard.last_days(args.days) if args.days else (args.start, args.end)
-    stocks = read_stocks(spark, path, *bounds, keep_malformed=args.keep_malformed)
+    database = _database(args)
+    if database:
+        table = read_table(spark, database, "stocks", "timestamp")
+        stocks = time_range(table, "timestamp", *bounds)
+    else:
+        path = PipelineConfig(checkpoint="", tables=args.tables).stocks
+        stocks = read_stocks(spark, path, *bounds, keep_malformed=args.keep_malformed)
     result = PANELS[args.name](stocks, args)
     if args.out:
         result.write.mode("overwrite").parquet(args.out)

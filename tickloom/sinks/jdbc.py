@@ -25,16 +25,17 @@ class JdbcTarget:
     driver: str = "org.postgresql.Driver"
     connections: int = 16
 
-    def options(self, table: str) -> dict[str, str]:
+    def login(self) -> dict[str, str]:
         return {
             "url": self.url,
-            "dbtable": table,
             "user": self.user,
             "password": self.password,
             "driver": self.driver,
-            "numPartitions": str(self.connections),
         }
 
+    def options(self, table: str) -> dict[str, str]:
+        return {**self.login(), "dbtable": table, "numPartitions": str(self.connections)}
+
 
 def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
     """A name that stays with a checkpoint folder; batch numbers are unique under it."""

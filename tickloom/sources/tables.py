@@ -21,5 +21,15 @@ def jdbc_options(
     }
 
 
+def read_table(spark: SparkSession, target: JdbcTarget, table: str, column: str) -> DataFrame:
+    """A whole table in slices of `column`, whose ends the database tells first."""
+    ends = f"SELECT min({column}) AS low, max({column}) AS high FROM {table}"
+    ask = {**target.login(), "query": ends}
+    low, high = read_jdbc(spark, ask).first()
+    if low is None:
+        return read_jdbc(spark, {**target.login(), "dbtable": table})
+    return read_jdbc(spark, jdbc_options(target, table, column, str(low), str(high)))
+
+
 def read_jdbc(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     return spark.read.format("jdbc").options(**options).load()
