@@ -148,12 +148,13 @@ def test_dedup_keeps_old_rows_of_open_windows(spark, tmp_path, config):
 
 
 def test_copies_spread_over_files_count_once(spark, tmp_path, config):
-    """Copies with different salts reach the second pass in the same batch."""
+    """Copies in different partitions, and in different Arrow batches, meet in one micro-batch."""
     folder = str(tmp_path / "in")
     for i in range(20):
         land(folder, [message("A", DAY + "09:35:00")] * 30 + [message(f"S{i}", DAY + "09:35:00")], f"{i}.txt")
     once = changed(config, dedup=True)
-    wait(start_aggregates(spark, parse_messages(read_files(spark, folder)), once))
+    with session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="10"):
+        wait(start_aggregates(spark, parse_messages(read_files(spark, folder)), once))
     assert counts(spark, once) == sorted([("09:35", "A", 1), *(("09:35", f"S{i}", 1) for i in range(20))])
 
 

@@ -139,10 +139,13 @@ def _start(
     counted = rows.observe(WRITTEN, F.count(F.lit(1)).alias("rows"))
     trigger = {"processingTime": config.trigger} if config.trigger else {"availableNow": True}
     partitions = config.state_partitions
+    # Counting the rows of the state costs a read per write, too much where it holds every bar.
+    count_state = "false" if config.dedup else None
     with session_conf(
         spark,
         spark__sql__streaming__stateStore__providerClass=ROCKSDB,
         spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
+        spark__sql__streaming__stateStore__rocksdb__trackTotalNumberOfRows=count_state,
         spark__sql__shuffle__partitions=str(partitions) if partitions else None,
     ):
         return (

@@ -17,7 +17,7 @@ def batch_counts(report: dict) -> dict[str, int]:
     """Counts of one batch, from its progress report.
 
     Late rows are counted after the partial aggregation, so several late rows of one window and
-    partition may count as one.
+    partition may count as one. The state of a query with dedup is not counted.
     """
     states = report.get("stateOperators", [])
     written = report.get("observedMetrics", {}).get(WRITTEN, {})
