@@ -23,8 +23,10 @@ def window_aggregate(
     the state and late rows are dropped. Rows without a time fall out. With `dedup`, a row that is
     sent again (same key and time) counts once.
     """
-    if dedup and rows.isStreaming:
-        rows = _fold_copies(rows, (key, time))
+    rows = rows.select(key, time, "low", "high", "close")
+    if dedup:
+        fold = _fold_copies if rows.isStreaming else drop_resent
+        rows = fold(rows, (key, time))
     if watermark:
         rows = rows.withWatermark(time, watermark)
     rows = rows.withColumn("window", F.window(time, width))
@@ -33,8 +35,6 @@ def window_aggregate(
         # a row is late here exactly when it is late for its window.
         rows = rows.withColumn("_instant", F.unix_micros(time))
         rows = rows.dropDuplicates([key, "_instant", "window"])
-    elif dedup:
-        rows = drop_resent(rows, (key, time))
     return (
         rows.groupBy("window", key)
         .agg(
@@ -56,7 +56,10 @@ def window_aggregate(
 
 
 def drop_resent(rows: DataFrame, keys: Sequence[str] = ("symbol", "event_time")) -> DataFrame:
-    """Keep one row per key of a table; copies are folded before the shuffle."""
+    """Keep one row per key of a table; copies are folded before the shuffle.
+
+    Select what is needed first: columns of fixed width beside the keys keep it a hash aggregate.
+    """
     return rows.dropDuplicates(list(keys))
 
 
@@ -70,7 +73,8 @@ def _fold_copies(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbered = pa.table({k: batch.column(k) for k in keys} | {"row": range(len(batch))})
+            row = pa.array(range(len(batch)), pa.int64())
+            numbered = pa.table({k: batch.column(k) for k in keys} | {"row": row})
             first = numbered.group_by(keys, use_threads=False).aggregate([("row", "min")])
             yield batch.take(first["row_min"].combine_chunks())
 

@@ -11,12 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickloom.operators import (
-    accepted,
-    parse_messages,
-    quarantined,
-    window_aggregate,
-)
+from tickloom.operators import accepted, parse_messages, quarantined, window_aggregate
 from tickloom.schema import AGGREGATE_KEY, AGGREGATES, STOCKS
 from tickloom.session import ROCKSDB, session_conf
 from tickloom.sinks import (
@@ -67,7 +62,12 @@ def start_pipeline(
 ) -> list[StreamingQuery]:
     """Start both queries over a stream of messages (column `value`)."""
     parsed = parse_messages(messages)
-    return [start_raw(spark, parsed, config), start_aggregates(spark, parsed, config)]
+    raw = start_raw(spark, parsed, config)
+    try:
+        return [raw, start_aggregates(spark, parsed, config)]
+    except Exception:
+        raw.stop()
+        raise
 
 
 def start_raw(spark: SparkSession, parsed: DataFrame, config: PipelineConfig) -> StreamingQuery:
@@ -107,9 +107,7 @@ def start_aggregates(
     epoch = open_epoch(spark, checkpoint, config.aggregates)
     rows = parsed if config.keep_malformed else accepted(parsed)
     rows = rows.select("symbol", "low", "high", "close", "event_time")
-    windows = window_aggregate(
-        rows, config.width, watermark=config.watermark, dedup=config.dedup
-    )
+    windows = window_aggregate(rows, config.width, watermark=config.watermark, dedup=config.dedup)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if config.jdbc:
@@ -117,9 +115,8 @@ def start_aggregates(
             write_upsert(batch, config.jdbc, "stocks_aggregates_1m", AGGREGATE_KEY, name)
         else:
             version = version_of(epoch, batch_id)
-            AGGREGATES_TABLE.write_batch(
-                batch, config.aggregates, version, config.aggregate_files
-            )
+            files = config.aggregate_files
+            AGGREGATES_TABLE.write_batch(batch, config.aggregates, version, files)
 
     windows = windows.select(AGGREGATES.names)
     mode = config.output_mode
