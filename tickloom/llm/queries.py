@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.fingerprints import fingerprint_edits
 from tickloom.llm.lines import dedup_lines
+from tickloom.llm.repeats import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,11 +24,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op3_line_dedup, op10_fingerprints)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op3_line_dedup, op9_suffix_dedup, op10_fingerprints)}
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": """
