@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.fingerprints import fingerprint_edits
+from tickloom.llm.leaks import find_leaks
 from tickloom.llm.lines import dedup_lines
+from tickloom.llm.mixing import mix_sources
 from tickloom.llm.repeats import remove_repeats
+from tickloom.llm.tokens import count_tokens, load_pieces
+
+VOCABULARY = os.environ.get("TICKLOOM_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +30,27 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("row.*", "copy", "shuffle_key")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(table(spark, sf_dir, "documents"), load_pieces(VOCABULARY), carry=["doc_id"])
+    return counted.select("row.doc_id", "n_pretokens", "n_tokens", "score")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -38,7 +65,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op3_line_dedup, op9_suffix_dedup, op10_fingerprints)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (
+    op3_line_dedup, op4_decontamination, op5_mixing, op7_token_counts, op9_suffix_dedup, op10_fingerprints,
+)}
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": """
@@ -59,5 +88,55 @@ WITH lines AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op4_decontamination": r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), sized AS (
+  SELECT item_id, w, least(len(w), 10) AS size FROM item WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS words
+  FROM sized, unnest(range(1, len(w) - size + 2)) AS t(i)
+), sizes AS (SELECT DISTINCT size FROM windows),
+grams AS (
+  SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS words
+  FROM doc, sizes, unnest(range(1, len(w) - size + 2)) AS t(i)
+), hits AS (
+  SELECT g.doc_id, g.i, g.size, w.item_id FROM grams g JOIN windows w ON g.size = w.size AND g.words = w.words
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(0, size)) AS t(k) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit,
+       coalesce(f.n_items, 0)::BIGINT AS n_items, sha256(coalesce(f.items, '')) AS items_sha256,
+       coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)
+""",
+    "op5_mixing": """
+WITH counted AS (
+  SELECT source, count(*) AS n FROM documents GROUP BY source
+), rates AS (
+  SELECT source, sqrt(n) / (SELECT sum(sqrt(n)) FROM counted) * (SELECT sum(n) FROM counted) / n AS rate FROM counted
+), steps AS (
+  SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k FROM rates
+), chances AS (
+  SELECT source, k, exp(k * ln(rate) - rate
+    - sum(CASE WHEN k > 0 THEN ln(k) ELSE 0 END) OVER (PARTITION BY source ORDER BY k)) AS p FROM steps
+), summed AS (
+  SELECT source, sum(p) OVER (PARTITION BY source ORDER BY k) AS at_most FROM chances
+), numbered AS (
+  SELECT *, ('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents
+), times AS (
+  SELECT d.doc_id, count(*) AS copies FROM numbered d JOIN summed s
+  ON s.source IS NOT DISTINCT FROM d.source AND s.at_most <= d.u GROUP BY d.doc_id
+)
+SELECT d.*, i AS copy, md5('mix:' || d.doc_id || ':' || i) AS shuffle_key
+FROM documents d JOIN times t USING (doc_id), unnest(range(1, copies + 1)) AS x(i)
 """,
 }
