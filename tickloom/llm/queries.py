@@ -12,6 +12,7 @@ from tickloom.llm.fingerprints import fingerprint_edits
 from tickloom.llm.leaks import find_leaks
 from tickloom.llm.lines import dedup_lines
 from tickloom.llm.mixing import mix_sources
+from tickloom.llm.nearcopies import near_copies
 from tickloom.llm.repeats import remove_repeats
 from tickloom.llm.tokens import count_tokens, load_pieces
 
@@ -24,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), carry=["doc_id"]).select(
         "row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
@@ -66,7 +71,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op3_line_dedup, op4_decontamination, op5_mixing, op7_token_counts, op9_suffix_dedup, op10_fingerprints,
+    op2_near_dedup, op3_line_dedup, op4_decontamination, op5_mixing, op7_token_counts, op9_suffix_dedup, op10_fingerprints,
 )}
 
 ORACLES: dict[str, str] = {
