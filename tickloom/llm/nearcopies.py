@@ -25,6 +25,11 @@ SIMILARITY = 0.8
 BANDS = 20
 ROWS = 4
 
+#: Keys of a band that are compared with each other directly.
+DIRECT = 32
+CLASS = 1.03
+COUNTERS = 1 << 20
+
 _RANK = np.uint64(0xA24BAED4963EE407)
 _DART = np.uint64(0x9FB21C651E98DF25)
 _SLACK = 2.3
@@ -144,6 +149,104 @@ def similarities(one: pa.Array, two: pa.Array, size: int = SIZE) -> np.ndarray:
     return out
 
 
+def _close(one: str, two: str, similarity: float):
+    """Weights that allow the similarity."""
+    return F.least(one, two) >= F.greatest(one, two) * F.lit(similarity)
+
+
+def _class(weight: np.ndarray) -> np.ndarray:
+    """Weights in classes that grow by CLASS each."""
+    return np.floor(np.log(np.maximum(weight, 1)) / np.log(CLASS)).astype(np.int64)
+
+
+def prefix_tokens(
+    text: np.ndarray, cells: np.ndarray, weight: np.ndarray, common: np.ndarray, similarity: float
+) -> tuple[np.ndarray, ...]:
+    """(text, own class, other class, cell, place) of the cells that a partner of the other class must share one of.
+
+    Cells are put in one order for all texts, rare ones first by the counters `common`. Two texts with weights
+    v and w and the similarity t share at least t / (1 + t) * (v + w) cells, so their first common cell leaves
+    as many places in both: it lies among the first v + 1 less that number.
+    """
+    spot = (cells & np.uint64(len(common) - 1)).astype(np.int64)
+    order = np.lexsort((cells, common[spot], text))
+    text, cells = text[order], cells[order]
+    bounds = np.concatenate([[0], np.cumsum(weight)])
+    place = np.arange(len(cells)) - bounds[text]
+    own = _class(weight)
+    lowest = _class(np.ceil(similarity * weight - 1e-9))
+    highest = _class(np.floor(weight / similarity + 1e-9))
+    out = []
+    for step in range(int((highest - lowest).max(initial=-1)) + 1):
+        other = lowest + step
+        least = np.maximum(np.ceil(CLASS ** other.astype(float) - 1e-9), np.ceil(similarity * weight - 1e-9))
+        need = np.ceil(similarity / (1 + similarity) * (weight + least) - 1e-9)
+        reach = np.where(other <= highest, weight - need + 1, 0)
+        chosen = place < reach[text]
+        of = text[chosen]
+        out.append((of, own[of], other[of], cells[chosen], place[chosen]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
+
+
+def prefix_pairs(members: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(a, wa, b, wb): pairs of keys under different labels that may reach the similarity; none that does is left out.
+
+    `members` has band, key, label and weight. Only keys outside their band's largest label are searched
+    for, among all. Cells that many texts share stand last in the order, so in a group of edited copies the
+    index holds what is special to each of them. The order uses 2**20 counters, so its size is fixed.
+    """
+    spark = members.sparkSession
+    sizes = members.groupBy("band", "label").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("size", "label")).alias("l")).select("band", F.col("l.label").alias("main"))
+    keys = (
+        members.join(largest, "band")
+        .groupBy("key", "label", "weight")
+        .agg(F.max(F.col("label") != F.col("main")).alias("outside"))
+    )
+    held = stored(keys.join(texts, "key"), "members")
+
+    def cells_of(column: pa.Array):
+        for block in blocks(column):
+            text, cells = hashed_cells(shingles(words(block), size))
+            yield block, text, cells
+
+    def count(batches):
+        for batch in batches:
+            for _, _, cells in cells_of(batch.column(0)):
+                spots, times = np.unique((cells & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(spots), pa.array(times)], ["spot", "times"])
+
+    # Only counters above 1 change the order: at most 2**20 rows.
+    counted = held.select("text").mapInArrow(count, "spot long, times long").groupBy("spot").agg(F.sum("times").alias("times")).where("times > 1").toPandas()
+    common = np.ones(COUNTERS, dtype=np.int64)
+    common[counted["spot"].to_numpy(dtype=np.int64)] = counted["times"].to_numpy(dtype=np.int64)
+    shared = spark.sparkContext.broadcast(common.astype(np.int32) if common.max() < 1 << 31 else common)
+
+    def tokens(batches):
+        for batch in batches:
+            for block, text, cells in cells_of(batch.column(1)):
+                weight = np.bincount(text, minlength=len(block.offsets) - 1)
+                of, own, other, cell, place = prefix_tokens(text, cells, weight, shared.value, similarity)
+                row = batch.column(0).take(pa.array(of + block.first))
+                columns = [row, pa.array(own, pa.int32()), pa.array(other, pa.int32()), pa.array(cell.view(np.int64)), pa.array(place, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "own", "other", "cell", "place"])
+
+    made = held.select(F.struct("key", "label", "weight", "outside").alias("row"), "text").mapInArrow(
+        tokens, "row struct<key:binary,label:binary,weight:long,outside:boolean>, own int, other int, cell long, place int"
+    )
+    made = stored(made.select("row.*", "own", "other", "cell", "place"), "tokens")
+    left = made.where("outside").select(
+        "own", "other", "cell", F.col("key").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"), F.col("place").alias("pa")
+    )
+    right = made.select(
+        F.col("other").alias("own"), F.col("own").alias("other"), "cell", F.col("key").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wb"), F.col("place").alias("pb")
+    )
+    left_over = F.least(F.col("wa") - F.col("pa"), F.col("wb") - F.col("pb"))
+    need = F.lit(similarity / (1 + similarity)) * (F.col("wa") + F.col("wb")) - 1e-9
+    pairs = left.join(right, ["own", "other", "cell"]).where("la <> lb").where(left_over >= need)
+    return pairs.select("a", "wa", "b", "wb")
+
+
 def near_copies(
     docs: DataFrame,
     similarity: float = SIMILARITY,
@@ -160,10 +263,11 @@ def near_copies(
     the case of A-Z); null is the empty text.
 
     Texts with the same shingles become one key first, so exact copies take no part in the search, however
-    many there are. Of the keys that share a band, (1) all are compared with the least; (2) in a band that is
-    not yet one component, those outside are compared with another one, chosen by a hash for each band; (3)
-    what still lies in several components is compared across these. So a band in which all are linked takes
-    one comparison per key, and no link found by bands is lost.
+    many there are. Of the keys that share a band, all are compared with the most central one, which shares
+    most bands with others: in a group of copies that is their origin. Where a band still holds several
+    components, its keys are compared across these: in a band of at most `DIRECT` keys directly, else by
+    `prefix_pairs`, which finds the same links without pairing all keys. So a band in which all are linked
+    takes one comparison per key, and no link between keys that share a band is lost.
 
     Rows with one id and different texts are classed by text. Null ids have classes, but do not name one
     unless a class has no other (then class_id is null). No rows give no rows.
@@ -187,8 +291,10 @@ def near_copies(
     )
     held = stored(held.where(F.size("bands") > 0), "keys")
     banded = held.select("key", "weight", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     crowded = stored(banded.join(shared, "band"), "bands")
+    central = crowded.groupBy("key").agg(F.sum("n").alias("central"))
+    crowded = stored(crowded.join(central, "key"), "bands")
 
     found = held.join(crowded.select("key").distinct(), "key", "left_semi").select(
         "key", F.col("least.doc_id").alias("id"), F.col("least.print").alias("print")
@@ -198,7 +304,7 @@ def near_copies(
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, with weights wa, wb) that are similar; texts of a hot key are split by adaptive execution."""
-        likely = pairs.where(F.least("wa", "wb") >= F.greatest("wa", "wb") * F.lit(similarity))
+        likely = pairs.where(_close("wa", "wb", similarity))
         both = (
             likely.select("a", "b")
             .join(texts.select(F.col("key").alias("b"), F.col("text").alias("two")), "b")
@@ -214,32 +320,26 @@ def near_copies(
         with session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="500"):
             return stored(made, "links")
 
-    def mixed(labels: DataFrame) -> DataFrame:
-        """Members of the bands that hold several components."""
-        member = crowded.join(labels, "key", "left").select(
-            "band", "key", "weight", F.coalesce("label", "key").alias("label")
-        )
-        several = member.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-        return member.join(several.select("band"), "band", "left_semi")
-
-    pivots = crowded.groupBy("band").agg(F.min(F.struct(F.col("key").alias("a"), F.col("weight").alias("wa"))).alias("p"))
+    # The least key of a band's most central members: a group of copies has its common origin there.
+    pivots = crowded.groupBy("band").agg(F.max(F.struct("central", F.col("key").alias("a"), F.col("weight").alias("wa"))).alias("p"))
     pairs = crowded.join(pivots, "band").where("key <> p.a").select("p.a", "p.wa", F.col("key").alias("b"), F.col("weight").alias("wb"))
     links = linked(pairs.distinct())
     labels = components(links)
 
-    open_ = stored(mixed(labels), "mixed")
-    pivots = open_.groupBy("band").agg(
-        F.min_by(F.struct(F.col("key").alias("a"), F.col("weight").alias("wa"), F.col("label").alias("la")), F.xxhash64("key", "band")).alias("p")
+    member = crowded.join(labels, "key", "left").select(
+        "band", "n", "key", "weight", F.coalesce("label", "key").alias("label")
     )
-    pairs = open_.join(pivots, "band").where("label <> p.la").select("p.a", "p.wa", F.col("key").alias("b"), F.col("weight").alias("wb"))
-    links = links.union(linked(pairs.distinct()))
-    labels = components(links)
-
-    open_ = stored(mixed(labels), "mixed")
-    left = open_.select("band", F.col("key").alias("a"), F.col("weight").alias("wa"), F.col("label").alias("la"))
-    right = open_.select("band", F.col("key").alias("b"), F.col("weight").alias("wb"), F.col("label").alias("lb"))
-    rest = left.join(right, "band").where("la < lb").select("a", "wa", "b", "wb").distinct()
-    links = links.union(linked(rest))
+    several = member.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    mixed = stored(member.join(several.select("band"), "band", "left_semi"), "mixed")
+    few = mixed.where(F.col("n") <= DIRECT)
+    left = few.select("band", F.col("key").alias("a"), F.col("weight").alias("wa"), F.col("label").alias("la"))
+    right = few.select("band", F.col("key").alias("b"), F.col("weight").alias("wb"), F.col("label").alias("lb"))
+    direct = left.join(right, "band").where("la < lb").where(_close("wa", "wb", similarity)).select("a", "wa", "b", "wb")
+    indexed = prefix_pairs(mixed.where(F.col("n") > DIRECT), texts, similarity, size)
+    rest = direct.union(indexed).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("wa", "wb").alias("wa"), F.greatest("wa", "wb").alias("wb")
+    )
+    links = links.union(linked(rest.distinct()))
     labels = components(links)
 
     named = signed.select("doc_id", "key").join(labels, "key", "left")
