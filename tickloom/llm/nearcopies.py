@@ -188,12 +188,18 @@ def prefix_tokens(
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
 
 
+def token_spots(own: np.ndarray, other: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    pair = own.astype(np.uint64) * np.uint64(1 << 20) + other.astype(np.uint64)
+    return (mix(cells ^ mix(pair)) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
 def prefix_pairs(members: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
     """(a, wa, b, wb): pairs of keys under different labels that may reach the similarity; none that does is left out.
 
     `members` has band, key, label and weight. Only keys outside their band's largest label are searched
     for, among all. Cells that many texts share stand last in the order, so in a group of edited copies the
-    index holds what is special to each of them. The order uses 2**20 counters, so its size is fixed.
+    index holds what is special to each of them; cells that only one text has are left out. Order and index
+    marks use 2**20 counters and bits, so their size is fixed.
     """
     spark = members.sparkSession
     sizes = members.groupBy("band", "label").agg(F.count("*").alias("size"))
@@ -222,23 +228,41 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, similarity: float, size:
     common[counted["spot"].to_numpy(dtype=np.int64)] = counted["times"].to_numpy(dtype=np.int64)
     shared = spark.sparkContext.broadcast(common.astype(np.int32) if common.max() < 1 << 31 else common)
 
-    def tokens(batches):
+    def tokens(rows: DataFrame, wanted) -> DataFrame:
+        """Tokens of the rows' texts that another text may have; only those that `wanted` marks, if given."""
+
+        def run(batches):
+            for batch in batches:
+                for block, text, cells in cells_of(batch.column(1)):
+                    weight = np.bincount(text, minlength=len(block.offsets) - 1)
+                    found = prefix_tokens(text, cells, weight, shared.value, similarity)
+                    keep = shared.value[(found[3] & np.uint64(COUNTERS - 1)).astype(np.int64)] > 1
+                    if wanted is not None:
+                        keep &= wanted.value[token_spots(found[2], found[1], found[3])]
+                    of, own, other, cell, place = (x[keep] for x in found)
+                    row = batch.column(0).take(pa.array(of + block.first))
+                    columns = [row, pa.array(own, pa.int32()), pa.array(other, pa.int32()), pa.array(cell.view(np.int64)), pa.array(place, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "own", "other", "cell", "place"])
+
+        kind = "row struct<key:binary,label:binary,weight:long>, own int, other int, cell long, place int"
+        made = rows.select(F.struct("key", "label", "weight").alias("row"), "text").mapInArrow(run, kind)
+        return stored(made.select("row.*", "own", "other", "cell", "place"), "tokens")
+
+    searched = tokens(held.where("outside"), None)
+
+    def mark(batches):
         for batch in batches:
-            for block, text, cells in cells_of(batch.column(1)):
-                weight = np.bincount(text, minlength=len(block.offsets) - 1)
-                of, own, other, cell, place = prefix_tokens(text, cells, weight, shared.value, similarity)
-                row = batch.column(0).take(pa.array(of + block.first))
-                columns = [row, pa.array(own, pa.int32()), pa.array(other, pa.int32()), pa.array(cell.view(np.int64)), pa.array(place, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "own", "other", "cell", "place"])
-
-    made = held.select(F.struct("key", "label", "weight", "outside").alias("row"), "text").mapInArrow(
-        tokens, "row struct<key:binary,label:binary,weight:long,outside:boolean>, own int, other int, cell long, place int"
-    )
-    made = stored(made.select("row.*", "own", "other", "cell", "place"), "tokens")
-    left = made.where("outside").select(
+            own, other, cell = (batch.column(k).to_numpy() for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(token_spots(own, other, cell.view(np.uint64))))], ["spot"])
+
+    # A bit per hash of a searched token: other keys only send tokens under a bit that is set.
+    bits = np.zeros(COUNTERS, dtype=bool)
+    bits[searched.select("own", "other", "cell").mapInArrow(mark, "spot long").distinct().toPandas()["spot"].to_numpy(dtype=np.int64)] = True
+    among = tokens(held, spark.sparkContext.broadcast(bits))
+    left = searched.select(
         "own", "other", "cell", F.col("key").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"), F.col("place").alias("pa")
     )
-    right = made.select(
+    right = among.select(
         F.col("other").alias("own"), F.col("own").alias("other"), "cell", F.col("key").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wb"), F.col("place").alias("pb")
     )
     left_over = F.least(F.col("wa") - F.col("pa"), F.col("wb") - F.col("pb"))
