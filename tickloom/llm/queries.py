@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.fingerprints import fingerprint_edits
+from tickloom.llm.languages import document_evidence, identify_languages, train as train_languages
 from tickloom.llm.leaks import find_leaks
 from tickloom.llm.lines import dedup_lines
 from tickloom.llm.mixing import mix_sources
 from tickloom.llm.nearcopies import near_copies
+from tickloom.llm.quality import classify_quality
 from tickloom.llm.repeats import remove_repeats
 from tickloom.llm.tokens import count_tokens, load_pieces
+from tickloom.llm.toxicity import rate_toxicity, train as train_toxicity
 
 VOCABULARY = os.environ.get("TICKLOOM_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -25,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classify_quality(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select("row.doc_id", "posterior", "score", "keep")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
@@ -51,11 +59,27 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("row.*", "copy", "shuffle_key")
 
 
+def language_model(docs: DataFrame) -> dict:
+    return train_languages(docs, docs["text"], F.lower(docs["lang"]), docs["doc_id"])
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, document_evidence(docs), language_model(docs), carry=["doc_id"])
+    return found.select("row.doc_id", "language", "posterior", "accepted")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(table(spark, sf_dir, "documents"), load_pieces(VOCABULARY), carry=["doc_id"])
     return counted.select("row.doc_id", "n_pretokens", "n_tokens", "score")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    return rate_toxicity(docs, model, carry=["doc_id"]).select("row.doc_id", "severity", "grade", "toxic")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -70,9 +94,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op2_near_dedup, op3_line_dedup, op4_decontamination, op5_mixing, op7_token_counts, op9_suffix_dedup, op10_fingerprints,
-)}
+QUERIES: dict[str, Query] = {
+    query.__name__: query
+    for query in (
+        op1_quality,
+        op2_near_dedup,
+        op3_line_dedup,
+        op4_decontamination,
+        op5_mixing,
+        op6_language_id,
+        op7_token_counts,
+        op8_toxicity,
+        op9_suffix_dedup,
+        op10_fingerprints,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": """
