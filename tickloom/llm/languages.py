@@ -20,6 +20,8 @@ SAMPLE = 6000
 EVIDENCE = 40.0
 #: Rows that a level's own counts must outweigh in the level above.
 SMOOTHING = 10.0
+#: A text fits no language if its mean log-likelihood is this far below that of evenly spread grams.
+MARGIN = 3.0
 BROADCAST_BYTES = 8 << 20
 
 
@@ -102,7 +104,7 @@ def identify_languages(
     these by all rows'. Text without grams leaves the decision to the other evidence.
 
     A row is rejected if the best posterior is below `least`, if its text has no letters, or if the text
-    fits its language no better than chance. Null evidence is a value like any other (null text is
+    fits its language far worse than evenly spread grams would. Null evidence is a value like any other (null text is
     empty); a language that no row declares can't be found. Repeated rows count repeatedly and are judged alike.
     No rows give no rows; without languages every row is rejected.
 
@@ -173,7 +175,7 @@ def identify_languages(
     )
     hosts, declared = _small(hosts, len(names)), _small(declared, len(names))
 
-    uniform = float(-np.log(1 << _BITS))
+    chance = float(-np.log(1 << _BITS)) - MARGIN
     damped = F.least(F.col("grams").cast("double"), F.lit(EVIDENCE))
     flat = F.array(*(F.lit(float(x)) for x in share))
     even = F.array(*(F.lit(1.0) for _ in names))
@@ -194,7 +196,7 @@ def identify_languages(
         F.col("given").alias("row"),
         F.element_at(F.array(*(F.lit(x) for x in names)), at).alias("language"),
         (1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - top))).alias("posterior"),
-        (F.element_at("mean", at) > uniform).alias("fits"),
+        (F.element_at("mean", at) > chance).alias("fits"),
         "letters",
     )
     accepted = (F.col("posterior") >= least) & F.col("fits") & F.col("letters")

@@ -280,7 +280,7 @@ def near_copies(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """doc_id and class_id of every row: the smallest id of the texts that links join to this one.
+    """doc_id and class_id of every row, in columns of these names: class_id is the smallest id of the texts that links join to this one.
 
     A link is a weighted Jaccard similarity of the texts' shingles of at least `similarity`. All words of a text
     with fewer than `size` are one shingle. Texts without words are only linked to the same text (but for
@@ -296,6 +296,41 @@ def near_copies(
     Rows with one id and different texts are classed by text. Null ids have classes, but do not name one
     unless a class has no other (then class_id is null). No rows give no rows.
     """
+    found = copy_classes(docs, similarity, size, bands, rows, id_col, text_col)
+    classes = found.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    return found.join(classes, "label").select("doc_id", "class_id")
+
+
+def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` without near-copies: of each class (see `near_copies`) the row with the smallest id stays,
+    a null id last; of rows with one id, that with the least hash of its text; of equal rows, one."""
+    found = copy_classes(docs, id_col=id_col, text_col=text_col, **options)
+    kept = found.groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("bare"), "doc_id", "print")).alias("w"))
+    kept = kept.select(_name(F.col("w.doc_id")).alias("kept_id"), F.col("w.print").alias("kept_print"))
+    text = F.coalesce(docs[quoted(text_col)].cast("string"), F.lit(""))
+    rows = docs.select(
+        F.struct(*(docs[quoted(c)] for c in docs.columns)).alias("row"),
+        _name(docs[quoted(id_col)]).alias("kept_id"),
+        F.xxhash64(text).alias("kept_print"),
+    )
+    # Equal rows meet in one partition by the join's keys, so the second step needs no shuffle.
+    return rows.join(kept, ["kept_id", "kept_print"]).dropDuplicates(["kept_id", "kept_print"]).select("row.*")
+
+
+def _name(ident):
+    return F.coalesce(ident.cast("string"), F.lit("null"))
+
+
+def copy_classes(
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    size: int = SIZE,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """doc_id, print (a hash of the text) and label (of the class, see `near_copies`) of every row."""
     spark = docs.sparkSession
     given = docs.select(docs[quoted(id_col)].alias("doc_id"), F.coalesce(docs[quoted(text_col)].cast("string"), F.lit("")).alias("text"))
     given = given.withColumn("print", F.xxhash64("text"))
@@ -366,7 +401,5 @@ def near_copies(
     links = links.union(linked(rest.distinct()))
     labels = components(links)
 
-    named = signed.select("doc_id", "key").join(labels, "key", "left")
-    named = named.select("doc_id", F.coalesce("label", "key").alias("label"))
-    classes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return named.join(classes, "label").select("doc_id", "class_id")
+    named = signed.join(labels, "key", "left")
+    return named.select("doc_id", "print", F.coalesce("label", "key").alias("label"))
