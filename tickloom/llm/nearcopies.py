@@ -193,6 +193,48 @@ def token_spots(own: np.ndarray, other: np.ndarray, cells: np.ndarray) -> np.nda
     return (mix(cells ^ mix(pair)) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
+def _marks(batch: pa.RecordBatch):
+    own, other, cell = (batch.column(k).to_numpy() for k in range(3))
+    yield token_spots(own, other, cell.view(np.uint64)).astype(np.uint64)
+
+
+def _counters(rows: DataFrame, hashes) -> np.ndarray:
+    """How many of the rows' hashes fall on each of 2**20 counters.
+
+    A task adds up its own and sends 16 packs, which are summed pack by pack; so only the counters' fixed
+    number comes to the driver.
+    """
+    width = COUNTERS // 16
+
+    def add(batches):
+        sums = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for found in hashes(batch):
+                sums += np.bincount((found & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        parts = [k for k in range(16) if sums[k * width : (k + 1) * width].any()]
+        packs = [_sparse(sums[k * width : (k + 1) * width]) for k in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(packs, pa.binary())], ["part", "pack"])
+
+    def total(table: pa.Table) -> pa.Table:
+        sums = np.zeros(width, dtype=np.int64)
+        for pack in table["pack"]:
+            spots, times = np.frombuffer(pack.as_py(), dtype=np.int64).reshape(2, -1)
+            sums[spots] += times
+        return pa.table({"part": table["part"][:1], "pack": pa.array([_sparse(sums)], pa.binary())})
+
+    schema = "part int, pack binary"
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    for row in rows.mapInArrow(add, schema).groupBy("part").applyInArrow(total, schema).collect():
+        spots, times = np.frombuffer(row["pack"], dtype=np.int64).reshape(2, -1)
+        out[row["part"] * width + spots] = times
+    return out
+
+
+def _sparse(sums: np.ndarray) -> bytes:
+    spots = np.flatnonzero(sums)
+    return np.stack([spots, sums[spots]]).astype(np.int64).tobytes()
+
+
 def prefix_pairs(members: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
     """(a, wa, b, wb): pairs of keys under different labels that may reach the similarity; none that does is left out.
 
@@ -216,16 +258,9 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, similarity: float, size:
             text, cells = hashed_cells(shingles(words(block), size))
             yield block, text, cells
 
-    def count(batches):
-        for batch in batches:
-            for _, _, cells in cells_of(batch.column(0)):
-                spots, times = np.unique((cells & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(spots), pa.array(times)], ["spot", "times"])
-
-    # Only counters above 1 change the order: at most 2**20 rows.
-    counted = held.select("text").mapInArrow(count, "spot long, times long").groupBy("spot").agg(F.sum("times").alias("times")).where("times > 1").toPandas()
-    common = np.ones(COUNTERS, dtype=np.int64)
-    common[counted["spot"].to_numpy(dtype=np.int64)] = counted["times"].to_numpy(dtype=np.int64)
+    common = np.maximum(
+        _counters(held.select("text"), lambda batch: (c for _, _, c in cells_of(batch.column(0)))), 1
+    )
     shared = spark.sparkContext.broadcast(common.astype(np.int32) if common.max() < 1 << 31 else common)
 
     def tokens(rows: DataFrame, wanted) -> DataFrame:
@@ -250,14 +285,8 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, similarity: float, size:
 
     searched = tokens(held.where("outside"), None)
 
-    def mark(batches):
-        for batch in batches:
-            own, other, cell = (batch.column(k).to_numpy() for k in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(token_spots(own, other, cell.view(np.uint64))))], ["spot"])
-
     # A bit per hash of a searched token: other keys only send tokens under a bit that is set.
-    bits = np.zeros(COUNTERS, dtype=bool)
-    bits[searched.select("own", "other", "cell").mapInArrow(mark, "spot long").distinct().toPandas()["spot"].to_numpy(dtype=np.int64)] = True
+    bits = _counters(searched.select("own", "other", "cell"), _marks) > 0
     among = tokens(held, spark.sparkContext.broadcast(bits))
     left = searched.select(
         "own", "other", "cell", F.col("key").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"), F.col("place").alias("pa")
