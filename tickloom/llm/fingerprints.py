@@ -117,20 +117,22 @@ def merge_parts(parts: DataFrame, key: str, k: int = K, salts: int = 32) -> Data
     Merged within Arrow batches, then by key and salt, then by key, so that no task holds more than a salt's
     share of a hot key. Null fingerprints are empty ones; null is a key like any other.
     """
-    schema = parts.select(quoted(key), F.col("fingerprint").cast("string")).schema
+    parts = parts.select(quoted(key), F.col("fingerprint").cast("string").alias("fingerprint"))
+    schema = parts.schema
 
     def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        names = list(frame.columns[:2])
         rows = []
-        for value, group in frame.groupby(frame.columns[0], dropna=False, sort=False)[frame.columns[1]]:
-            sketch = np.unique(np.concatenate([decode(x) for x in group]))[:k]
-            rows.append((value, encode(sketch)))
-        return pd.DataFrame(rows, columns=frame.columns[:2])
+        for value, group in frame.groupby(names[0], dropna=False, sort=False):
+            sketch = np.unique(np.concatenate([decode(x) for x in group[names[1]]]))[:k]
+            rows.append((None if pd.isna(value) else value, encode(sketch)))
+        return pd.DataFrame(rows, columns=names)
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield merged(frame)
 
-    step = parts.select(quoted(key), "fingerprint").mapInPandas(partial, schema)
+    step = parts.mapInPandas(partial, schema)
     salted = step.withColumn("__salt", F.pmod(F.xxhash64("fingerprint"), F.lit(salts)))
     step = salted.groupBy(quoted(key), "__salt").applyInPandas(merged, schema)
     return step.groupBy(quoted(key)).applyInPandas(merged, schema)

@@ -18,6 +18,9 @@ _BITS = 18
 SAMPLE = 10_000
 #: Grades of severity: 0 is clean; a toxic document's grade grows with its number of telling words.
 GRADES = 4
+#: Features of fewer sampled documents than this are left out; weights are drawn to 0 by this much.
+HELD = 3
+PENALTY = 1e-3
 #: Numbers of telling words from which grades 2 and 3 begin.
 _STEPS = (3, 6)
 #: A word tells if it is in this many toxic documents of the sample, and this many times as often as in clean ones.
@@ -97,7 +100,7 @@ def train(
         feature = np.concatenate(list(rows["feature"])).astype(np.int64)
         counts = np.concatenate(list(rows["times"])).astype(float)
         grade = grades(of, feature, counts, toxic)
-        held = np.bincount(feature, minlength=1 << _BITS)[feature] >= 3
+        held = np.bincount(feature, minlength=1 << _BITS)[feature] >= HELD
         of, feature, value = of[held], feature[held], _value(counts[held])
         used, column = np.unique(feature, return_inverse=True)
 
@@ -116,7 +119,7 @@ def train(
             slope_high, slope_low = high * (1 - high) / chance, low * (1 - low) / chance
             dz = (slope_high - slope_low) / len(rows)
             g = np.zeros_like(x)
-            g[: len(used)] = np.bincount(column, weights=value * dz[of], minlength=len(used)) + 1e-4 * w
+            g[: len(used)] = np.bincount(column, weights=value * dz[of], minlength=len(used)) + PENALTY * w
             dcut = np.zeros(GRADES + 1)
             np.add.at(dcut, grade + 1, -slope_high / len(rows))
             np.add.at(dcut, grade, slope_low / len(rows))
