@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tickloom.schema import CORRUPT, PRICES, with_corrupt
 
-# The latest instant Spark's microsecond timestamps can hold.
+# The latest instant Spark's microsecond timestamps can hold, as a number and as zone-less text.
+LAST_MICROSECOND = 2**63 - 1
 END_OF_TIME = "294247-01-10 04:00:54.775807"
 
 
@@ -34,8 +35,11 @@ def price(text: Column) -> Column:
 
 
 def decimal_round(value: Column, scale: int) -> Column:
-    """Round half away from zero on the decimal value, returned as double."""
-    return F.round(value.cast("decimal(38,10)"), scale).cast("double")
+    """Round half away from zero on the decimal value, returned as double.
+
+    A value that a decimal cannot hold is returned as it is: at its size rounding changes nothing.
+    """
+    return F.coalesce(F.round(value.try_cast("decimal(38,10)"), scale).cast("double"), value)
 
 
 def encode_wire(time: Column) -> Column:
@@ -86,4 +90,8 @@ def unset_first(df: DataFrame, column: str) -> Column:
     It stays a plain timestamp, which keeps max_by in a hash aggregate; ordering by a struct
     would sort every input partition.
     """
-    return F.coalesce(F.col(column), F.lit(END_OF_TIME).cast(df.schema[column].dataType))
+    kind = df.schema[column].dataType
+    # The text would be read in the session's zone, and does not fit west of UTC.
+    zoned = isinstance(kind, T.TimestampType)
+    last = F.timestamp_micros(F.lit(LAST_MICROSECOND)) if zoned else F.lit(END_OF_TIME).cast(kind)
+    return F.coalesce(F.col(column), last)

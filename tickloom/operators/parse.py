@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions import decode_text, json_struct
 from tickloom.schema import CORRUPT, PRICES, WIRE
@@ -23,7 +23,7 @@ def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
     data = messages.select(
         F.col(value).cast("binary").alias("raw_value"),
         json_struct(decode_text(F.col(value)), WIRE).alias("data"),
-    ).withColumn("event_time", F.try_to_timestamp("data.timestamp"))
+    ).withColumn("event_time", _event_time(F.col("data.timestamp")))
 
     missing = reduce(or_, (F.col(f"data.{c}").isNull() for c in ("symbol", *PRICES)))
     fault = (
@@ -41,6 +41,11 @@ def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def _event_time(text: Column) -> Column:
+    """Text to an instant, NULL without a full date: a bare clock time would be read as today's."""
+    return F.when(text.rlike(r"^\s*\d{4,6}-\d{1,2}-\d{1,2}"), F.try_to_timestamp(text))
+
+
 def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("fault") == OK)
 

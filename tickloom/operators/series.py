@@ -43,6 +43,7 @@ def wide_series(
     columns, where pivot() would shuffle twice.
     """
     rows = time_range(stocks, "timestamp", start, end).where(F.col("timestamp").isNotNull())
+    rows = rows.where(F.col("symbol").isin(list(symbols)))
     time = F.window("timestamp", bucket)["start"] if bucket else F.col("timestamp")
     columns = (
         F.max_by(value, F.when(F.col("symbol") == s, F.col("timestamp"))).alias(s) for s in symbols

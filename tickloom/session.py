@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -46,13 +45,8 @@ def session_conf(spark: SparkSession, **conf: str | None) -> Iterator[None]:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors can reach.
-
-    Only a local session without that setting gets a folder of this machine.
-    """
+    """A new folder under spark.checkpoint.dir, which all executors can reach."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="tickloom-")
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return f"{root.rstrip('/')}/tickloom-{name}-{uuid.uuid4().hex}"

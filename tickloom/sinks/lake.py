@@ -3,7 +3,7 @@
 Layout of a table folder:
 
     log/version=<v>/                  one folder per micro-batch; writing it again replaces it
-    folded/upto=<v>/<partitions>/     the log up to v, folded into larger files by date
+    folded/upto=<v>/<partitions>/     the log of v's epoch up to v, folded into larger files by date
     _epochs/<n>                       marker files: numbers given out to checkpoints
 
 A micro-batch is close in time already, so its few files are skipped by their own statistics;
@@ -38,6 +38,21 @@ def version_of(epoch: int, batch_id: int) -> int:
     return (epoch << BATCH_BITS) | batch_id
 
 
+def _epoch(version: int) -> int:
+    return version >> BATCH_BITS
+
+
+def _marks(folds: list[int]) -> dict[int, int]:
+    """The version that each epoch is folded up to."""
+    return {_epoch(f): f for f in sorted(folds)}
+
+
+def _beyond(versions: list[int], folds: list[int]) -> list[int]:
+    """Versions that their epoch's folds do not hold yet."""
+    marks = _marks(folds)
+    return [v for v in versions if v > marks.get(_epoch(v), -1)]
+
+
 def open_epoch(spark: SparkSession, checkpoint: str, table_path: str) -> int:
     """The epoch of a checkpoint folder; a folder that is new gets the next number of the table."""
     known = fs.marker(spark, checkpoint, "_epoch")
@@ -102,7 +117,7 @@ class LakeTable:
     ) -> DataFrame:
         """All rows in a time range with their version; of a keyed table the newest per key."""
         folds = self._folds(spark, path)
-        tail = [v for v in self._versions(spark, path) if v > max(folds, default=-1)]
+        tail = _beyond(self._versions(spark, path), folds)
         folded = time_range(self._folded(spark, path, folds), self.time, start, end, self.date)
         logged = time_range(self._log(spark, path, tail), self.time, start, end)
         rows = folded.drop(self.date).unionByName(logged)
@@ -111,13 +126,17 @@ class LakeTable:
     def fold(self, spark: SparkSession, path: str) -> int | None:
         """Rewrite the log folders since the last fold as few files per date.
 
-        Each logged row is rewritten once, however large the table is. A keyed table keeps the
-        newest row per key of those folders. Returns the version it reaches.
+        Batches are in order within an epoch only, so every epoch has its own fold: one that writes
+        after a higher epoch was folded is still read and folded. Each logged row is rewritten once,
+        however large the table is. A keyed table keeps the newest row per key of those folders.
+        Returns the highest version it reaches.
         """
-        upto = max(self._folds(spark, path), default=-1)
-        versions = [v for v in self._versions(spark, path) if v > upto]
-        if not versions:
-            return None
+        versions = _beyond(self._versions(spark, path), self._folds(spark, path))
+        for epoch in sorted({_epoch(v) for v in versions}):
+            self._fold_epoch(spark, path, [v for v in versions if _epoch(v) == epoch])
+        return max(versions, default=None)
+
+    def _fold_epoch(self, spark: SparkSession, path: str, versions: list[int]) -> None:
         rows = self._log(spark, path, versions)
         if self.keys:
             rows = newest_version(rows, self.keys)
@@ -130,17 +149,16 @@ class LakeTable:
             .partitionBy(*self.partitions)
             .parquet(f"{path}/folded/upto={versions[-1]}")
         )
-        return versions[-1]
 
     def expire(self, spark: SparkSession, path: str) -> int:
-        """Delete log folders that were folded before the newest fold; returns how many.
+        """Delete log folders that were folded before their epoch's newest fold; returns how many.
 
-        Those of the newest fold stay for readers that have planned on them.
+        Those of an epoch's newest fold stay for readers that have planned on them.
         """
         folds = self._folds(spark, path)
-        if len(folds) < 2:
-            return 0
-        old = [v for v in self._versions(spark, path) if v <= folds[-2]]
+        newest = _marks(folds)
+        before = _marks([f for f in folds if f != newest[_epoch(f)]])
+        old = [v for v in self._versions(spark, path) if v <= before.get(_epoch(v), -1)]
         for version in old:
             fs.delete(spark, f"{path}/log/version={version}")
         return len(old)

@@ -12,7 +12,7 @@ def to_messages(records: DataFrame, time: str = "timestamp") -> DataFrame:
     return records.select(encode_wire(F.col(time)).alias("value"))
 
 
-def publish_files(messages: DataFrame, path: str, run: int) -> None:
+def publish_files(messages: DataFrame, path: str, run: str) -> None:
     """Write the messages of one run as text lines; repeating the run replaces its files."""
     messages.write.mode("overwrite").text(f"{path}/run={run}")
 

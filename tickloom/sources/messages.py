@@ -41,15 +41,17 @@ def read_files(
     stream: bool = True,
     whole_files: bool = False,
     max_files_per_trigger: int | None = None,
+    fail_on_data_loss: bool = False,
 ) -> DataFrame:
     """Text files as messages in the column `value`: one per line, or one per file.
 
     `path` may be a glob, under which a stream also finds folders that appear later. Files that
-    vanish between listing and reading are passed over, like messages past their retention.
+    vanish between listing and reading are passed over, like messages past their retention, unless
+    `fail_on_data_loss`.
     """
     reader = spark.readStream if stream else spark.read
     reader = reader.option("wholetext", str(whole_files).lower())
-    reader = reader.option("ignoreMissingFiles", "true")
+    reader = reader.option("ignoreMissingFiles", str(not fail_on_data_loss).lower())
     if stream and max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.format("text").load(path)

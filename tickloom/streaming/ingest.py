@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators import accepted, keep_symbols, quarantined, unpivot_payloads
-from tickloom.sinks import open_epoch, to_messages, version_of
+from tickloom.sinks import to_messages
+from tickloom.sinks.jdbc import checkpoint_id
 
-Publish = Callable[[DataFrame, int], None]
+Publish = Callable[[DataFrame, str], None]
 
 
 def ingest_documents(
@@ -23,14 +24,15 @@ def ingest_documents(
 ) -> StreamingQuery:
     """Turn the documents that have arrived since the last run into messages, and end.
 
-    `documents` is a stream with the column `value`. `publish(messages, run)` gets a number that
-    grows with every batch and is the same when a batch is repeated. Documents and bars that
+    `documents` is a stream with the column `value`. `publish(messages, run)` gets a name of
+    the batch, made of the checkpoint's lasting id and the batch number: it is the same when a batch is
+    repeated, and no other ingest has it. Documents and bars that
     cannot be used go to `quarantine/run=<run>` with their text; they do not stop the run.
     """
-    epoch = open_epoch(spark, checkpoint, quarantine)
+    owner = checkpoint_id(spark, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        run = version_of(epoch, batch_id)
+        run = f"{owner}-{batch_id:010d}"
         flat = unpivot_payloads(batch).persist()
         try:
             bars = accepted(flat)

@@ -45,7 +45,7 @@ class PipelineConfig:
     dedup: bool = False
     keep_malformed: bool = False
     state_partitions: int | None = None
-    aggregate_files: int | None = 4
+    aggregate_files: int | None = None
     jdbc: JdbcTarget | None = None
 
     @property
