@@ -160,13 +160,14 @@ def _class(weight: np.ndarray) -> np.ndarray:
 
 
 def prefix_tokens(
-    text: np.ndarray, cells: np.ndarray, weight: np.ndarray, common: np.ndarray, similarity: float
+    text: np.ndarray, cells: np.ndarray, weight: np.ndarray, common: np.ndarray, similarity: float, present: np.ndarray
 ) -> tuple[np.ndarray, ...]:
     """(text, own class, other class, cell, place) of the cells that a partner of the other class must share one of.
 
     Cells are put in one order for all texts, rare ones first by the counters `common`. Two texts with weights
     v and w and the similarity t share at least t / (1 + t) * (v + w) cells, so their first common cell leaves
-    as many places in both: it lies among the first v + 1 less that number.
+    as many places in both: it lies among the first v + 1 less that number. Only classes that are `present`
+    can hold partners.
     """
     spot = (cells & np.uint64(len(common) - 1)).astype(np.int64)
     order = np.lexsort((cells, common[spot], text))
@@ -181,7 +182,7 @@ def prefix_tokens(
         other = lowest + step
         least = np.maximum(np.ceil(CLASS ** other.astype(float) - 1e-9), np.ceil(similarity * weight - 1e-9))
         need = np.ceil(similarity / (1 + similarity) * (weight + least) - 1e-9)
-        reach = np.where(other <= highest, weight - need + 1, 0)
+        reach = np.where((other <= highest) & np.isin(other, present), weight - need + 1, 0)
         chosen = place < reach[text]
         of = text[chosen]
         out.append((of, own[of], other[of], cells[chosen], place[chosen]))
@@ -263,6 +264,10 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, similarity: float, size:
     )
     shared = spark.sparkContext.broadcast(common.astype(np.int32) if common.max() < 1 << 31 else common)
 
+    # At most as many weights as the longest text has words.
+    weights = [row["weight"] for row in held.select("weight").distinct().collect()]
+    present = np.unique(_class(np.array(weights, dtype=np.int64)))
+
     def tokens(rows: DataFrame, wanted) -> DataFrame:
         """Tokens of the rows' texts that another text may have; only those that `wanted` marks, if given."""
 
@@ -270,7 +275,7 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, similarity: float, size:
             for batch in batches:
                 for block, text, cells in cells_of(batch.column(1)):
                     weight = np.bincount(text, minlength=len(block.offsets) - 1)
-                    found = prefix_tokens(text, cells, weight, shared.value, similarity)
+                    found = prefix_tokens(text, cells, weight, shared.value, similarity, present)
                     keep = shared.value[(found[3] & np.uint64(COUNTERS - 1)).astype(np.int64)] > 1
                     if wanted is not None:
                         keep &= wanted.value[token_spots(found[2], found[1], found[3])]
