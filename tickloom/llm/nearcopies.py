@@ -292,7 +292,7 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, similarity: float, size:
 
     # A bit per hash of a searched token: other keys only send tokens under a bit that is set.
     bits = _counters(searched.select("own", "other", "cell"), _marks) > 0
-    among = tokens(held, spark.sparkContext.broadcast(bits))
+    among = searched.union(tokens(held.where("NOT outside"), spark.sparkContext.broadcast(bits)))
     left = searched.select(
         "own", "other", "cell", F.col("key").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"), F.col("place").alias("pa")
     )
