@@ -33,10 +33,11 @@ def test_documents_to_panel(spark, tmp_path, capsys):
     assert sorted(read()) == [("AAPL", 3.5), ("TSLA", 3.5)]
     panel("series", "--start", "2024-01-01 09:50:00")
     assert len(read()) == 4
-    panel("lines", "--symbols", "AAPL", "TSLA", "--bucket", "1 hour")
+    panel("lines", "--symbols", "AAPL", "TSLA", "--bucket", "1 hour", "--start", "2024-01-01")
     assert [r[1:] for r in read()] == [(2.0, 2.0)]
-    panel("series", "--days", "7")
-    assert read() == []
+    for more in (("--days", "7"), ()):
+        panel("series", *more)
+        assert read() == []
     command.main(["panel", "latest", "--tables", d["tables"]])
     assert "Latest Close" in capsys.readouterr().out
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from helpers import land, message
-from tickloom.schema import AGGREGATES, AGGREGATE_KEY
+from tickloom.schema import AGGREGATES, AGGREGATE_KEY, STOCKS
 from tickloom.sinks import JdbcTarget, checkpoint_id, jdbc
 from tickloom.sinks.lake import read_quarantine, read_stocks
 from tickloom.sources import jdbc_options, read_files, tables
@@ -103,8 +103,37 @@ def test_upsert_leaves_out_rows_without_key(spark, monkeypatch):
     monkeypatch.setattr(jdbc, "run_in_transaction", lambda s, t, statements: ran.extend(statements))
     rows = spark.createDataFrame([(1, "A", 2), (1, None, 3), (None, "A", 4)], "window_start int, symbol string, n int")
     jdbc.write_upsert(rows, TARGET, "agg", AGGREGATE_KEY, "c/0")
-    assert staged == [1] and len(ran) == 3
-    assert ran[1].endswith("DO UPDATE SET n = EXCLUDED.n")
+    assert staged == [1] and len(ran) == 5
+    assert ran[2].endswith("DO UPDATE SET n = EXCLUDED.n") and ran[4] == "DROP TABLE s"
+    assert sorted(r.n for r in jdbc.without_key(rows, AGGREGATE_KEY).collect()) == [3, 4]
+
+
+def test_tables_are_created_with_their_key():
+    con = duckdb.connect()
+    con.execute(jdbc.ledger_ddl())
+    for _ in range(2):
+        con.execute(jdbc.table_ddl("stocks", STOCKS))
+        con.execute(jdbc.table_ddl("agg", AGGREGATES, AGGREGATE_KEY))
+    names = [r[0] for r in con.execute("DESCRIBE stocks").fetchall()]
+    assert names == STOCKS.names
+    con.execute("CREATE TABLE agg_stage AS SELECT * FROM agg WHERE false")
+    sql = lambda batch: jdbc.upsert_sql("agg", "agg_stage", AGGREGATES.names, AGGREGATE_KEY, batch)
+    for n in (1, 2):
+        stage(con, (0, "A", n))
+        apply(con, sql(f"c/{n}"))
+    assert state(con) == [("A", 2, 2.0)]
+
+
+def test_two_writers_have_their_own_stages(db):
+    """The second fills its stage before the first merges."""
+    stages = {c: jdbc.stage_name("agg", f"{c}/0") for c in "cd"}
+    assert len(set(stages.values())) == 2
+    for (name, table), symbol in zip(stages.items(), "AB"):
+        stage(db, (0, symbol, 1))
+        db.execute(f"CREATE TABLE {table} AS SELECT * FROM agg_stage")
+    for name, table in stages.items():
+        apply(db, jdbc.upsert_sql("agg", table, AGGREGATES.names, AGGREGATE_KEY, f"{name}/0"))
+    assert state(db) == [("A", 1, 1.0), ("B", 1, 1.0)]
 
 
 def test_checkpoint_has_a_lasting_name(spark, tmp_path):

@@ -65,6 +65,23 @@ def test_repeated_key_counts_last(spark):
     assert [(r[1], r[5]) for r in unpivot(spark, text)] == [("t2", 2.0), ("t1", 4.0)]
 
 
+def test_repeated_key_in_a_bar_counts_last(spark):
+    bar = '{"1. open":"1","2. high":"4","3. low":"0.5","4. close":"2","1. open":"9"}'
+    text = '{"Meta Data": {"2. Symbol": "A"}, "Time Series (5min)": {"t1": %s, "t2": null}}' % bar
+    got = unpivot(spark, text)
+    assert [(r[1], r[2], r[6], r[7]) for r in got] == [
+        ("t1", 9.0, "ok", None),
+        ("t2", None, "bad_bar", "null"),
+    ]
+
+
+def test_long_document_with_a_repeat(spark):
+    entries = ", ".join(f'"t{i}": {json.dumps(BAR)}' for i in [*range(100_000), 0])
+    text = '{"Meta Data": {"2. Symbol": "A"}, "Time Series (5min)": {%s}}' % entries
+    rows = unpivot_payloads(spark.createDataFrame([(text,)], "value string"))
+    assert rows.select("date").distinct().count() == rows.count() == 100_000
+
+
 def test_build_and_unpivot(spark):
     bars = spark.sql(
         "SELECT s symbol, double(id) open, id + 2D high, id - 1D low, id / 3D close, "

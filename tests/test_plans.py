@@ -40,6 +40,12 @@ def test_range_and_columns_reach_the_scan(spark, sf_dir):
     assert "In(event_type" in plan(catalogue.QUERIES["symbol_filter"](spark, sf_dir))
 
 
+def test_the_week_of_bars_bounds_the_scan_of_ticks(spark, sf_dir):
+    frame = dashboard.week_of_bars(read_ticks(spark, sf_dir))
+    filters = [part.split("\n")[0] for part in plan(frame).split("DataFilters: ")[1:]]
+    assert any("ts#" in f and "scalar-subquery" in f for f in filters)
+
+
 def test_count_reads_no_column(spark, sf_dir):
     assert "ReadSchema: struct<>" in plan(dashboard.total_records(read_ticks(spark, sf_dir)))
 

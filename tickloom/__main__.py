@@ -83,7 +83,7 @@ def parser() -> argparse.ArgumentParser:
     _add_database(where, "read from a database")
     panel.add_argument("--start")
     panel.add_argument("--end")
-    panel.add_argument("--days", type=int, help="the last days up to now, in place of a range")
+    panel.add_argument("--days", type=int, default=7, help="the last days up to now, where no range is given")
     panel.add_argument("--symbols", nargs="+", default=list(SYMBOLS))
     panel.add_argument("--bucket", help="width of a point in time of the lines")
     panel.add_argument("--keep-malformed", action="store_true")
@@ -168,7 +168,8 @@ def _fold(spark: SparkSession, args: argparse.Namespace) -> None:
 def _panel(spark: SparkSession, args: argparse.Namespace) -> None:
     bounds = (None, None)
     if args.name in RANGED:
-        bounds = dashboard.last_days(args.days) if args.days else (args.start, args.end)
+        given = args.start or args.end
+        bounds = (args.start, args.end) if given else dashboard.last_days(args.days)
     database = _database(args)
     if database:
         table = read_table(spark, database, "stocks", "timestamp")

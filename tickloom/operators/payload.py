@@ -18,14 +18,29 @@ from tickloom.schema import (
 
 
 def _last_wins(series: Column) -> Column:
-    """Entries of a JSON object; where a key is repeated, only its last entry counts."""
+    """Entries of a JSON object; where a key is repeated, only its last entry counts.
+
+    Keys are sorted with their places, so that each meets its successor. No lambda refers to a whole
+    array, which Spark would make again for each element.
+    """
     entries = F.map_entries(series)
-    keys = F.map_keys(series)
-    last = F.filter(
-        entries,
-        lambda entry, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), entry["key"]),
+    places = F.transform(F.map_keys(series), lambda key, i: F.struct(key.alias("key"), i.alias("place")))
+    order = F.sort_array(places)
+    marks = F.zip_with(
+        order,
+        F.slice(order, 2, F.size(order)),
+        lambda at, after: F.struct(
+            at["place"].alias("place"), (~F.equal_null(after["key"], at["key"])).alias("last")
+        ),
     )
-    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), last).otherwise(entries)
+    kept = F.zip_with(entries, F.sort_array(marks), lambda entry, mark: F.when(mark["last"], entry))
+    return F.filter(kept, lambda entry: entry.isNotNull())
+
+
+def _last_value(bar: Column, key: str) -> Column:
+    """A bar's value; like in the series, the last of repeated keys counts."""
+    found = F.filter(F.map_entries(bar), lambda entry: entry["key"] == key)
+    return F.try_element_at(found, F.lit(-1))["value"]
 
 
 def unpivot_payloads(documents: DataFrame, value: str = "value") -> DataFrame:
@@ -33,7 +48,8 @@ def unpivot_payloads(documents: DataFrame, value: str = "value") -> DataFrame:
 
     A document that cannot be used gives one row with its fault (empty, malformed, no_metadata,
     no_series) and its text; a bar without four numeric prices gives a row with fault bad_bar and
-    the text of the bar. One document is one row here: nothing is gathered across documents.
+    the text of the bar (`null` for a bar that is null). Of repeated keys the last counts, among
+    the bars and within one. One document is one row here: nothing is gathered across documents.
     """
     data = documents.select(
         F.col(value).cast("string").alias("text"),
@@ -58,7 +74,7 @@ def unpivot_payloads(documents: DataFrame, value: str = "value") -> DataFrame:
     flat = bars.select(
         "symbol",
         F.col("bar.key").alias("date"),
-        *(price(F.col("bar.value")[PAYLOAD_BAR[c]]).alias(c) for c in PRICES),
+        *(price(_last_value(F.col("bar.value"), PAYLOAD_BAR[c])).alias(c) for c in PRICES),
         "document_fault",
         "text",
         F.col("bar.value").alias("bar"),
@@ -69,7 +85,9 @@ def unpivot_payloads(documents: DataFrame, value: str = "value") -> DataFrame:
         "date",
         *PRICES,
         F.coalesce("document_fault", F.when(unusable, "bad_bar"), F.lit(OK)).alias("fault"),
-        F.coalesce("text", F.when(unusable, F.to_json("bar"))).alias("raw_value"),
+        F.when(F.col("document_fault").isNotNull(), F.col("text"))
+        .when(unusable, F.coalesce(F.to_json("bar"), F.lit("null")))
+        .alias("raw_value"),
     )
 
 

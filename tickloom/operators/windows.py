@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -73,7 +74,7 @@ def _fold_copies(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row = pa.array(range(len(batch)), pa.int64())
+            row = pa.array(np.arange(len(batch)))
             numbered = pa.table({k: batch.column(k) for k in keys} | {"row": row})
             first = numbered.group_by(keys, use_threads=False).aggregate([("row", "min")])
             yield batch.take(first["row_min"].combine_chunks())

@@ -104,8 +104,7 @@ def avg_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def avg_spread_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stocks = read_bars(spark, sf_dir)
-    return dashboard.spreads(stocks, dashboard.days_before_newest(stocks))
+    return dashboard.spreads(dashboard.week_of_bars(read_ticks(spark, sf_dir)))
 
 
 def last_known_close(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +205,17 @@ def payload_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("symbol", *PRICES, F.col("date").cast("timestamp_ntz").alias("timestamp"))
 
 
+def payload_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that name every bar twice, the first time without a high; the last counts."""
+    parts = r'(?s)^(.*?"Time Series \(5min\)":\{)(.*)(\}\})$'
+    head, bars, end = (F.regexp_extract("value", parts, k) for k in (1, 2, 3))
+    spoilt = F.regexp_replace(bars, "2. high", "2. none")
+    documents = build_payloads(read_bars(spark, sf_dir))
+    repeated = documents.select(F.concat(head, spoilt, F.lit(","), bars, end).alias("value"))
+    flat = unpivot_payloads(repeated)
+    return flat.select("symbol", *PRICES, F.col("date").cast("timestamp_ntz").alias("timestamp"))
+
+
 def payload_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed with other JSON and with pages; each bar or rejected text is a row."""
     documents = build_payloads(read_bars(spark, sf_dir))
@@ -257,16 +267,18 @@ def stream_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _in_runs(stocks: DataFrame, runs: int) -> list[DataFrame]:
-    """The table cut at equal distances in time."""
+    """The table cut at equal distances in time; rows without one are in the first run."""
     first, last = stocks.agg(F.min("timestamp"), F.max("timestamp")).first()
     cuts = [first + (last - first) * i / runs for i in range(runs)]
     cuts.append(last + timedelta(microseconds=1))
     time = F.col("timestamp")
     kind = stocks.schema["timestamp"].dataType
-    return [
-        stocks.where((time >= F.lit(str(a)).cast(kind)) & (time < F.lit(str(b)).cast(kind)))
+    slices = [
+        (time >= F.lit(str(a)).cast(kind)) & (time < F.lit(str(b)).cast(kind))
         for a, b in zip(cuts, cuts[1:])
     ]
+    slices[0] = slices[0] | time.isNull()
+    return [stocks.where(part) for part in slices]
 
 
 def _pipeline(spark: SparkSession, sf_dir: str, name: str, fold: bool = False) -> PipelineConfig:
@@ -329,6 +341,45 @@ def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("fault", F.col("raw_value").cast("string").alias("html"))
 
 
+def pipeline_two_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two checkpoints write into one table, which is folded after each batch.
+
+    The first feed goes on after the second one, whose epoch is higher, was folded.
+    """
+    feeds = [_config(spark, f"feed-{side}") for side in "ab"]
+    tables = feeds[0].tables
+    feeds = [PipelineConfig(**{**vars(f), "tables": tables}) for f in feeds]
+    for number, rows in enumerate(_in_runs(read_ticks(spark, sf_dir), 4)):
+        config = feeds[number % 2]
+        landing = f"{tables}/landing-{number % 2}"
+        publish_files(to_messages(rows), landing, number)
+        _wait(start_raw(spark, parse_messages(read_files(spark, f"{landing}/run=*")), config))
+        STOCKS_TABLE.fold(spark, config.stocks)
+        STOCKS_TABLE.expire(spark, config.stocks)
+    return _plain(read_stocks(spark, feeds[0].stocks))
+
+
+def ingest_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ingests with their own checkpoints and quarantines send into one message folder."""
+    root = scratch_dir(spark, "ingest-two")
+    bars = read_bars(spark, sf_dir)
+    messages = f"{root}/messages"
+    early = F.coalesce(F.col("symbol") < "f", F.lit(False))
+    for number, part in enumerate((bars.where(early), bars.where(~early))):
+        build_payloads(part).write.text(f"{root}/landing-{number}")
+        query = ingest_documents(
+            spark,
+            read_files(spark, f"{root}/landing-{number}"),
+            lambda rows, run: publish_files(rows, messages, run),
+            f"{root}/checkpoint-{number}",
+            f"{root}/quarantine-{number}",
+        )
+        _wait(query)
+    sent = read_files(spark, f"{messages}/run=*", stream=False)
+    got = accepted(parse_messages(sent)).withColumnRenamed("event_time", "timestamp")
+    return _plain(got.select("symbol", *PRICES, "timestamp"))
+
+
 def ingest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed documents to messages in a bounded run; the messages parse back to the bars."""
     root = scratch_dir(spark, "ingest")
@@ -377,6 +428,7 @@ QUERIES: dict[str, Query] = {
         loose_agg_1h,
         foreign_messages,
         payload_unpivot,
+        payload_repeated_keys,
         payload_faults,
         stream_agg_1h,
         final_agg_1h,
@@ -388,6 +440,8 @@ QUERIES: dict[str, Query] = {
         dedup_resend_agg_1h,
         stream_quarantine,
         ingest_run,
+        ingest_two_runs,
+        pipeline_two_feeds,
     )
 }
 

@@ -6,7 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.operators import average_spread, latest_per_key, long_series, wide_series
+from tickloom.operators import (
+    average_spread,
+    latest_per_key,
+    long_series,
+    ohlc_bars,
+    wide_series,
+)
 from tickloom.operators.series import Bound
 
 
@@ -46,6 +52,18 @@ def spreads(stocks: DataFrame, start: Bound = None, end: Bound = None) -> DataFr
     return average_spread(stocks, start, end)
 
 
+def week_of_bars(ticks: DataFrame, width: str = "5 minutes", days: int = 7) -> DataFrame:
+    """Bars from so many days before the newest one; the width must divide a day.
+
+    Ticks are bounded by their own time at a bucket's edge, so the range reaches their scan and no
+    bar is cut.
+    """
+    newest = ticks.agg(F.max("timestamp").alias("newest"))
+    newest = newest.select(F.window("newest", width)["start"].alias("start"))
+    edge = newest.select(F.col("start") - F.expr(f"INTERVAL {days} DAYS")).scalar()
+    return ohlc_bars(ticks.where(F.col("timestamp") >= edge), width)
+
+
 def last_days(days: int = 7) -> tuple[Column, Column]:
     """The range the dashboard opens with: so many days up to now."""
     now = F.current_timestamp()

@@ -118,6 +118,7 @@ FROM events GROUP BY ALL""",
 SELECT fault, count(*) AS messages, CAST(sum(bytes) AS BIGINT) AS kept_bytes
 FROM feed GROUP BY fault""",
     "payload_unpivot": f"WITH {_BARS} {_ROWS} b",
+    "payload_repeated_keys": f"WITH {_BARS} {_ROWS} b",
     "payload_faults": f"""WITH {_BARS}
 SELECT 'ok' AS fault, count(*) AS "rows" FROM b
 UNION ALL SELECT 'no_metadata', count(*) FROM events
@@ -136,4 +137,6 @@ UNION ALL SELECT 'malformed', count(*) FROM pages""",
     "dedup_resend_agg_1h": f"WITH {_TICKS} {_windows('s', '1 hour')}",
     "stream_quarantine": "SELECT 'malformed' AS fault, html FROM pages",
     "ingest_run": f"WITH {_BARS} {_ROWS} b",
+    "ingest_two_runs": f"WITH {_BARS} {_ROWS} b",
+    "pipeline_two_feeds": f"WITH {_TICKS} {_ROWS} s",
 }

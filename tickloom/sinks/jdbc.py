@@ -10,11 +10,18 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tickloom.sinks import fs
 
 LEDGER = "applied_batches"
+SQL_TYPES = {
+    "string": "TEXT",
+    "double": "DOUBLE PRECISION",
+    "integer": "INTEGER",
+    "long": "BIGINT",
+    "timestamp": "TIMESTAMP",
+}
 
 
 @dataclass(frozen=True)
@@ -73,6 +80,14 @@ def upsert_sql(
     ]
 
 
+def table_ddl(table: str, columns: T.StructType, keys: Sequence[str] = ()) -> str:
+    """A table for rows of these columns; with the keys that an upsert needs to be unique."""
+    lines = [f"{f.name} {SQL_TYPES[f.dataType.typeName()]}" for f in columns]
+    if keys:
+        lines.append(f"PRIMARY KEY ({', '.join(keys)})")
+    return f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(lines)})"
+
+
 def ledger_ddl() -> str:
     return (
         f"CREATE TABLE IF NOT EXISTS {LEDGER} "
@@ -92,11 +107,13 @@ def _record(table: str, batch: str) -> str:
 
 
 def write_once(rows: DataFrame, target: JdbcTarget, table: str, batch: str) -> None:
-    """Append a batch to a table without keys, once however often it is delivered."""
-    stage = _stage(rows, target, table)
-    run_in_transaction(
-        rows.sparkSession, target, [ledger_ddl(), *append_sql(table, stage, rows.columns, batch)]
-    )
+    """Append a batch to a table without keys, once however often it is delivered.
+
+    The table is created if it is not there.
+    """
+    stage = _stage(rows, target, table, batch)
+    statements = append_sql(table, stage, rows.columns, batch)
+    _merge(rows, target, [table_ddl(table, rows.schema), *statements], stage)
 
 
 def write_upsert(
@@ -104,20 +121,37 @@ def write_upsert(
 ) -> None:
     """Bring a batch of keyed rows into a table; the batch written last wins.
 
-    Rows without a key are left out, since NULL keys never conflict.
+    The table is created if it is not there. Rows without a key cannot go in, since NULL keys
+    never conflict: the caller keeps those of `without_key` elsewhere.
     """
     rows = rows.dropna(subset=list(keys))
-    stage = _stage(rows, target, table)
+    stage = _stage(rows, target, table, batch)
     statements = upsert_sql(table, stage, rows.columns, keys, batch)
-    run_in_transaction(rows.sparkSession, target, [ledger_ddl(), *statements])
+    _merge(rows, target, [table_ddl(table, rows.schema, keys), *statements], stage)
+
 
+def without_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows that `write_upsert` leaves out."""
+    return rows.where(F.greatest(*(F.col(k).isNull() for k in keys)))
 
-def _stage(rows: DataFrame, target: JdbcTarget, table: str) -> str:
-    stage = f"{table}_stage"
+
+def stage_name(table: str, batch: str) -> str:
+    """A stage of its own for each checkpoint, so that two writers never fill the same one."""
+    return f"{table}_stage_{batch.split('/')[0]}"
+
+
+def _stage(rows: DataFrame, target: JdbcTarget, table: str, batch: str) -> str:
+    stage = stage_name(table, batch)
     rows.write.format("jdbc").options(**target.options(stage)).mode("overwrite").save()
     return stage
 
 
+def _merge(rows: DataFrame, target: JdbcTarget, statements: Sequence[str], stage: str) -> None:
+    """Move the staged rows, note the batch and drop the stage, all in one transaction."""
+    statements = [ledger_ddl(), *statements, f"DROP TABLE {stage}"]
+    run_in_transaction(rows.sparkSession, target, statements)
+
+
 def run_in_transaction(
     spark: SparkSession,
     target: JdbcTarget,

@@ -24,6 +24,7 @@ from tickloom.sinks import (
     write_once,
     write_upsert,
 )
+from tickloom.sinks.jdbc import without_key
 from tickloom.streaming.progress import WRITTEN
 
 
@@ -110,13 +111,21 @@ def start_aggregates(
     windows = window_aggregate(rows, config.width, watermark=config.watermark, dedup=config.dedup)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if config.jdbc:
+        version = version_of(epoch, batch_id)
+        files = config.aggregate_files
+        if not config.jdbc:
+            AGGREGATES_TABLE.write_batch(batch, config.aggregates, version, files)
+            return
+        batch = batch.persist()
+        try:
+            # Windows without a symbol have no place under the database's key.
+            AGGREGATES_TABLE.write_batch(
+                without_key(batch, AGGREGATE_KEY), config.aggregates, version, files
+            )
             name = f"{checkpoint_id(spark, checkpoint)}/{batch_id}"
             write_upsert(batch, config.jdbc, "stocks_aggregates_1m", AGGREGATE_KEY, name)
-        else:
-            version = version_of(epoch, batch_id)
-            files = config.aggregate_files
-            AGGREGATES_TABLE.write_batch(batch, config.aggregates, version, files)
+        finally:
+            batch.unpersist()
 
     windows = windows.select(AGGREGATES.names)
     mode = config.output_mode
