@@ -14,12 +14,14 @@ def keep_symbols(rows: DataFrame, symbols: Iterable[str] = SYMBOLS) -> DataFrame
     return rows.where(F.col("symbol").isin(list(symbols)))
 
 
-def keep_listed(rows: DataFrame, listed: DataFrame) -> DataFrame:
+def keep_listed(rows: DataFrame, listed: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """Rows whose symbol occurs in a table.
 
-    Adaptive execution measures the finished list: under the session's broadcast threshold it is
-    sent to all tasks, a larger one is joined by shuffle, where a batch query's hot symbols are
-    split by the session's skew thresholds. No job runs before the result is asked for.
+    The list is measured first, by a job that runs when the frame is built: one that fits is broadcast, so that the rows stay where they are.
+    A larger one is joined by shuffle, where Spark splits hot symbols at run time.
     """
     names = listed.select("symbol").where(F.col("symbol").isNotNull()).distinct()
+    size = names.agg(F.sum(F.octet_length("symbol") + 32)).first()[0] or 0
+    if size <= broadcast_bytes:
+        names = F.broadcast(names)
     return rows.join(names, "symbol", "left_semi")
