@@ -191,6 +191,17 @@ def test_one_copy_stays(docs, rows):
     assert set(c for _, c in classes if c is not None) <= set(ids)
 
 
+def test_parities_never_differ_in_more_bits_than_cells():
+    draw = np.random.default_rng(5)
+    for shared, alone in ((0, 0), (0, 1), (40, 0), (40, 3), (500, 60), (3, 900)):
+        cells = draw.integers(0, 2**63, shared + alone, dtype=np.uint64)
+        text = np.repeat([0, 2], [shared, shared + alone])
+        bits = nearcopies.parities(text, np.concatenate([cells[:shared], cells]), 3).view(np.uint64)
+        assert not bits[1].any()
+        differ = int(np.bitwise_count(bits[0] ^ bits[2]).sum())
+        assert differ <= alone and differ % 2 == alone % 2
+
+
 def test_darts_agree_as_weighted_jaccard():
     cells = np.arange(1, 301, dtype=np.uint64) * np.uint64(7919)
     text = np.concatenate([np.zeros(200, int), np.ones(200, int)])

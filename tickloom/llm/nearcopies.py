@@ -29,9 +29,12 @@ ROWS = 4
 DIRECT = 32
 CLASS = 1.03
 COUNTERS = 1 << 20
+#: Longs of 64 parity bits in a text's sketch.
+PARITY = 4
 
 _RANK = np.uint64(0xA24BAED4963EE407)
 _DART = np.uint64(0x9FB21C651E98DF25)
+_PARITY = np.uint64(0xC2B2AE3D27D4EB4F)
 _SLACK = 2.3
 
 
@@ -194,6 +197,17 @@ def token_spots(own: np.ndarray, other: np.ndarray, cells: np.ndarray) -> np.nda
     return (mix(cells ^ mix(pair)) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
+def parities(text: np.ndarray, cells: np.ndarray, texts: int) -> np.ndarray:
+    """PARITY longs for each text: bit i is the parity of its cells that hash to i.
+
+    A cell that only one of two texts has changes one bit, so they differ in at least as many cells as bits.
+    """
+    bits = 64 * PARITY
+    spot = (mix(cells ^ _PARITY) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(text * bits + spot, minlength=texts * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(texts, bits), axis=1).view(np.int64)
+
+
 def _marks(batch: pa.RecordBatch):
     own, other, cell = (batch.column(k).to_numpy() for k in range(3))
     yield token_spots(own, other, cell.view(np.uint64)).astype(np.uint64)
@@ -242,7 +256,8 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, similarity: float, size:
     `members` has band, key, label and weight. Only keys outside their band's largest label are searched
     for, among all. Cells that many texts share stand last in the order, so in a group of edited copies the
     index holds what is special to each of them; cells that only one text has are left out. Order and index
-    marks use 2**20 counters and bits, so their size is fixed.
+    marks use 2**20 counters and bits, so their size is fixed. Each token carries its text's parities, from
+    which the join itself sees most pairs that differ in too many cells.
     """
     spark = members.sparkSession
     sizes = members.groupBy("band", "label").agg(F.count("*").alias("size"))
@@ -282,11 +297,15 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, similarity: float, size:
                     of, own, other, cell, place = (x[keep] for x in found)
                     row = batch.column(0).take(pa.array(of + block.first))
                     columns = [row, pa.array(own, pa.int32()), pa.array(other, pa.int32()), pa.array(cell.view(np.int64)), pa.array(place, pa.int32())]
-                    yield pa.RecordBatch.from_arrays(columns, ["row", "own", "other", "cell", "place"])
+                    parity = parities(text, cells, len(weight))[of]
+                    columns += [pa.array(np.ascontiguousarray(parity[:, k])) for k in range(PARITY)]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", *names])
 
+        names = ["own", "other", "cell", "place", *(f"bits{k}" for k in range(PARITY))]
         kind = "row struct<key:binary,label:binary,weight:long>, own int, other int, cell long, place int"
+        kind += "".join(f", bits{k} long" for k in range(PARITY))
         made = rows.select(F.struct("key", "label", "weight").alias("row"), "text").mapInArrow(run, kind)
-        return stored(made.select("row.*", "own", "other", "cell", "place"), "tokens")
+        return stored(made.select("row.*", *names), "tokens")
 
     searched = tokens(held.where("outside"), None)
 
@@ -294,14 +313,17 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, similarity: float, size:
     bits = _counters(searched.select("own", "other", "cell"), _marks) > 0
     among = searched.union(tokens(held.where("NOT outside"), spark.sparkContext.broadcast(bits)))
     left = searched.select(
-        "own", "other", "cell", F.col("key").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"), F.col("place").alias("pa")
+        "own", "other", "cell", F.col("key").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"), F.col("place").alias("pa"), *(F.col(f"bits{k}").alias(f"x{k}") for k in range(PARITY))
     )
     right = among.select(
-        F.col("other").alias("own"), F.col("own").alias("other"), "cell", F.col("key").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wb"), F.col("place").alias("pb")
+        F.col("other").alias("own"), F.col("own").alias("other"), "cell", F.col("key").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wb"), F.col("place").alias("pb"), *(F.col(f"bits{k}").alias(f"y{k}") for k in range(PARITY))
     )
     left_over = F.least(F.col("wa") - F.col("pa"), F.col("wb") - F.col("pb"))
     need = F.lit(similarity / (1 + similarity)) * (F.col("wa") + F.col("wb")) - 1e-9
-    pairs = left.join(right, ["own", "other", "cell"]).where("la <> lb").where(left_over >= need)
+    # Texts that share at least t / (1 + t) of v + w cells differ in at most (1 - t) / (1 + t) of them.
+    differ = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(PARITY)), F.lit(0))
+    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("wa") + F.col("wb")) + 1e-9
+    pairs = left.join(right, ["own", "other", "cell"]).where("la <> lb").where(left_over >= need).where(differ <= most)
     return pairs.select("a", "wa", "b", "wb")
 
 
