@@ -432,6 +432,28 @@ def test_languages_on_pages(spark, sf_dir):
     assert np.mean([r["language"] == r["declared"] for r in rows if r["declared"]]) > 0.9
 
 
+def tongue(seed, words=40):
+    """Texts of an invented language: its words share no run of letters with another's, but by chance."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(30)]
+    while True:
+        yield " ".join(rng.choice(vocabulary) for _ in range(words))
+
+
+def test_more_languages_than_a_slice(spark):
+    """Each label is a language, however many there are; undeclared rows are told by their text alone."""
+    rows = []
+    for k in range(70):
+        texts = tongue(k)
+        rows += [(f"l{k:02}", next(texts), f"l{k:02}") for _ in range(1 + (k < 64))] + [(None, next(texts), f"l{k:02}")]
+    frame = spark.createDataFrame(rows, "lang string, text string, truth string")
+    model = train_languages(frame, frame["text"], frame["lang"], frame["text"])
+    evidence = {"declared": frame["lang"], "host": F.lit("h"), "suffix": F.lit("s")}
+    found = identify_languages(frame, evidence, model, carry=["truth"]).select("row.truth", "language", "accepted").collect()
+    assert len(found) == len(rows)
+    assert [r for r in found if r["truth"] != r["language"] or not r["accepted"]] == []
+
+
 def test_classifiers_on_awkward_rows(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (6, 1, 1), (7, 0, None), (None, 1, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
     assert classify_quality(docs).count() == docs.count()

@@ -31,12 +31,17 @@ def row_of(docs: DataFrame, carry: list[str] | None):
 
 
 def map_texts(
-    docs: DataFrame, function: TextFunction, fields: str, text_col: str = "text", carry: list[str] | None = None
+    docs: DataFrame,
+    function: TextFunction,
+    fields: str,
+    text_col: str = "text",
+    carry: list[str] | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     """`row` and what `function` makes of each Arrow batch of texts, in the same order.
 
     `fields` is the schema of the function's columns. Spark deals the rows out; a batch is bounded by
-    spark.sql.execution.arrow.maxRecordsPerBatch.
+    spark.sql.execution.arrow.maxRecordsPerBatch, and cut to `most` rows if given.
     """
     kept = carried(docs, carry)
     given = docs.select(
@@ -48,11 +53,13 @@ def map_texts(
     place = kept.index(text_col) if text_col in kept else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(0)
-            texts = batch.column(1) if place is None else rows.field(place)
-            made = function(texts)
-            yield pa.RecordBatch.from_arrays([rows, *(made[f.name] for f in added.fields)], ["row", *added.names])
+        for whole in batches:
+            for first in range(0, whole.num_rows, most or max(whole.num_rows, 1)):
+                batch = whole.slice(first, most)
+                rows = batch.column(0)
+                texts = batch.column(1) if place is None else rows.field(place)
+                made = function(texts)
+                yield pa.RecordBatch.from_arrays([rows, *(made[f.name] for f in added.fields)], ["row", *added.names])
 
     return given.mapInArrow(run, schema)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,10 @@ SMOOTHING = 10.0
 #: A text fits no language if its mean log-likelihood is this far below that of evenly spread grams.
 MARGIN = 3.0
 BROADCAST_BYTES = 8 << 20
+#: Languages whose likelihoods (2**18 bytes each) are sent and held together.
+SLICE = 64
+#: Likelihoods (texts x languages) that a worker holds at once.
+HELD = 1 << 20
 
 
 def document_evidence(docs: DataFrame) -> dict[str, Column]:
@@ -51,41 +58,82 @@ def visible_text(html: Column) -> Column:
     return F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
 
 
-def train(rows: DataFrame, text: Column, label: Column, key: Column, sample: int = SAMPLE, most: int = 64) -> dict:
-    """Gram likelihoods of each language from about `sample` labelled rows, chosen by a hash of `key`.
+def train(rows: DataFrame, text: Column, label: Column, key: Column, sample: int = SAMPLE) -> dict:
+    """Gram counts of each language from about `sample` labelled rows, chosen by a hash of `key`.
 
-    The `most` frequent labels are the languages; the rows' labels need not be right for each row.
+    Every label of a row with a gram is a language; the rows' labels need not be right for each row. The counts, at
+    most languages x 2**16, stay in the shared folder; only the labels come to the driver.
     """
     given = rows.select(label.alias("label"), text.cast("string").alias("text"), key.cast("string").alias("key"))
-    given = given.where("label IS NOT NULL AND text IS NOT NULL")
-    sizes = given.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most).collect()
-    names = sorted(r["label"] for r in sizes)
-    chosen = sampled(given.where(F.col("label").isin(names)), F.coalesce("key", "text"), sum(r["n"] for r in sizes), sample)
-
-    def function(texts: pa.Array) -> dict[str, pa.Array]:
-        found = []
-        for block in blocks(texts):
-            text_, grams = byte_grams(block, GRAM, _BITS, fold=True)
-            bounds = np.searchsorted(text_, np.arange(len(block.offsets)))
-            found += [grams[a:b] for a, b in zip(bounds, bounds[1:])]
-        return {"grams": pa.array(found, pa.list_(pa.int32()))}
-
-    grams = map_texts(chosen, function, "grams array<int>", carry=["label"]).select("row.label", F.explode("grams").alias("gram"))
-    # At most languages x 2**16 counts.
-    table = grams.groupBy("label", "gram").agg(F.count("*").alias("n")).toPandas()
-    counts = np.full((1 << _BITS, max(len(names), 1)), 0.2)
-    place = {name: i for i, name in enumerate(names)}
-    counts[table["gram"].to_numpy(np.int64), [place[x] for x in table["label"]]] += table["n"].to_numpy(float)
-    return {"names": names, "logs": np.log(counts / counts.sum(axis=0)).astype(np.float32)}
-
-
-def likelihoods(block: Block, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean log-likelihood of each text's grams under each language, and the number of grams."""
+    given = given.where(F.col("label").isNotNull() & (F.octet_length("text") >= GRAM))
+    sizes = given.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()
+    names = [r["label"] for r in sizes]
+    spark = rows.sparkSession
+    numbers = spark.createDataFrame([(name, k) for k, name in enumerate(names)], "label string, language int")
+    chosen = sampled(given, F.coalesce("key", "text"), sum(r["n"] for r in sizes), sample)
+    chosen = chosen.join(F.broadcast(numbers), "label").select("language", "text")
+    counted = chosen.mapInArrow(_counted, "language int, gram int, n long")
+    counts = counted.groupBy("language", "gram").agg(F.sum("n").alias("n"))
+    return {"names": names, "counts": stored(counts, "grams")}
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the grams of a task's texts, for at most `SLICE` languages at a time."""
+    held: dict[int, np.ndarray] = {}
+
+    def given_back() -> Iterator[pa.RecordBatch]:
+        for language, counts in held.items():
+            gram = np.flatnonzero(counts)
+            arrays = [np.full(len(gram), language, np.int32), gram.astype(np.int32), counts[gram]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["language", "gram", "n"])
+        held.clear()
+
+    for batch in batches:
+        languages = batch.column(0).to_numpy()
+        for block in blocks(batch.column(1)):
+            text, grams = byte_grams(block, GRAM, _BITS, fold=True)
+            owner = languages[block.first : block.last][text]
+            order = np.argsort(owner, kind="stable")
+            owner, grams = owner[order], grams[order]
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else []
+            for start, end in zip(starts, np.r_[starts[1:], len(owner)].astype(int)):
+                language = int(owner[start])
+                if language not in held and len(held) == SLICE:
+                    yield from given_back()
+                counts = np.bincount(grams[start:end], minlength=1 << _BITS)
+                held[language] = held[language] + counts if language in held else counts
+    yield from given_back()
+
+
+def slices(model: dict) -> list[Broadcast]:
+    """Log-likelihoods of the grams (rows) under `SLICE` languages each; the driver holds one slice at a time."""
+    counts, languages = model["counts"], len(model["names"])
+    made = []
+    for first in range(0, languages, SLICE):
+        size = min(SLICE, languages - first)
+        table = counts.where(F.col("language").between(first, first + size - 1)).toPandas()
+        dense = np.full((1 << _BITS, size), 0.2)
+        dense[table["gram"].to_numpy(np.int64), table["language"].to_numpy(np.int64) - first] += table["n"].to_numpy(float)
+        made.append(counts.sparkSession.sparkContext.broadcast(np.log(dense / dense.sum(axis=0)).astype(np.float32)))
+    return made
+
+
+def likelihoods(block: Block, shared: list[Broadcast]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean log-likelihood of each text's grams under each language, and the number of grams.
+
+    Of several slices a worker holds one at a time and reads them again for each block.
+    """
     text, grams = byte_grams(block, GRAM, _BITS, fold=True)
     n = len(block.offsets) - 1
     counts = np.bincount(text, minlength=n)
-    columns = [np.bincount(text, weights=logs[:, k][grams], minlength=n) for k in range(logs.shape[1])]
-    return np.stack(columns, axis=1) / np.maximum(counts, 1)[:, None], counts
+    columns = []
+    for part in shared:
+        logs = part.value
+        columns += [np.bincount(text, weights=logs[:, k][grams], minlength=n) for k in range(logs.shape[1])]
+        if len(shared) > 1 and getattr(part, "_path", None):
+            del part._value
+    means = np.stack(columns, axis=1) if columns else np.zeros((n, 0))
+    return means / np.maximum(counts, 1)[:, None], counts
 
 
 def identify_languages(
@@ -108,12 +156,11 @@ def identify_languages(
     empty); a language that no row declares can't be found. Repeated rows count repeatedly and are judged alike.
     No rows give no rows; without languages every row is rejected.
 
-    Texts are read twice and never shuffled. Hosts and declared values are joined by broadcast if their
+    Texts are read twice and never shuffled; the likelihoods reach the tasks in slices of `SLICE` languages, of which
+    a worker holds one. Work and the priors' tables grow with the number of languages. Hosts and declared values are joined by broadcast if their
     measured size allows, else by a shuffle in which adaptive execution splits a hot host.
     """
-    spark = docs.sparkSession
-    names, logs = model["names"], model["logs"]
-    shared = spark.sparkContext.broadcast(logs)
+    names, shared = model["names"], slices(model)
     text = docs["text"] if text is None else text
     kept = docs.columns if carry is None else list(carry)
     given = docs.select(
@@ -123,9 +170,9 @@ def identify_languages(
     )
 
     def function(texts: pa.Array) -> dict[str, pa.Array]:
-        means, grams, letters = [np.zeros((0, shared.value.shape[1]))], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        means, grams, letters = [np.zeros((0, len(names)))], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for block in blocks(texts):
-            mean, count = likelihoods(block, shared.value)
+            mean, count = likelihoods(block, shared)
             means.append(mean)
             grams.append(count)
             letters.append(np.diff(np.concatenate([[0], np.cumsum(IS_LETTER[block.data])])[block.offsets]) > 0)
@@ -135,66 +182,70 @@ def identify_languages(
             "mean": pa.ListArray.from_arrays(pa.array(np.arange(len(mean) + 1) * mean.shape[1], pa.int32()), flat),
             "grams": pa.array(count, pa.int64()),
             "letters": pa.array(np.concatenate(letters), pa.bool_()),
+            "best": pa.array(mean.argmax(axis=1) if names else np.zeros(len(mean), np.int32), pa.int32()),
         }
 
-    fields = "mean array<double>, grams long, letters boolean"
-    scored = map_texts(given, function, fields, carry=["given", "declared", "host", "suffix"])
+    fields, most = "mean array<double>, grams long, letters boolean, best int", max(1, HELD // max(len(names), 1))
+    scored = map_texts(given, function, fields, carry=["given", "declared", "host", "suffix"], most=most)
     if not names:
         return scored.select(
             F.col("row.given").alias("row"),
             F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"),
         )
 
-    counts = [F.sum(F.when(F.col("best") == k, 1.0).otherwise(0.0)).alias(f"n{k}") for k in range(len(names))]
-    best = F.array_position("mean", F.array_max("mean")).cast("int") - 1
+    def counted(texts: pa.Array) -> dict[str, pa.Array]:
+        found = function(texts)
+        return {"grams": found["grams"], "best": found["best"]}
+
     seen = map_texts(
-        given.select("declared", "host", "suffix", "text"), function, fields, carry=["declared", "host", "suffix"]
+        given.select("declared", "host", "suffix", "text"), counted, "grams long, best int",
+        carry=["declared", "host", "suffix"], most=most,
     ).where("grams > 0")
-    seen = seen.select("row.declared", "row.host", "row.suffix", best.alias("best"))
-    seen = stored(seen.groupBy("declared", "host", "suffix").agg(*counts), "evidence")
+    seen = seen.groupBy("row.declared", "row.host", "row.suffix", "best").agg(F.count("*").cast("double").alias("n"))
+    seen = stored(seen, "evidence")
 
-    columns = [f"n{k}" for k in range(len(names))]
-    whole = seen.agg(*(F.sum(c).alias(c) for c in columns)).first()
-    total = np.array([float(whole[c] or 0) for c in columns])
+    total = np.zeros(len(names))
+    for r in seen.groupBy("best").agg(F.sum("n").alias("n")).collect():
+        total[r["best"]] = r["n"]
     share = (total + 1) / (total.sum() + len(names))
 
-    def level(frame: DataFrame, by: list[str]) -> DataFrame:
-        return frame.groupBy(*by).agg(*(F.sum(c).alias(c) for c in columns))
+    def vector(values: np.ndarray) -> Column:
+        return F.lit([float(x) for x in values])
 
-    def smoothed(above: list[Column]) -> Column:
-        n = sum(F.col(c) for c in columns)
-        return F.array(*((F.col(c) + SMOOTHING * a) / (n + SMOOTHING) for c, a in zip(columns, above)))
+    def level(by: list[str]) -> DataFrame:
+        """Counts n of every language, in order, and their sum."""
+        entries = seen.groupBy(*by, "best").agg(F.sum("n").alias("n")).groupBy(*by)
+        entries = entries.agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("found"), F.sum("n").alias("sum"))
+        every = F.sequence(F.lit(0), F.lit(len(names) - 1))
+        return entries.withColumn("n", F.transform(every, lambda k: F.coalesce(F.col("found")[k], F.lit(0.0)))).drop("found")
 
-    suffixes = level(seen, ["suffix"]).select("suffix", smoothed([F.lit(float(x)) for x in share]).alias("above"))
-    hosts = level(seen, ["host", "suffix"]).join(suffixes, "suffix")
-    hosts = hosts.select("host", "suffix", smoothed([F.col("above")[k] for k in range(len(names))]).alias("prior"))
-    spread = sum(F.col(c) for c in columns) / float(max(total.sum(), 1.0))
-    declared = level(seen, ["declared"]).select(
-        "declared",
-        F.array(*((F.col(c) + SMOOTHING * spread) / float(t + SMOOTHING) for c, t in zip(columns, total))).alias("says"),
-    )
+    def smoothed(above: Column) -> Column:
+        return F.zip_with("n", above, lambda c, a: (c + SMOOTHING * a) / (F.col("sum") + SMOOTHING))
+
+    suffixes = level(["suffix"]).select("suffix", smoothed(vector(share)).alias("above"))
+    hosts = level(["host", "suffix"]).join(suffixes, "suffix").select("host", "suffix", smoothed(F.col("above")).alias("prior"))
+    spread = F.col("sum") / float(max(total.sum(), 1.0))
+    says = F.zip_with("n", vector(total), lambda c, t: (c + SMOOTHING * spread) / (t + SMOOTHING))
+    declared = level(["declared"]).select("declared", says.alias("says"))
     hosts, declared = _small(hosts, len(names)), _small(declared, len(names))
 
     chance = float(-np.log(1 << _BITS)) - MARGIN
     damped = F.least(F.col("grams").cast("double"), F.lit(EVIDENCE))
-    flat = F.array(*(F.lit(float(x)) for x in share))
-    even = F.array(*(F.lit(1.0) for _ in names))
     joined = (
         scored.select("row.*", "mean", "grams", "letters")
         .join(hosts, ["host", "suffix"], "left")
         .join(declared, "declared", "left")
-        .withColumn("prior", F.coalesce("prior", flat))
-        .withColumn("says", F.coalesce("says", even))
-    )
-    logs_ = F.array(
-        *(F.col("mean")[k] * damped + F.ln(F.col("prior")[k]) + F.ln(F.col("says")[k]) for k in range(len(names)))
+        .withColumn("prior", F.coalesce("prior", vector(share)))
+        .withColumn("says", F.coalesce("says", vector(np.ones(len(names)))))
     )
-    fused = joined.select("given", "mean", "grams", "letters", logs_.alias("logs"))
+    logs = F.zip_with("mean", "prior", lambda m, p: m * damped + F.ln(p))
+    logs = F.zip_with(logs, "says", lambda x, s: x + F.ln(s))
+    fused = joined.select("given", "mean", "grams", "letters", logs.alias("logs"))
     top = F.array_max("logs")
     at = F.array_position("logs", top).cast("int")
     fused = fused.select(
         F.col("given").alias("row"),
-        F.element_at(F.array(*(F.lit(x) for x in names)), at).alias("language"),
+        F.element_at(F.lit(names), at).alias("language"),
         (1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - top))).alias("posterior"),
         (F.element_at("mean", at) > chance).alias("fits"),
         "letters",
