@@ -454,6 +454,21 @@ def test_more_languages_than_a_slice(spark):
     assert [r for r in found if r["truth"] != r["language"] or not r["accepted"]] == []
 
 
+def test_rare_languages_have_models(spark):
+    """The sample is bounded for each label, so a small share of the rows is no reason to have no model."""
+    large, rare = tongue("large"), {name: tongue(name) for name in ("rare1", "rare2", "rare3")}
+    rows = [(i, "large", next(large), "large") for i in range(3000)]
+    for name, texts in rare.items():
+        rows += [(len(rows) + i, name if i < 4 else None, next(texts), name) for i in range(6)]
+    frame = spark.createDataFrame(rows, "id long, lang string, text string, truth string")
+    model = train_languages(frame, frame["text"], frame["lang"], frame["id"], sample=30)
+    trained = {r["language"] for r in model["counts"].select("language").distinct().collect()}
+    assert [model["names"][k] for k in sorted(trained)] == ["large", "rare1", "rare2", "rare3"]
+    evidence = {"declared": frame["lang"], "host": F.lit("h"), "suffix": F.lit("s")}
+    found = identify_languages(frame, evidence, model, carry=["truth"]).select("row.truth", "language", "accepted").collect()
+    assert [r for r in found if r["truth"] != r["language"] or not r["accepted"]] == []
+
+
 def test_classifiers_on_awkward_rows(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (6, 1, 1), (7, 0, None), (None, 1, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
     assert classify_quality(docs).count() == docs.count()

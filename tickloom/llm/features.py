@@ -37,14 +37,22 @@ def normalised(text: np.ndarray, values: np.ndarray, texts: int) -> np.ndarray:
     return values / np.maximum(norm[text], 1e-12)
 
 
+def sample_hash(key: Column) -> Column:
+    """A number below 2**30 that depends on the key alone."""
+    return F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30))
+
+
+def sample_limit(total: int, bound: int) -> int:
+    """The limit below which the hashes of about `bound` of `total` rows lie (all, if there are fewer)."""
+    return 1 << 30 if total <= bound else int(bound / total * (1 << 30))
+
+
 def sampled(rows: DataFrame, key: Column, total: int, bound: int) -> DataFrame:
     """About `bound` of `total` rows (all, if there are fewer), chosen by a hash of the key.
 
     The choice does not depend on order or partitions; the number varies by a few times its square root.
     """
-    if total <= bound:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < int(bound / total * (1 << 30)))
+    return rows if total <= bound else rows.where(sample_hash(key) < sample_limit(total, bound))
 
 
 def fit(

@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.blocks import IS_WORD, Block, blocks
-from tickloom.llm.features import byte_grams, sampled
+from tickloom.llm.features import byte_grams, sample_hash, sample_limit
 from tickloom.llm.frames import map_texts, quoted, stored
 
 _BITS = 16
 GRAM = 4
 IS_LETTER = IS_WORD.copy()
 IS_LETTER[48:58] = False
+#: Rows of each label.
 SAMPLE = 6000
 #: Neighbouring grams overlap, so a text counts as at most this many independent ones.
 EVIDENCE = 40.0
@@ -59,19 +60,21 @@ def visible_text(html: Column) -> Column:
 
 
 def train(rows: DataFrame, text: Column, label: Column, key: Column, sample: int = SAMPLE) -> dict:
-    """Gram counts of each language from about `sample` labelled rows, chosen by a hash of `key`.
+    """Gram counts of each language from about `sample` rows of its label (all, if there are fewer).
 
+    Rows are chosen by a hash of `key`, so those with equal keys are taken or left together; a language has one at
+    least, whatever its share. So about labels x `sample` rows are read at any size of the input.
     Every label of a row with a gram is a language; the rows' labels need not be right for each row. The counts, at
     most languages x 2**16, stay in the shared folder; only the labels come to the driver.
     """
     given = rows.select(label.alias("label"), text.cast("string").alias("text"), key.cast("string").alias("key"))
     given = given.where(F.col("label").isNotNull() & (F.octet_length("text") >= GRAM))
-    sizes = given.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()
+    given = given.select("label", "text", sample_hash(F.coalesce("key", "text")).alias("hash"))
+    sizes = given.groupBy("label").agg(F.count("*").alias("n"), F.min("hash").alias("least")).orderBy("label").collect()
     names = [r["label"] for r in sizes]
-    spark = rows.sparkSession
-    numbers = spark.createDataFrame([(name, k) for k, name in enumerate(names)], "label string, language int")
-    chosen = sampled(given, F.coalesce("key", "text"), sum(r["n"] for r in sizes), sample)
-    chosen = chosen.join(F.broadcast(numbers), "label").select("language", "text")
+    limits = [(r["label"], k, max(sample_limit(r["n"], sample), r["least"] + 1)) for k, r in enumerate(sizes)]
+    limits = rows.sparkSession.createDataFrame(limits, "label string, language int, limit long")
+    chosen = given.join(F.broadcast(limits), "label").where("hash < limit").select("language", "text")
     counted = chosen.mapInArrow(_counted, "language int, gram int, n long")
     counts = counted.groupBy("language", "gram").agg(F.sum("n").alias("n"))
     return {"names": names, "counts": stored(counts, "grams")}
