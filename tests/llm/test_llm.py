@@ -252,6 +252,17 @@ def test_leaks(spark, docs, rows, none, pass_bytes):
     assert find_leaks(docs, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def test_longest_match_whatever_the_passes(spark):
+    """Equally long matches: the earliest in the document counts, and there the smallest item."""
+    passages = [" ".join(f"p{i}x{k}" for k in range(10)) for i in range(8)]
+    items = [(f"{end}{i}", f"{passage} {end}") for i, passage in enumerate(passages) for end in ("b", "a")]
+    rows = [(i, " gap ".join(passages[i:] + passages[:i])) for i in range(8)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    for pass_bytes in (4 << 20, 400, 40):
+        found = find_leaks(docs, benchmark, pass_bytes=pass_bytes).select("row.doc_id", "longest_words", "longest_item", "longest_at")
+        assert by_key(found.collect()) == [(i, 10, f"a{i}", 0) for i in range(8)]
+
+
 # ---------------------------------------------------------------- mixing
 
 

@@ -169,8 +169,8 @@ def _longest(text, owner, place, at, length) -> dict[int, tuple[int, int, int]]:
 
 
 def _merge(old: tuple, new: tuple) -> tuple:
-    """Results of two passes over one text."""
-    longer = new if new[3] > old[3] else old
+    """Results of two passes over one text; of equally long matches the earliest, then the smallest item, as in one pass."""
+    longer = min(old, new, key=lambda x: (-x[3], x[5] or 0, x[4] or ""))
     return (new[0], old[1] | new[1], sorted({*old[2], *new[2]}), *longer[3:])
 
 
@@ -190,7 +190,7 @@ def find_leaks(
     A window is `window` consecutive words of an item, or all words of an item with fewer. A document's word
     is hit if it lies in any occurrence of a window. items are the ids (as strings, sorted, each once) of
     items with such windows; longest_words, longest_item and longest_at (a word's number) tell the longest
-    verbatim match, the earliest of equals. Words are compared by 64-bit hashes.
+    verbatim match, the earliest of equals, there the smallest item. Words are compared by 64-bit hashes.
 
     Null and empty texts have no words and no matches; items without words match nothing. Repeated rows are
     judged each for itself, repeated item ids are one item, and a null item id reads as an empty string.
