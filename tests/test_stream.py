@@ -293,6 +293,31 @@ def test_each_batch_is_logged(spark, tmp_path, config, caplog):
     assert want in caplog.messages
 
 
+def test_totals_of_more_batches_than_spark_keeps(spark, tmp_path, config):
+    folder = str(tmp_path / "in")
+    for i, times in enumerate([["09:30:10"], ["09:35:00"], ["09:30:55"], ["09:30:56", "09:33:30", "09:32:59"], ["09:40:00"], ["09:41:00"]]):
+        land(folder, [message("A", DAY + t) for t in times], f"{i}.txt")
+    listeners = [BatchLog(), BatchLog()]
+    for listener in listeners:
+        spark.streams.addListener(listener)
+    try:
+        with session_conf(
+            spark,
+            spark__sql__streaming__noDataMicroBatches__enabled="false",
+            spark__sql__streaming__numRecentProgressUpdates="2",
+        ):
+            (query,) = wait(start_aggregates(spark, one_file_per_batch(spark, folder), config))
+        assert len(query.recentProgress) < 6
+        deadline = time.time() + 20
+        while totals(query)["batches"] < 6 and time.time() < deadline:
+            time.sleep(0.1)
+    finally:
+        for listener in listeners:
+            spark.streams.removeListener(listener)
+    got = totals(query)
+    assert (got["batches"], got["input_rows"], got["written_rows"], got["late_rows"]) == (6, 8, 6, 2)
+
+
 def test_bounded_run_wants_no_trigger(spark, config):
     with pytest.raises(ValueError):
         run_available(spark, None, changed(config, trigger="1 second"))

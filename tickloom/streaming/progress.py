@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import threading
 
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -29,24 +30,52 @@ def batch_counts(report: dict) -> dict[str, int]:
     }
 
 
+_SUMMED = ("input_rows", "written_rows", "late_rows")
+# What BatchLog has seen of each run: its first and last batch, and the totals from the one to the other.
+_seen: dict[str, tuple[int, int, dict[str, int]]] = {}
+_lock = threading.Lock()
+
+
+def _added(result: dict[str, int], counts: dict[str, int]) -> dict[str, int]:
+    summed = {name: result[name] + counts[name] for name in _SUMMED}
+    return {"batches": result["batches"] + 1, **summed, "state_rows": counts["state_rows"]}
+
+
 def totals(query: StreamingQuery) -> dict[str, int]:
-    """Counts over the recent batches of a query; state_rows are those of the last."""
-    batches = [batch_counts(json.loads(p.json)) for p in query.recentProgress]
-    result = {"batches": len(batches)}
-    for name in ("input_rows", "written_rows", "late_rows"):
-        result[name] = sum(b[name] for b in batches)
-    result["state_rows"] = batches[-1]["state_rows"] if batches else 0
+    """Counts over the batches of a query's run; state_rows are those of the last.
+
+    All batches count that a `BatchLog` added before the run has seen; of the others those that Spark keeps
+    (spark.sql.streaming.numRecentProgressUpdates, 100 by default).
+    """
+    none = dict.fromkeys(("batches", *_SUMMED, "state_rows"), 0)
+    with _lock:
+        first, last, sums = _seen.get(str(query.runId), (0, -1, none))
+    recent = [json.loads(p.json) for p in query.recentProgress]
+    result = none
+    for report in recent:
+        if report["batchId"] < first:
+            result = _added(result, batch_counts(report))
+    result = {name: result[name] + sums[name] for name in none} | {"state_rows": sums["state_rows"]}
+    for report in recent:
+        if report["batchId"] > last and report["batchId"] >= first:
+            result = _added(result, batch_counts(report))
     return result
 
 
 class BatchLog(StreamingQueryListener):
-    """Logs one line per batch; add it with spark.streams.addListener."""
+    """Logs one line per batch and sums the counts for `totals`; add it with spark.streams.addListener."""
 
     def onQueryStarted(self, event) -> None:
         log.info("%s: started", event.name)
 
     def onQueryProgress(self, event) -> None:
-        counts = batch_counts(json.loads(event.progress.json))
+        report = json.loads(event.progress.json)
+        counts = batch_counts(report)
+        run, batch = str(event.progress.runId), report["batchId"]
+        with _lock:
+            first, last, sums = _seen.get(run, (batch, -1, dict.fromkeys(("batches", *_SUMMED, "state_rows"), 0)))
+            if batch > last:  # a second log sees each batch again
+                _seen[run] = (first, batch, _added(sums, counts))
         text = ", ".join(f"{name} {value}" for name, value in counts.items())
         log.info("%s: batch %d, %s", event.progress.name, event.progress.batchId, text)
 
