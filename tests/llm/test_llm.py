@@ -1,7 +1,9 @@
 """The corpus operators against brute force on small tables that hold the awkward cases."""
 
+import base64
 import glob
 import hashlib
+import math
 import os
 import random
 import re
@@ -519,3 +521,119 @@ def test_pipeline(spark, docs, rows, sf_dir):
     out = pipeline.run(spark, sf_dir)
     assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "copy", "shuffle_key"}
     assert out.count() > 0
+
+
+# ---------------------------------------------------------------- whole rows against plain Python
+
+
+def plain_mix(x):
+    full = (1 << 64) - 1
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & full
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & full
+    return x ^ x >> 31
+
+
+def plain_sketch(text):
+    full, odd, known = (1 << 64) - 1, 0x9E3779B97F4A7C15, {}
+    step = pow(odd, -1, 1 << 64)
+
+    def word_hash(word):
+        if word not in known:
+            total = sum(plain_mix((b + 1) * odd & full) * pow(step, j, 1 << 64) for j, b in enumerate(word.encode()))
+            known[word] = plain_mix(total & full)
+        return known[word]
+
+    hashes = [word_hash(w) for w in WORD.findall(lower(text))]
+    size, found = min(5, len(hashes)), set()
+    for at in range(len(hashes) - size + 1 if hashes else 0):
+        value = hashes[at]
+        for k in range(1, size):
+            value = (value * 0xD1342543DE82EF95 + plain_mix((hashes[at + k] + k) & full)) & full
+        found.add((plain_mix(value) ^ (odd if size < 5 else 0)) >> 16)
+    return sorted(found)[:128]
+
+
+def plain_resemblance(one, two):
+    if not one or not two:
+        return float(len(one) == len(two))
+    both = sorted({*one, *two})[:128]
+    return len({*one} & {*two} & {*both}) / len(both)
+
+
+def brute_kept(rows, prints):
+    """The row of each class of near-copies that stays."""
+    classes = defaultdict(list)
+    for k, least in brute_classes([(k, r[1]) for k, r in enumerate(rows)]):
+        classes[least].append(k)
+    best = [min(c, key=lambda k: (rows[k][0] is None, rows[k][0] or 0, prints[rows[k][1] or ""])) for c in classes.values()]
+    return by_key(rows[k] for k in best)
+
+
+def prints_of(frame):
+    """Spark's own hash of each text, which decides among rows with one id."""
+    text = F.coalesce("text", F.lit(""))
+    return {r[0]: r[1] for r in frame.select(text, F.xxhash64(text)).distinct().collect()}
+
+
+def test_one_copy_stays_exactly(docs, rows):
+    assert by_key(nearcopies.keep_one_copy(docs).collect()) == brute_kept(rows, prints_of(docs))
+
+
+def test_fingerprints_in_all_columns(docs, rows):
+    order = sorted((r[:2] for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    expected = []
+    for k, (i, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        one, two, three = plain_sketch(text), plain_sketch(edited), plain_sketch(after)
+        coded = [base64.b64encode(b"".join(x.to_bytes(6, "big") for x in s)).decode() for s in (one, two)]
+        near = (plain_resemblance(one, two), plain_resemblance(one, three))
+        expected.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), *coded, *near))
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert by_key(fingerprints.fingerprint_edits(docs).select(*columns).collect()) == by_key(expected)
+
+
+def brute_mix(rows):
+    """Rows with copy and shuffle_key, in their order; source is the fourth column."""
+    sizes = Counter(r[3] for r in rows)
+    out = []
+    for r in rows:
+        n = sizes[r[3]]
+        rate = math.sqrt(n) / sum(math.sqrt(x) for x in sizes.values()) * len(rows) / n
+        u = int(hashlib.md5(f"mix:{r[0]}".encode()).hexdigest()[:13], 16) / 2**52
+        copies, at_most = 0, math.exp(-rate)
+        while at_most <= u:
+            copies += 1
+            at_most += math.exp(copies * math.log(rate) - rate - math.lgamma(copies + 1))
+        out += [(*r, c, hashlib.md5(f"mix:{r[0]}:{c}".encode()).hexdigest()) for c in range(1, copies + 1)]
+    return sorted(out, key=lambda r: (r[-1], r[-2]))
+
+
+def test_pipeline_row_by_row(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    line, one, two = "this line of more than forty letters is in MANY of the texts", tongue("one", 60), tongue("two", 60)
+    texts = [(next(one), "one") for _ in range(20)] + [(next(two), "two") for _ in range(20)]
+    texts += [(f"{next(one)}\n{line}", "one") for _ in range(6)]
+    texts += [(texts[3][0], "one"), (texts[25][0] + " tail", "two"), (texts[25][0].upper(), "two")]
+    texts += [("12 34 !!", "one"), ("", "two"), (None, "one")]
+    leak = " ".join(texts[7][0].split()[20:32])
+    rows = [(i, t, lang, f"s{i % 3 % 2}", len(t or "")) for i, (t, lang) in enumerate(texts)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    documents.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, leak), (2, "words that are in none of the texts at all , not one")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    # Every text with letters is plainly of its language.
+    kept = [r for r in rows if re.search("[a-z]", (r[1] or "").lower())]
+    lined = {r[0]: r[3] for r in brute_lines([r[:2] for r in kept])}
+    kept = [(r[0], lined[r[0]], r[2], r[3], len(lined[r[0]])) for r in kept]
+    kept = brute_kept(kept, dict.fromkeys(lined.values(), 0))
+    leaks = {r[0] for r in brute_leaks([r[:2] for r in kept], items) if r[2]}
+    assert leaks and len(kept) < len(texts) - 5
+    expected = brute_mix([r for r in kept if r[0] not in leaks])
+    out = pipeline.run(spark, str(tmp_path)).select("doc_id", "text", "lang", "source", "n_chars", "copy", "shuffle_key")
+    assert [tuple(r) for r in out.collect()] == expected
