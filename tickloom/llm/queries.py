@@ -8,19 +8,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm.conversations import damaged, repaired_digests
 from tickloom.llm.fingerprints import fingerprint_edits
 from tickloom.llm.languages import document_evidence, identify_languages, train as train_languages
+from tickloom.llm.frames import shared_folder
 from tickloom.llm.leaks import find_leaks
+from tickloom.llm.lexical import rank_documents
 from tickloom.llm.lines import dedup_lines
 from tickloom.llm.mixing import mix_sources
 from tickloom.llm.nearcopies import near_copies
 from tickloom.llm.quality import classify_quality
 from tickloom.llm.repeats import remove_repeats
+from tickloom.llm.tokenfiles import checksums, read_token_files, write_token_files
 from tickloom.llm.tokens import count_tokens, load_pieces
 from tickloom.llm.toxicity import rate_toxicity, train as train_toxicity
 
 VOCABULARY = os.environ.get("TICKLOOM_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 
+#: The byte-level tokenizer's file; where it is not given, that of the package of public vocabularies.
+TOKENIZER = os.environ.get("TICKLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -94,6 +101,26 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents"), path, TOKENIZER)
+    return checksums(read_token_files(spark, path)).withColumnRenamed("key", "doc_id")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    found = repaired_digests(damaged(given))
+    zeros = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    nothing = {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))}
+    ids = given.select("conv_id").distinct()
+    joined = ids.join(found, ids["conv_id"].eqNullSafe(found["conv"]), "left").drop("conv")
+    return joined.withColumns({**zeros, **nothing})
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -107,6 +134,9 @@ QUERIES: dict[str, Query] = {
         op8_toxicity,
         op9_suffix_dedup,
         op10_fingerprints,
+        op11_token_files,
+        op12_conversation_repair,
+        op13_ranked_search,
     )
 }
 
@@ -158,6 +188,34 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
        coalesce(f.n_items, 0)::BIGINT AS n_items, sha256(coalesce(f.items, '')) AS items_sha256,
        coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM doc d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)
+""",
+    "op13_ranked_search": r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS line, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), item AS (
+  SELECT row_number() OVER () AS number, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark
+), totals AS (
+  SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM doc WHERE len(w) > 0
+), wanted AS (
+  SELECT number, term, count(*) AS times FROM (SELECT number, unnest(w) AS term FROM item) GROUP BY number, term
+), held AS (
+  SELECT line, term, count(*) AS tf FROM (SELECT line, unnest(w) AS term FROM doc)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY line, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight
+  FROM (SELECT term, count(*) AS df FROM held GROUP BY term), totals
+), lengths AS (
+  SELECT line, doc_id, 100 - 75 + (75 * len(w) * n_docs) // n_terms AS m FROM doc, totals WHERE len(w) > 0
+), scored AS (
+  SELECT number, line, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM wanted JOIN weights USING (term) JOIN held USING (term) JOIN lengths USING (line) GROUP BY number, line
+), ranked AS (
+  SELECT number, doc_id, score, row_number() OVER (PARTITION BY number ORDER BY score DESC, doc_id) AS place
+  FROM scored JOIN lengths USING (line) WHERE score > 0
+)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked JOIN item USING (number) WHERE place <= 10
 """,
     "op5_mixing": """
 WITH counted AS (
