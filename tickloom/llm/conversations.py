@@ -24,6 +24,9 @@ from tickloom.llm.frames import quoted, row_of
 
 BLANKS = " \t\n\x0b\x0c\r"
 DELETE, INSERT, REROLE, UNFINISHED = 3, 2, 2, 1
+#: A state that costs more than another by more than this is on no cheapest way: at most two inserts and the deletion of a
+#: system turn lead from any state to where another one's edits can be followed.
+SURPASSED = 2 * INSERT + DELETE
 #: Transitions held in memory before they are spilled.
 HELD = 1 << 18
 
@@ -74,6 +77,7 @@ def step(costs: Costs, symbol: int) -> tuple[Costs, int, tuple]:
     order never changes: a rank per state stands for the whole text of edits.
     """
     best: list = [None] * 4
+    # (cost, rank, edits since, state before) of the best way to each state.
     for state, then, edits, cost in _choices(symbol):
         before, rank = costs[state]
         if before is not None:
@@ -81,13 +85,14 @@ def step(costs: Costs, symbol: int) -> tuple[Costs, int, tuple]:
             if best[then] is None or way < best[then]:
                 best[then] = way
     least = min(way[0] for way in best if way)
+    best = [way if way and way[0] <= least + SURPASSED else None for way in best]
     order = sorted({way[1:3] for way in best if way})
     after = tuple((way[0] - least, order.index(way[1:3])) if way else (None, 0) for way in best)
     return after, least, tuple((way[3], way[2]) if way else None for way in best)
 
 
 class Transitions:
-    """The transitions met so far, by number. There are few: costs only differ by what some edits cost."""
+    """The transitions met so far, by number. There are few, as costs differ by `SURPASSED` at most."""
 
     def __init__(self):
         self.numbers: dict[tuple[Costs, int], int] = {}

@@ -30,7 +30,7 @@ PASS_BYTES = 4 << 20
 SEEDS = 20_000
 #: Items in a node of the lowest, and of the next, level of their tree; documents in the same of theirs.
 ITEM_LEVELS = (8, 64)
-DOC_LEVELS = (32, 256)
+DOC_LEVELS = (16, 256)
 PIECE_BYTES = 4 << 20
 SALTS = 32
 
