@@ -185,6 +185,47 @@ def test_crowded_family_by_index(monkeypatch, spark):
     assert by_key(nearcopies.near_copies(frame).collect()) == brute_classes(rows)
 
 
+def test_crowded_family_of_varied_lengths(monkeypatch, spark):
+    """The same with parts cut off, so that weights span the whole range in which partners may lie."""
+    monkeypatch.setattr(nearcopies, "DIRECT", 1)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(900)}" for _ in range(200)]
+    rows = []
+    for i in range(70):
+        copy = base[rng.randrange(25) : 200 - rng.randrange(25)]
+        for at in rng.sample(range(len(copy)), rng.choice([0, 1, 2, 4])):
+            copy[at] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_key(nearcopies.near_copies(frame).collect()) == brute_classes(rows)
+
+
+def test_tokens_do_not_grow_faster_than_keys(monkeypatch, spark):
+    """Edited copies of one text leave few tokens each in the index, however many copies there are."""
+    monkeypatch.setattr(nearcopies, "DIRECT", 1)
+    made = []
+    store = nearcopies.stored
+
+    def seen(frame, name):
+        out = store(frame, name)
+        if name == "tokens":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearcopies, "stored", seen)
+    base = [f"w{k}" for k in range(300)]
+    for copies in (60, 240):
+        rng = random.Random(1)
+        rows = []
+        for i in range(copies):
+            copy = base[rng.randrange(40) : 300 - rng.randrange(40)]
+            for at in rng.sample(range(len(copy)), rng.choice([0, 2, 4, 8])):
+                copy[at] = f"e{rng.randrange(10**6)}"
+            rows.append((i, " ".join(copy)))
+        nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert made[1] <= 6 * max(made[0], copies)
+
+
 def test_one_copy_stays(docs, rows):
     kept = nearcopies.keep_one_copy(docs)
     assert kept.columns == docs.columns

@@ -27,8 +27,9 @@ ROWS = 4
 
 #: Keys of a band that are compared with each other directly.
 DIRECT = 32
-CLASS = 1.03
 COUNTERS = 1 << 20
+#: Parts that the rows of a class are dealt to.
+SALTS = 32
 #: Longs of 64 parity bits in a text's sketch.
 PARITY = 4
 
@@ -157,44 +158,30 @@ def _close(one: str, two: str, similarity: float):
     return F.least(one, two) >= F.greatest(one, two) * F.lit(similarity)
 
 
-def _class(weight: np.ndarray) -> np.ndarray:
-    """Weights in classes that grow by CLASS each."""
-    return np.floor(np.log(np.maximum(weight, 1)) / np.log(CLASS)).astype(np.int64)
-
-
 def prefix_tokens(
-    text: np.ndarray, cells: np.ndarray, weight: np.ndarray, common: np.ndarray, similarity: float, present: np.ndarray
-) -> tuple[np.ndarray, ...]:
-    """(text, own class, other class, cell, place) of the cells that a partner of the other class must share one of.
+    text: np.ndarray, cells: np.ndarray, weight: np.ndarray, common: np.ndarray, similarity: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, cell, place) of the cells that any partner of a text must share one of.
 
     Cells are put in one order for all texts, rare ones first by the counters `common`. Two texts with weights
     v and w and the similarity t share at least t / (1 + t) * (v + w) cells, so their first common cell leaves
-    as many places in both: it lies among the first v + 1 less that number. Only classes that are `present`
-    can hold partners.
+    as many places in both. The lightest partner allowed, of weight t * w, asks for the fewest, so that cell lies among
+    the first w + 1 less that number; whether it leaves enough places for the partner it meets is told by its place.
     """
     spot = (cells & np.uint64(len(common) - 1)).astype(np.int64)
     order = np.lexsort((cells, common[spot], text))
     text, cells = text[order], cells[order]
     bounds = np.concatenate([[0], np.cumsum(weight)])
     place = np.arange(len(cells)) - bounds[text]
-    own = _class(weight)
-    lowest = _class(np.ceil(similarity * weight - 1e-9))
-    highest = _class(np.floor(weight / similarity + 1e-9))
-    out = []
-    for step in range(int((highest - lowest).max(initial=-1)) + 1):
-        other = lowest + step
-        least = np.maximum(np.ceil(CLASS ** other.astype(float) - 1e-9), np.ceil(similarity * weight - 1e-9))
-        need = np.ceil(similarity / (1 + similarity) * (weight + least) - 1e-9)
-        reach = np.where((other <= highest) & np.isin(other, present), weight - need + 1, 0)
-        chosen = place < reach[text]
-        of = text[chosen]
-        out.append((of, own[of], other[of], cells[chosen], place[chosen]))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
-
-
-def token_spots(own: np.ndarray, other: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    pair = own.astype(np.uint64) * np.uint64(1 << 20) + other.astype(np.uint64)
-    return (mix(cells ^ mix(pair)) & np.uint64(COUNTERS - 1)).astype(np.int64)
+    lightest = np.ceil(similarity * weight - 1e-9)
+    need = np.ceil(similarity / (1 + similarity) * (weight + lightest) - 1e-9)
+    chosen = place < (weight - need + 1)[text]
+    return text[chosen], cells[chosen], place[chosen]
+
+
+def token_spots(cells: np.ndarray) -> np.ndarray:
+    """Where a token is counted; unrelated to where its cell is."""
+    return (mix(cells ^ _RANK) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
 def parities(text: np.ndarray, cells: np.ndarray, texts: int) -> np.ndarray:
@@ -208,55 +195,37 @@ def parities(text: np.ndarray, cells: np.ndarray, texts: int) -> np.ndarray:
     return np.packbits(odd.reshape(texts, bits), axis=1).view(np.int64)
 
 
-def _marks(batch: pa.RecordBatch):
-    own, other, cell = (batch.column(k).to_numpy() for k in range(3))
-    yield token_spots(own, other, cell.view(np.uint64)).astype(np.uint64)
-
-
-def _counters(rows: DataFrame, hashes) -> np.ndarray:
+def _counters(rows: DataFrame, spots) -> np.ndarray:
     """How many of the rows' hashes fall on each of 2**20 counters.
 
-    A task adds up its own and sends 16 packs, which are summed pack by pack; so only the counters' fixed
-    number comes to the driver.
+    `spots` gives arrays of counter numbers for a batch. A task adds up its own, Spark sums those of all tasks by
+    number, and only the counters' fixed number comes to the driver.
     """
-    width = COUNTERS // 16
 
     def add(batches):
         sums = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
-            for found in hashes(batch):
-                sums += np.bincount((found & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        parts = [k for k in range(16) if sums[k * width : (k + 1) * width].any()]
-        packs = [_sparse(sums[k * width : (k + 1) * width]) for k in parts]
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(packs, pa.binary())], ["part", "pack"])
-
-    def total(table: pa.Table) -> pa.Table:
-        sums = np.zeros(width, dtype=np.int64)
-        for pack in table["pack"]:
-            spots, times = np.frombuffer(pack.as_py(), dtype=np.int64).reshape(2, -1)
-            sums[spots] += times
-        return pa.table({"part": table["part"][:1], "pack": pa.array([_sparse(sums)], pa.binary())})
-
-    schema = "part int, pack binary"
+            for found in spots(batch):
+                sums += np.bincount(found, minlength=COUNTERS)
+        filled = np.flatnonzero(sums)
+        for first in range(0, len(filled), 1 << 16):
+            part = filled[first : first + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(sums[part])], ["spot", "times"])
+
+    made = rows.mapInArrow(add, "spot int, times long").groupBy("spot").agg(F.sum("times").alias("times")).toArrow()
     out = np.zeros(COUNTERS, dtype=np.int64)
-    for row in rows.mapInArrow(add, schema).groupBy("part").applyInArrow(total, schema).collect():
-        spots, times = np.frombuffer(row["pack"], dtype=np.int64).reshape(2, -1)
-        out[row["part"] * width + spots] = times
+    out[made["spot"].to_numpy()] = made["times"].to_numpy()
     return out
 
 
-def _sparse(sums: np.ndarray) -> bytes:
-    spots = np.flatnonzero(sums)
-    return np.stack([spots, sums[spots]]).astype(np.int64).tobytes()
-
-
 def prefix_pairs(members: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
     """(a, wa, b, wb): pairs of keys under different labels that may reach the similarity; none that does is left out.
 
     `members` has band, key, label and weight. Only keys outside their band's largest label are searched
     for, among all. Cells that many texts share stand last in the order, so in a group of edited copies the
-    index holds what is special to each of them; cells that only one text has are left out. Order and index
-    marks use 2**20 counters and bits, so their size is fixed. Each token carries its text's parities, from
+    index holds what is special to each of them. A token, one per key and cell, goes into the index only if it can meet
+    one of the other side: a searched key's if any other key has it, another key's if a searched one has it. Order
+    and marks use 2**20 counters, so their size is fixed. Each token carries its text's parities, from
     which the join itself sees most pairs that differ in too many cells.
     """
     spark = members.sparkSession
@@ -274,56 +243,59 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, similarity: float, size:
             text, cells = hashed_cells(shingles(words(block), size))
             yield block, text, cells
 
-    common = np.maximum(
-        _counters(held.select("text"), lambda batch: (c for _, _, c in cells_of(batch.column(0)))), 1
-    )
+    def cell_spots(batch: pa.RecordBatch):
+        for _, _, cells in cells_of(batch.column(0)):
+            yield (cells & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+    common = np.maximum(_counters(held.select("text"), cell_spots), 1)
     shared = spark.sparkContext.broadcast(common.astype(np.int32) if common.max() < 1 << 31 else common)
 
-    # At most as many weights as the longest text has words.
-    weights = [row["weight"] for row in held.select("weight").distinct().collect()]
-    present = np.unique(_class(np.array(weights, dtype=np.int64)))
+    def tokens_of(column: pa.Array):
+        for block, text, cells in cells_of(column):
+            weight = np.bincount(text, minlength=len(block.offsets) - 1)
+            yield block, text, cells, weight, prefix_tokens(text, cells, weight, shared.value, similarity)
 
-    def tokens(rows: DataFrame, wanted) -> DataFrame:
-        """Tokens of the rows' texts that another text may have; only those that `wanted` marks, if given."""
+    def prefix_spots(batch: pa.RecordBatch):
+        for *_, found in tokens_of(batch.column(0)):
+            yield token_spots(found[1])
+
+    own = _counters(held.where("outside").select("text"), prefix_spots)
+    other = _counters(held.where("NOT outside").select("text"), prefix_spots)
+    # What a searched key's token, and what another key's, has to find set.
+    marks = spark.sparkContext.broadcast((own + other > 1, own > 0))
+
+    names = ["cell", "place", *(f"bits{k}" for k in range(PARITY))]
+    kind = "row struct<key:binary,label:binary,weight:long,outside:boolean>, cell long, place int"
+    kind += "".join(f", bits{k} long" for k in range(PARITY))
+
+    def run(batches):
+        for batch in batches:
+            outside = batch.column(0).field("outside").to_numpy(zero_copy_only=False).astype(bool)
+            for block, text, cells, weight, (of, cell, place) in tokens_of(batch.column(1)):
+                spot = token_spots(cell)
+                searched, among = marks.value
+                keep = np.where(outside[of + block.first], searched[spot], among[spot])
+                of, cell, place = of[keep], cell[keep], place[keep]
+                columns = [batch.column(0).take(pa.array(of + block.first)), pa.array(cell.view(np.int64)), pa.array(place, pa.int32())]
+                parity = parities(text, cells, len(weight))[of]
+                columns += [pa.array(np.ascontiguousarray(parity[:, k])) for k in range(PARITY)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", *names])
+
+    given = held.select(F.struct("key", "label", "weight", "outside").alias("row"), "text")
+    tokens = stored(given.mapInArrow(run, kind).select("row.*", *names), "tokens")
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        columns = {"key": name, "label": f"l{name}", "weight": f"w{name}", "place": f"p{name}"}
+        columns |= {f"bits{k}": f"{name}{k}" for k in range(PARITY)}
+        return rows.select("cell", *(F.col(c).alias(n) for c, n in columns.items()))
 
-        def run(batches):
-            for batch in batches:
-                for block, text, cells in cells_of(batch.column(1)):
-                    weight = np.bincount(text, minlength=len(block.offsets) - 1)
-                    found = prefix_tokens(text, cells, weight, shared.value, similarity, present)
-                    keep = shared.value[(found[3] & np.uint64(COUNTERS - 1)).astype(np.int64)] > 1
-                    if wanted is not None:
-                        keep &= wanted.value[token_spots(found[2], found[1], found[3])]
-                    of, own, other, cell, place = (x[keep] for x in found)
-                    row = batch.column(0).take(pa.array(of + block.first))
-                    columns = [row, pa.array(own, pa.int32()), pa.array(other, pa.int32()), pa.array(cell.view(np.int64)), pa.array(place, pa.int32())]
-                    parity = parities(text, cells, len(weight))[of]
-                    columns += [pa.array(np.ascontiguousarray(parity[:, k])) for k in range(PARITY)]
-                    yield pa.RecordBatch.from_arrays(columns, ["row", *names])
-
-        names = ["own", "other", "cell", "place", *(f"bits{k}" for k in range(PARITY))]
-        kind = "row struct<key:binary,label:binary,weight:long>, own int, other int, cell long, place int"
-        kind += "".join(f", bits{k} long" for k in range(PARITY))
-        made = rows.select(F.struct("key", "label", "weight").alias("row"), "text").mapInArrow(run, kind)
-        return stored(made.select("row.*", *names), "tokens")
-
-    searched = tokens(held.where("outside"), None)
-
-    # A bit per hash of a searched token: other keys only send tokens under a bit that is set.
-    bits = _counters(searched.select("own", "other", "cell"), _marks) > 0
-    among = searched.union(tokens(held.where("NOT outside"), spark.sparkContext.broadcast(bits)))
-    left = searched.select(
-        "own", "other", "cell", F.col("key").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"), F.col("place").alias("pa"), *(F.col(f"bits{k}").alias(f"x{k}") for k in range(PARITY))
-    )
-    right = among.select(
-        F.col("other").alias("own"), F.col("own").alias("other"), "cell", F.col("key").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wb"), F.col("place").alias("pb"), *(F.col(f"bits{k}").alias(f"y{k}") for k in range(PARITY))
-    )
     left_over = F.least(F.col("wa") - F.col("pa"), F.col("wb") - F.col("pb"))
     need = F.lit(similarity / (1 + similarity)) * (F.col("wa") + F.col("wb")) - 1e-9
     # Texts that share at least t / (1 + t) of v + w cells differ in at most (1 - t) / (1 + t) of them.
-    differ = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(PARITY)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(PARITY)), F.lit(0))
     most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("wa") + F.col("wb")) + 1e-9
-    pairs = left.join(right, ["own", "other", "cell"]).where("la <> lb").where(left_over >= need).where(differ <= most)
+    pairs = side(tokens.where("outside"), "a").join(side(tokens, "b"), "cell")
+    pairs = pairs.where("la <> lb").where(_close("wa", "wb", similarity)).where(left_over >= need).where(differ <= most)
     return pairs.select("a", "wa", "b", "wb")
 
 
@@ -354,7 +326,10 @@ def near_copies(
     """
     found = copy_classes(docs, similarity, size, bands, rows, id_col, text_col)
     classes = found.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return found.join(classes, "label").select("doc_id", "class_id")
+    # A class may hold a third of all rows: they go to `SALTS` places, and the classes, one row each, to all of these.
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "print"), F.lit(SALTS)).cast("int"))
+    return salted.join(classes, ["label", "salt"]).select("doc_id", "class_id")
 
 
 def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
