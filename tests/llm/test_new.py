@@ -10,6 +10,7 @@ from collections import Counter
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -56,20 +57,40 @@ ODD = list("ab 's.,\n\t\r\x0b\x0c\x1c\x85\xa0 　é中文。「12ſ١Ⅷ̈​
 def test_encoder_agrees_with_the_library(monkeypatch):
     rng = random.Random(3)
     texts = ["".join(rng.choices(ODD, k=rng.randrange(14))) for _ in range(3000)]
+    texts += ["".join(rng.choices(list("abé.,! ") + ["wordword"], k=rng.randrange(60))) for _ in range(1000)]
     encoder = TextEncoder(TOKENIZER)
-    assert all(encoder(t) == np.array(plain_ids(t), dtype="<u4").tobytes() for t in texts)
+    assert all(encoder(t) == plain_ids(t) for t in texts)
     monkeypatch.setattr(tokenfiles, "LONG_PIECE", 3)
     monkeypatch.setattr(tokenfiles, "LONGEST", 2)
     monkeypatch.setattr(tokenfiles, "REMEMBERED", 20)
-    safe = [t for t in ("".join(rng.choices(list("ab'.,文中。，「1Ⅷ🙂_-éア가、！ ") + ["'ll"], k=12)) for _ in range(3000))]
-    assert all(encoder(t) == np.array(plain_ids(t), dtype="<u4").tobytes() for t in safe)
+    uncut = ["".join(rng.choices(list("ab'.,文中。，「1Ⅷ🙂_-éア가、！ ") + ["'ll"], k=12)) for _ in range(3000)]
+    assert all(encoder(t) == plain_ids(t) for t in uncut)
 
 
-def test_long_texts_are_cut_between_words():
+def test_blocks_of_many_texts():
+    rng = random.Random(4)
+    texts = ["", None] + ["".join(rng.choices(ODD + ["word "] * 40, k=rng.randrange(90))) for _ in range(500)] + [None, "", "x"]
+    for limit in (1 << 20, 300):
+        for end in (None, 7):
+            counts, ids = [], []
+            for block in tokenfiles.blocks(pa.array(texts), limit):
+                found = TextEncoder(TOKENIZER).block(block, end)
+                counts += found[0].tolist()
+                ids += found[1].tolist()
+            expected = [plain_ids(t) + ([] if end is None else [end]) for t in texts]
+            assert counts == [len(e) for e in expected]
+            assert ids == [i for e in expected for i in e]
+
+
+def test_pieces_under_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "mix", lambda x: x % np.uint64(3))
+    text = "some words, that are not the same at all. And longer ones: internationalisation"
+    assert TextEncoder(TOKENIZER)(text) == plain_ids(text)
+
+
+def test_very_long_texts():
     text = "word  and\n" * 300_000
-    assert TextEncoder(TOKENIZER)(text) == np.array(plain_ids(text), dtype="<u4").tobytes()
-    assert max(map(len, tokenfiles._slices(text))) < (1 << 20) + 20
-    assert "".join(tokenfiles._slices(text)) == text
+    assert TextEncoder(TOKENIZER)(text) == plain_ids(text)
 
 
 def test_token_files_round_trip(spark, docs, rows, tmp_path):

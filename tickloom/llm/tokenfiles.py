@@ -26,19 +26,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.llm.blocks import Block, blocks, mix
 from tickloom.llm.frames import quoted, row_of
 
 END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1000
-#: Pieces that a task remembers, and the longest of them in characters.
+#: Pieces that a task remembers, and the longest of them in bytes.
 REMEMBERED = 1 << 20
 LONGEST = 64
+CHUNK_BYTES = 4 << 20
 LONG_PIECE = 1 << 16
 
-_PIECE = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
-# Beside the four above, what any version of Unicode may count as white space.
+_BLANK = np.isin(np.arange(256), list(b" \t\r\n"))
+_END = np.isin(np.arange(256), list(b".,;:!?"))
+_LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+# First bytes of characters among which white space is, beside the four blanks.
+_SUSPECT = np.isin(np.arange(256), [0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
+# The first n of eight bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+# Beside the four blanks, what any version of Unicode may count as white space.
 _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 # Between a mark that is no letter, digit, space or apostrophe and a letter.
 _MARK_LETTER = re.compile(
@@ -63,16 +71,19 @@ def _special(path: str) -> dict[str, int]:
 class TextEncoder:
     """Ids of texts by a tokenizer whose words are ` ?letters`, ` ?digits`, ` ?marks` or white space.
 
-    No word of such a tokenizer holds white space behind something else, so a text may be cut in front of each run of
-    blanks; the pieces' ids, one after the other, are the text's. A piece that came before is not encoded
-    again. Texts with white space that is not sure to be one, or with a special token's name, are encoded as they are.
-    A text of blanks-free script is cut between marks and letters where it is long; memory grows with the longest
-    run of letters, not with the text.
+    No word of such a tokenizer holds white space behind something else, or a mark behind a letter, so a text may be
+    cut in front of each run of blanks and between a letter and a mark; the pieces' ids, one after the other, are
+    the text's. Pieces of a block are found and told apart by their bytes in whole arrays, and one that came before is
+    not encoded again. Texts with white space that is not sure to be one, or with a special token's name, are
+    encoded as they are. A long text without blanks is cut between marks and letters; memory grows with the
+    longest run of letters, not with the text.
     """
 
     def __init__(self, path: str):
         self.path = path
-        self.known: dict[str, bytes] = {}
+        # Pieces seen lately and those seen before; the latter are forgotten when there are too many of the former.
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = _tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)
@@ -91,28 +102,93 @@ class TextEncoder:
             out += [joined[a:b] for a, b in zip(starts, ends)]
         return out
 
-    def _long(self, piece: str) -> bytes:
-        return b"".join(x for part in _MARK_LETTER.split(piece) for x in self._encode([part]))
-
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if _OTHER_SPACE.search(text) or any(s in text for s in _special(self.path)):
-            return self._encode([text])[0]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        out: list[bytes] = []
-        # Cut so that the list of pieces stays small beside a very long text.
-        for match in _slices(text):
-            pieces = _PIECE.findall(match)
-            new = [p for p in set(pieces).difference(known) if len(p) <= LONGEST]
-            if new:
-                known.update(zip(new, self._encode_pieces(new)))
-            out += [known.get(p) or self._unremembered(p) for p in pieces]
-        return b"".join(out)
+    def _alone(self, piece: bytes, plain: bool) -> bytes:
+        """The ids of a piece that is not looked up with others; one that is `plain` must not be cut."""
+        if len(piece) <= LONGEST and not plain:
+            return self._remembered([piece])[0]
+        text = piece.decode()
+        parts = _MARK_LETTER.split(text) if len(piece) > LONG_PIECE and not plain else [text]
+        return b"".join(self._encode([part])[0] for part in parts)
+
+    def _remembered(self, pieces: list[bytes]) -> list[bytes]:
+        if 2 * len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        found = list(map(known.get, pieces))
+        new = []
+        for k, ids in enumerate(found):
+            if ids is None:
+                ids = before.get(pieces[k])
+                if ids is None:
+                    new.append(k)
+                else:
+                    found[k] = known[pieces[k]] = ids
+        if new:
+            made = self._encode_pieces([pieces[k].decode() for k in new])
+            for k, ids in zip(new, made):
+                found[k] = known[pieces[k]] = ids
+        return found
+
+    def _plain(self, block: Block, raw: bytes) -> np.ndarray:
+        """The texts that have to be encoded as they are."""
+        seen = np.concatenate([[0], np.cumsum(_SUSPECT[block.data])])[block.offsets]
+        out = np.zeros(len(block.offsets) - 1, dtype=bool)
+        names = [name.encode() for name in _special(self.path) if name.encode() in raw]
+        for k in np.flatnonzero((np.diff(seen) > 0) | bool(names)).tolist():
+            text = raw[block.offsets[k] : block.offsets[k + 1]]
+            out[k] = any(name in text for name in names) or bool(_OTHER_SPACE.search(text.decode()))
+        return out
 
-    def _unremembered(self, piece: str) -> bytes:
-        return self._long(piece) if len(piece) > LONG_PIECE else self._encode([piece])[0]
+    def block(self, block: Block, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all ids; each text's end in `end_id`, if given."""
+        data, offsets, raw = block.data, block.offsets, block.data.tobytes()
+        texts = len(offsets) - 1
+        plain = self._plain(block, raw)
+        blank = _BLANK[data]
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        cut[1:-1] = (blank[1:] & ~blank[:-1]) | (_END[data[1:]] & _LETTER[data[:-1]])
+        for k in np.flatnonzero(plain).tolist():
+            cut[offsets[k] : offsets[k + 1]] = False
+        cut[offsets] = True
+        starts = np.flatnonzero(cut)
+        starts, ends = starts[:-1] if len(data) else starts[:0], starts[1:]
+        size = ends - starts
+        of_text = np.searchsorted(offsets, starts, side="right") - 1
+
+        # Up to 24 bytes are three numbers: the first eight, the next eight, the last eight.
+        few = (size <= 24) & ~plain[of_text]
+        short = np.flatnonzero(few)
+        padded = np.concatenate([data, np.zeros(32, dtype=np.uint8)])
+        eight = np.ndarray(len(data) + 24, "<u8", padded.data, strides=(1,))
+        at, z = starts[short], size[short]
+        one = eight[at] & _FIRST[np.minimum(z, 8)]
+        two = np.where(z > 16, eight[at + 8], np.uint64(0))
+        last = np.where(z > 8, eight[np.maximum(at + z - 8, 0)], np.uint64(0))
+        key = mix(one + mix(last + mix(two + z.astype(np.uint64))))
+        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        same = (z == z[first][of]) & (one == one[first][of]) & (two == two[first][of]) & (last == last[first][of])
+        ids = self._remembered([raw[i:j] for i, j in zip(at[first].tolist(), (at + z)[first].tolist())])
+
+        piece = np.zeros(len(starts), dtype=np.int64)
+        piece[short] = of
+        few[short[~same]] = False  # other bytes under an equal hash
+        for k in np.flatnonzero(~few).tolist():
+            piece[k] = len(ids)
+            ids.append(self._alone(raw[starts[k] : ends[k]], bool(plain[of_text[k]])))
+        held = np.searchsorted(starts, offsets)
+        if end_id is not None:
+            piece = np.insert(piece, held[1:], len(ids))
+            held = held + np.arange(texts + 1)
+            ids.append(int(end_id).to_bytes(4, "little"))
+        lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        counts = lengths[piece]
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        from_ = np.repeat((np.cumsum(lengths) - lengths)[piece] - bounds[:-1], counts) + np.arange(bounds[-1])
+        return np.diff(bounds[held]), flat[from_]
+
+    def __call__(self, text: str) -> list[int]:
+        return [i for b in blocks(pa.array([text], pa.string())) for i in self.block(b)[1].tolist()]
 
 
 @cache
@@ -121,26 +197,6 @@ def shared_encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
-def _slices(text: str, size: int = 1 << 20) -> Iterator[str]:
-    """The text in parts of about `size` characters, cut in front of a run of blanks."""
-    first = 0
-    cut = re.compile(r"(?<=[^ \t\r\n])[ \t\r\n]")
-    while len(text) - first > size:
-        found = cut.search(text, first + size)
-        if not found:
-            break
-        yield text[first : found.start()]
-        first = found.start()
-    yield text[first:]
-
-
-def encode_batch(encoder: TextEncoder, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Number of ids per text, and all ids; null is the empty text; each text's end in `end_id`, if given."""
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-    made = [encoder(text or "") + end for text in texts.to_pylist()]
-    return np.array([len(m) // 4 for m in made], dtype=np.int64), np.frombuffer(b"".join(made), dtype="<u4")
-
-
 def write_token_files(
     docs: DataFrame,
     path: str,
@@ -181,8 +237,9 @@ def write_token_files(
         part, total = TaskContext.get().partitionId(), 0
         encoder = shared_encoder(vocabulary)
         for whole in batches:
-            for batch in _by_bytes(whole):
-                counts, ids = encode_batch(encoder, batch["text"], end_id)
+            for block in blocks(whole["text"], CHUNK_BYTES):
+                batch = whole.slice(block.first, block.last - block.first)
+                counts, ids = encoder.block(block, end_id)
                 ends = total + np.cumsum(counts)
                 bounds = np.concatenate([[0], np.cumsum(counts)])
                 columns = [
@@ -210,16 +267,6 @@ def write_token_files(
     spark.createDataFrame(table, "part int, base long, n_tokens long").coalesce(1).write.parquet(f"{path}/parts")
 
 
-def _by_bytes(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about `most` bytes of text; a longer text is alone, and whole."""
-    sizes = np.array([len(t) for t in batch["text"].to_pylist()], dtype=np.int64)
-    group = (np.cumsum(sizes) - sizes) // most
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
-    for first, last in zip(cuts, cuts[1:]):
-        if last > first:
-            yield batch.slice(first, last - first)
-
-
 def read_token_files(spark: SparkSession, path: str, ids: bool = True, low=None, high=None) -> DataFrame:
     """key, start (ids of all documents before), n_tokens, ids and row (if they were written) of the documents.
 
