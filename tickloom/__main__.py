@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.functions import time_range
-from tickloom.plans import dashboard
+from tickloom.plans import dashboard, statements
 from tickloom.schema import SYMBOLS
 from tickloom.session import build_session
 from tickloom.sinks import (
@@ -41,6 +41,11 @@ PANELS = {
     "lines": lambda stocks, a: dashboard.close_lines(stocks, a.symbols, bucket=a.bucket),
     "spread": lambda stocks, a: dashboard.spreads(stocks),
 }
+# Panels over tables that are answered from the summaries of their folds.
+SUMMED = {
+    "total": lambda spark, path, start, end: dashboard.total_from_summary(spark, path),
+    "latest": lambda spark, path, start, end: dashboard.latest_from_summary(spark, path),
+}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -71,10 +76,12 @@ def parser() -> argparse.ArgumentParser:
     ingest.add_argument("--quarantine", required=True)
     ingest.add_argument("--symbols", nargs="*", default=list(SYMBOLS), help="none given: all")
     ingest.add_argument("--max-per-trigger", type=int)
+    ingest.add_argument("--ledger", help="folder of what was published: a bar is sent once")
 
     fold = commands.add_parser("fold", help="rewrite micro-batches as larger files")
     fold.add_argument("--tables", required=True)
-    fold.add_argument("--expire", action="store_true", help="delete batches folded before")
+    fold.add_argument("--merge", action="store_true", help="gather the dates that the folds touch")
+    fold.add_argument("--expire", action="store_true", help="delete what was folded or merged before")
 
     panel = commands.add_parser("panel", help="answer one of the dashboard's questions")
     panel.add_argument("name", choices=sorted(PANELS))
@@ -152,7 +159,7 @@ def _ingest(spark: SparkSession, args: argparse.Namespace) -> None:
         max_files_per_trigger=args.max_per_trigger,
     )
     query = ingest_documents(
-        spark, documents, publish, args.checkpoint, args.quarantine, args.symbols
+        spark, documents, publish, args.checkpoint, args.quarantine, args.symbols, args.ledger
     )
     supervise([query], bounded=True)
 
@@ -161,8 +168,10 @@ def _fold(spark: SparkSession, args: argparse.Namespace) -> None:
     config = PipelineConfig(checkpoint="", tables=args.tables)
     for table, path in ((STOCKS_TABLE, config.stocks), (AGGREGATES_TABLE, config.aggregates)):
         print(f"{path}: folded up to version {table.fold(spark, path)}")
+        if args.merge:
+            print(f"{path}: merged up to version {table.merge(spark, path)}")
         if args.expire:
-            print(f"{path}: {table.expire(spark, path)} batches deleted")
+            print(f"{path}: {table.expire(spark, path)} folders deleted")
 
 
 def _panel(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -171,13 +180,29 @@ def _panel(spark: SparkSession, args: argparse.Namespace) -> None:
         given = args.start or args.end
         bounds = (args.start, args.end) if given else dashboard.last_days(args.days)
     database = _database(args)
+    if database and args.name in statements.PANELS:
+        _show(statements.ask(spark, database, args.name, *_instants(spark, bounds)), args)
+        return
     if database:
         table = read_table(spark, database, "stocks", "timestamp")
         stocks = time_range(table, "timestamp", *bounds)
     else:
         path = PipelineConfig(checkpoint="", tables=args.tables).stocks
+        if args.name in SUMMED and not args.keep_malformed:
+            _show(SUMMED[args.name](spark, path, *bounds), args)
+            return
         stocks = read_stocks(spark, path, *bounds, keep_malformed=args.keep_malformed)
-    result = PANELS[args.name](stocks, args)
+    _show(PANELS[args.name](stocks, args), args)
+
+
+def _instants(spark: SparkSession, bounds: tuple) -> list:
+    """The range's ends as times that a statement can hold."""
+    if all(b is None or isinstance(b, str) for b in bounds):
+        return list(bounds)
+    return list(spark.range(1).select(*(b.cast("timestamp_ntz") for b in bounds)).first())
+
+
+def _show(result: DataFrame, args: argparse.Namespace) -> None:
     if args.out:
         result.write.mode("overwrite").parquet(args.out)
     else:

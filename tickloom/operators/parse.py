@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
@@ -13,14 +14,15 @@ from tickloom.schema import CORRUPT, PRICES, WIRE
 OK = "ok"
 
 
-def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
+def parse_messages(messages: DataFrame, value: str = "value", carry: Sequence[str] = ()) -> DataFrame:
     """`symbol, open, high, low, close, event_time, fault, raw_value`, one row per message.
 
     fault is ok, empty (nothing to parse), malformed (no JSON object, or a field of the wrong
     type), bad_time or missing_field. raw_value keeps the message bytes of the rows that are not
-    ok. Fields that could be read are kept in any case.
+    ok. Fields that could be read are kept in any case. Columns to `carry` come last.
     """
     data = messages.select(
+        *carry,
         F.col(value).cast("binary").alias("raw_value"),
         json_struct(decode_text(F.col(value)), WIRE).alias("data"),
     ).withColumn("event_time", _event_time(F.col("data.timestamp")))
@@ -38,6 +40,7 @@ def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
         "event_time",
         fault.alias("fault"),
         F.when(fault != OK, F.col("raw_value")).alias("raw_value"),
+        *carry,
     )
 
 

@@ -32,16 +32,21 @@ from tickloom.plans.adapters import (
 )
 from tickloom.schema import PRICES
 from tickloom.session import scratch_dir
-from tickloom.sinks import AGGREGATES_TABLE, STOCKS_TABLE, publish_files, to_messages
+from tickloom.sinks import AGGREGATES_TABLE, STOCKS_TABLE, fs, publish_files, to_messages
 from tickloom.sinks.lake import read_aggregates, read_quarantine, read_stocks
 from tickloom.sources import read_files
 from tickloom.streaming import (
     PipelineConfig,
     ingest_documents,
+    late_rows,
+    lost_files,
+    open_windows,
     run_available,
+    run_caught_up,
     start_aggregates,
     start_raw,
     supervise,
+    with_batches,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +54,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # The event types of the given tables, which stand for symbols, and their time span.
 EVENT_SYMBOLS = ("click", "error", "purchase", "signup", "view")
 SPAN = ("2024-01-01", "2024-01-31")
+PART = ("2024-01-05 10:30:00", "2024-01-24 16:05:00")
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -289,11 +295,41 @@ def _pipeline(spark: SparkSession, sf_dir: str, name: str, fold: bool = False) -
         publish_files(to_messages(rows), landing, number)
         run_available(spark, read_files(spark, f"{landing}/run=*"), config)
         if fold:
+            for table, path in ((STOCKS_TABLE, config.stocks), (AGGREGATES_TABLE, config.aggregates)):
+                table.fold(spark, path)
+                table.merge(spark, path)
+                table.expire(spark, path)
+    return config
+
+
+def _summed(spark: SparkSession, sf_dir: str, name: str) -> PipelineConfig:
+    """Bars in four runs. The first two are folded and merged, the third is folded, the last is in the log."""
+    config = _config(spark, name)
+    landing = f"{config.tables}/landing"
+    for number, rows in enumerate(_in_runs(read_bars(spark, sf_dir), 4)):
+        publish_files(to_messages(rows), landing, number)
+        parsed = parse_messages(read_files(spark, f"{landing}/run=*"))
+        _wait(start_raw(spark, parsed, config))
+        if number < 3:
             STOCKS_TABLE.fold(spark, config.stocks)
-            AGGREGATES_TABLE.fold(spark, config.aggregates)
+        if number < 2:
+            STOCKS_TABLE.merge(spark, config.stocks)
     return config
 
 
+def total_from_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dashboard.total_from_summary(spark, _summed(spark, sf_dir, "total").stocks)
+
+
+def latest_from_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(dashboard.latest_from_summary(spark, _summed(spark, sf_dir, "latest").stocks))
+
+
+def spread_from_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range that begins and ends within a day."""
+    return dashboard.spreads_from_summary(spark, _summed(spark, sf_dir, "spread").stocks, *PART)
+
+
 def pipeline_stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(read_stocks(spark, _pipeline(spark, sf_dir, "stocks").stocks))
 
@@ -303,7 +339,7 @@ def pipeline_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both tables are folded after every run. Minutes come from one, hours from the other."""
+    """Both tables are folded, merged and cleaned after every run. Minutes come from one, hours from the other."""
     config = _pipeline(spark, sf_dir, "folded", fold=True)
     minutes = read_aggregates(spark, config.aggregates)
     hours = window_aggregate(read_stocks(spark, config.stocks), "1 hour", "timestamp")
@@ -331,6 +367,99 @@ def dedup_resend_agg_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resent(spark, sf_dir, "dedup", dedup=True)
 
 
+def late_rows_resend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages are sent twice to hourly windows: the rows that Spark has dropped as late."""
+    config = _config(spark, "late-rows", width="1 hour")
+    landing = f"{config.tables}/landing"
+    for number in range(2):
+        publish_files(to_messages(read_ticks(spark, sf_dir)), landing, number)
+        parsed = parse_messages(read_files(spark, f"{landing}/run=*"))
+        _wait(start_aggregates(spark, parsed, config))
+    sent = read_files(spark, f"{landing}/run=*", stream=False)
+    placed = with_batches(spark, sent, f"{config.checkpoint}/aggregates")
+    rows = accepted(parse_messages(placed, carry=("batch",)))
+    late = late_rows(rows, config.width, config.watermark)
+    return _plain(late.select("symbol", *PRICES, F.col("event_time").alias("timestamp"), "judged_by"))
+
+
+def open_windows_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows that the watermark has not passed, read from the state that the run has left."""
+    config = _config(spark, "open", width="1 hour")
+    _wait(start_aggregates(spark, stream_ticks(spark, sf_dir), config))
+    return _plain(open_windows(spark, f"{config.checkpoint}/aggregates"))
+
+
+def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs of one query, the second with spoilt messages: what each batch has written."""
+    config = _config(spark, "counts")
+    landing = f"{config.tables}/landing"
+    stocks = read_ticks(spark, sf_dir)
+    early = F.coalesce(F.col("symbol") < "f", F.lit(False))
+    parts = (to_messages(stocks.where(early)), spoilt_messages(spark, sf_dir), to_messages(stocks.where(~early)))
+    for number, messages in enumerate(parts):
+        publish_files(messages.select(F.coalesce(F.col("value").cast("string"), F.lit("")).alias("value")), landing, number)
+        _wait(start_raw(spark, parse_messages(read_files(spark, f"{landing}/run=*")), config))
+        if number == 1:
+            STOCKS_TABLE.fold(spark, config.stocks)
+    return STOCKS_TABLE.batch_counts(spark, config.stocks).drop("epoch")
+
+
+def empty_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over files without messages is a batch without rows; it adds none to the table and ends nothing."""
+    config = _config(spark, "empty")
+    landing = f"{config.tables}/landing"
+    stocks = read_ticks(spark, sf_dir)
+    for number, rows in enumerate((stocks.limit(0), stocks, stocks.limit(0))):
+        publish_files(to_messages(rows), landing, number)
+        _wait(start_raw(spark, parse_messages(read_files(spark, f"{landing}/run=*")), config))
+        STOCKS_TABLE.fold(spark, config.stocks)
+    return _plain(read_stocks(spark, config.stocks))
+
+
+def lost_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One message folder per symbol is listed by a query; that of errors is gone when one looks again."""
+    config = _config(spark, "lost")
+    landing = f"{config.tables}/landing"
+    stocks = read_ticks(spark, sf_dir).where(F.col("symbol").isin(*EVENT_SYMBOLS))
+    for symbol in EVENT_SYMBOLS:
+        publish_files(to_messages(stocks.where(F.col("symbol") == symbol)), landing, symbol)
+    _wait(start_raw(spark, parse_messages(read_files(spark, f"{landing}/run=*")), config))
+    fs.delete(spark, f"{landing}/run=error")
+    lost = lost_files(spark, f"{config.checkpoint}/raw", f"{landing}/run=*")
+    return lost.select(F.regexp_extract("path", "/run=([^/]+)/", 1).alias("symbol")).distinct()
+
+
+def timed_agg_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files, a batch each, under a timed trigger; the run ends when they are processed."""
+    config = PipelineConfig(**{**vars(_config(spark, "timed", width="1 hour")), "trigger": "100 milliseconds"})
+    landing = f"{config.tables}/landing"
+    for number, rows in enumerate(_in_runs(read_ticks(spark, sf_dir), 3)):
+        publish_files(to_messages(rows).coalesce(1), landing, number)
+    messages = read_files(spark, f"{landing}/run=*", max_files_per_trigger=1)
+    run_caught_up([start_aggregates(spark, parse_messages(messages), config)])
+    return _rounded(read_aggregates(spark, config.aggregates))
+
+
+def ingest_resent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second set of documents has all bars again and new ones; each is published once."""
+    root = scratch_dir(spark, "ingest-resent")
+    bars = read_bars(spark, sf_dir)
+    for number, part in enumerate((bars.where(F.col("symbol") < "f"), bars)):
+        build_payloads(part).write.text(f"{root}/landing/set={number}")
+        query = ingest_documents(
+            spark,
+            read_files(spark, f"{root}/landing/set=*"),
+            lambda rows, run: publish_files(rows, f"{root}/messages", run),
+            f"{root}/checkpoint",
+            f"{root}/quarantine",
+            ledger=f"{root}/ledger",
+        )
+        _wait(query)
+    sent = read_files(spark, f"{root}/messages/run=*", stream=False)
+    got = accepted(parse_messages(sent)).withColumnRenamed("event_time", "timestamp")
+    return _plain(got.select("symbol", *PRICES, "timestamp"))
+
+
 def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that arrive as messages, found again in the quarantine of the raw table."""
     config = _config(spark, "quarantine")
@@ -442,6 +571,16 @@ QUERIES: dict[str, Query] = {
         ingest_run,
         ingest_two_runs,
         pipeline_two_feeds,
+        late_rows_resend,
+        total_from_summary,
+        latest_from_summary,
+        spread_from_summary,
+        open_windows_1h,
+        batch_counts,
+        empty_batches,
+        lost_runs,
+        timed_agg_1h,
+        ingest_resent,
     )
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.operators import (
     average_spread,
@@ -13,7 +13,10 @@ from tickloom.operators import (
     ohlc_bars,
     wide_series,
 )
+from tickloom.functions import utc_date
 from tickloom.operators.series import Bound
+from tickloom.operators.summary import summarize, summed_records, summed_spread
+from tickloom.sinks.lake import read_stock_days, read_stock_summary
 
 
 def total_records(stocks: DataFrame) -> DataFrame:
@@ -74,3 +77,22 @@ def days_before_newest(stocks: DataFrame, days: int = 7) -> Column:
     """The start of a range that ends with the newest record, as a scalar subquery."""
     newest = stocks.agg(F.max("timestamp").alias("newest"))
     return newest.select(F.col("newest") - F.expr(f"INTERVAL {days} DAYS")).scalar()
+
+
+def total_from_summary(spark: SparkSession, path: str) -> DataFrame:
+    """`total_records` of a table folder, from the summaries of its folds and the rows not folded yet."""
+    return summed_records(read_stock_summary(spark, path))
+
+
+def latest_from_summary(spark: SparkSession, path: str) -> DataFrame:
+    """`latest_quotes` in the same way: a summary holds the newest row of its symbol and date."""
+    return latest_quotes(read_stock_summary(spark, path))
+
+
+def spreads_from_summary(spark: SparkSession, path: str, start: Bound, end: Bound) -> DataFrame:
+    """`spreads` in the same way: whole days within the range from summaries, the first and the last day from rows."""
+    low, high = (utc_date((b if isinstance(b, Column) else F.lit(b)).cast("timestamp")) for b in (start, end))
+    whole = read_stock_summary(spark, path, lambda day: (day > low) & (day < high))
+    rows = read_stock_days(spark, path, start, end, lambda day: (day == low) | (day == high))
+    days = rows.withColumns({"fault": F.lit("ok"), "trade_date": utc_date(F.col("timestamp"))})
+    return summed_spread(whole.unionByName(summarize(days)))

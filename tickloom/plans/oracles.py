@@ -138,5 +138,23 @@ UNION ALL SELECT 'malformed', count(*) FROM pages""",
     "stream_quarantine": "SELECT 'malformed' AS fault, html FROM pages",
     "ingest_run": f"WITH {_BARS} {_ROWS} b",
     "ingest_two_runs": f"WITH {_BARS} {_ROWS} b",
+    "late_rows_resend": f"""WITH {_TICKS}
+SELECT symbol, open, high, low, close, "timestamp", {_WATERMARK} AS judged_by
+FROM s WHERE {_AFTER_END} <= {_WATERMARK}""",
+    "total_from_summary": f"WITH {_BARS} SELECT count(*) AS total_records FROM b",
+    "latest_from_summary": f"WITH {_BARS} {_latest('b')}",
+    "spread_from_summary": f"""WITH {_BARS} {_spread(
+        "\"timestamp\" BETWEEN TIMESTAMP '2024-01-05 10:30:00' AND TIMESTAMP '2024-01-24 16:05:00'"
+    )}""",
+    "open_windows_1h": f"""WITH {_TICKS}
+SELECT DISTINCT {_HOUR} AS window_start, {_AFTER_END} AS window_end, symbol
+FROM s WHERE {_AFTER_END} > {_WATERMARK}""",
+    "batch_counts": """SELECT 0 AS batch, count(*) FILTER (event_type < 'f') AS "rows", 0 AS faulty FROM events
+UNION ALL SELECT 1, count(*), count(*) FILTER (event_id % 97 < 9) FROM events
+UNION ALL SELECT 2, count(*) FILTER (event_type >= 'f'), 0 FROM events""",
+    "empty_batches": f"WITH {_TICKS} {_ROWS} s",
+    "lost_runs": "SELECT DISTINCT event_type AS symbol FROM events WHERE event_type = 'error'",
+    "timed_agg_1h": f"WITH {_TICKS} {_windows('s', '1 hour')}",
+    "ingest_resent": f"WITH {_BARS} {_ROWS} b",
     "pipeline_two_feeds": f"WITH {_TICKS} {_ROWS} s",
 }

@@ -1,6 +1,6 @@
 """A few calls of the Hadoop file system API, so that paths may be on any store Spark can use.
 
-They touch marker files and folder names only, never data.
+They touch marker files, a batch's counts and folder names only, never data.
 """
 
 from __future__ import annotations
@@ -25,6 +25,16 @@ def create(spark: SparkSession, path: str) -> bool:
     return fs.createNewFile(jpath)
 
 
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file of text, replacing an earlier one."""
+    fs, jpath = _open(spark, path)
+    out = fs.create(jpath, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def marker(spark: SparkSession, folder: str, name: str) -> str | None:
     """The value of a marker file `<name>=<value>` in a folder, if there is one."""
     found = glob(spark, f"{folder}/{name}=*")
