@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,9 @@ ROWS = 4
 #: Keys of a band that are compared with each other directly.
 DIRECT = 32
 COUNTERS = 1 << 20
+#: Ranges of counters, and groups of tasks, by which the tasks' sums are added up.
+PARTS = 64
+SPREAD = 256
 #: Parts that the rows of a class are dealt to.
 SALTS = 32
 #: Longs of 64 parity bits in a text's sketch.
@@ -198,26 +202,51 @@ def parities(text: np.ndarray, cells: np.ndarray, texts: int) -> np.ndarray:
 def _counters(rows: DataFrame, spots) -> np.ndarray:
     """How many of the rows' hashes fall on each of 2**20 counters.
 
-    `spots` gives arrays of counter numbers for a batch. A task adds up its own, Spark sums those of all tasks by
-    number, and only the counters' fixed number comes to the driver.
+    `spots` gives arrays of counter numbers for a batch. A task adds up its own and sends a pack for each of `PARTS`
+    ranges of counters. These meet by range and by one of `SPREAD` groups of tasks, then by range, so what a task
+    holds is at most a pack (some 200 KB) for every `SPREAD` tasks. The counters' fixed number comes to the driver.
     """
+    width = COUNTERS // PARTS
 
     def add(batches):
         sums = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
             for found in spots(batch):
                 sums += np.bincount(found, minlength=COUNTERS)
-        filled = np.flatnonzero(sums)
-        for first in range(0, len(filled), 1 << 16):
-            part = filled[first : first + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(sums[part])], ["spot", "times"])
+        parts = [k for k in range(PARTS) if sums[k * width : (k + 1) * width].any()]
+        packs = [_packed(sums[k * width : (k + 1) * width]) for k in parts]
+        group = np.full(len(parts), TaskContext.get().partitionId() % SPREAD)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(parts, pa.int32()), pa.array(group, pa.int32()), pa.array(packs, pa.binary())], ["part", "group", "pack"]
+        )
+
+    def total(table: pa.Table) -> pa.Table:
+        sums = np.zeros(width, dtype=np.int64)
+        for pack in table["pack"]:
+            at, times = _unpacked(pack.as_py())
+            sums[at] += times
+        return pa.table({"part": table["part"][:1], "pack": pa.array([_packed(sums)], pa.binary())})
 
-    made = rows.mapInArrow(add, "spot int, times long").groupBy("spot").agg(F.sum("times").alias("times")).toArrow()
+    kind = "part int, pack binary"
+    packs = rows.mapInArrow(add, "part int, group int, pack binary").groupBy("part", "group").applyInArrow(total, kind)
     out = np.zeros(COUNTERS, dtype=np.int64)
-    out[made["spot"].to_numpy()] = made["times"].to_numpy()
+    for row in packs.groupBy("part").applyInArrow(total, kind).collect():
+        at, times = _unpacked(row["pack"])
+        out[row["part"] * width + at] = times
     return out
 
 
+def _packed(sums: np.ndarray) -> bytes:
+    """The counters that are not zero: their places, then what they hold."""
+    at = np.flatnonzero(sums)
+    return at.astype("<i4").tobytes() + sums[at].astype("<i8").tobytes()
+
+
+def _unpacked(pack: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(pack) // 12
+    return np.frombuffer(pack, "<i4", n), np.frombuffer(pack, "<i8", n, 4 * n)
+
+
 def prefix_pairs(members: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
     """(a, wa, b, wb): pairs of keys under different labels that may reach the similarity; none that does is left out.
 
