@@ -34,9 +34,9 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1000
 #: Pieces that a task remembers, and the longest of them in bytes.
-REMEMBERED = 1 << 20
+REMEMBERED = 3 << 18
 LONGEST = 64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 LONG_PIECE = 1 << 16
 
 _BLANK = np.isin(np.arange(256), list(b" \t\r\n"))
