@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.blocks import blocks, shingles, words
+from tickloom.llm.features import sampled
 from tickloom.llm.frames import map_texts, partitions, quoted
 
 K = 128
 SIZE = 5
+#: Rows per range, about, whose ids set the ranges' ends.
+SAMPLED = 200
 _SPAN = float(1 << 48)
 
 
@@ -117,7 +120,8 @@ def merge_parts(parts: DataFrame, key: str, k: int = K, salts: int = 32) -> Data
     Merged within Arrow batches, then by key and salt, then by key, so that no task holds more than a salt's
     share of a hot key. Null fingerprints are empty ones; null is a key like any other.
     """
-    parts = parts.select(quoted(key), F.col("fingerprint").cast("string").alias("fingerprint"))
+    # Names of our own, so that the key may be called anything.
+    parts = parts.select(parts[quoted(key)].alias("own"), parts["fingerprint"].cast("string").alias("sketch"))
     schema = parts.schema
 
     def merged(frame: pd.DataFrame) -> pd.DataFrame:
@@ -133,9 +137,29 @@ def merge_parts(parts: DataFrame, key: str, k: int = K, salts: int = 32) -> Data
             yield merged(frame)
 
     step = parts.mapInPandas(partial, schema)
-    salted = step.withColumn("__salt", F.pmod(F.xxhash64("fingerprint"), F.lit(salts)))
-    step = salted.groupBy(quoted(key), "__salt").applyInPandas(merged, schema)
-    return step.groupBy(quoted(key)).applyInPandas(merged, schema)
+    salted = step.withColumn("salt", F.pmod(F.xxhash64("sketch"), F.lit(salts)))
+    step = salted.groupBy("own", "salt").applyInPandas(merged, schema)
+    out = step.groupBy("own").applyInPandas(merged, schema)
+    return out.select(F.col("own").alias(key), F.col("sketch").alias("fingerprint"))
+
+
+def _tops(given: DataFrame, parts: int) -> np.ndarray:
+    """The largest key of each of about `parts` ranges with about as many rows each.
+
+    They are quantiles of the keys of about `SAMPLED` rows per range, chosen by a hash of the key and counted
+    before they come to the driver, so what any task or the driver gets does not grow with the rows.
+    """
+    total, largest = given.agg(F.count("*"), F.max("key")).first()
+    if not total:
+        return np.zeros(1, dtype=np.int64)
+    bound = SAMPLED * parts
+    found = sampled(given.select("key"), F.col("key"), total, bound).groupBy("key").agg(F.count("*").alias("n")).toArrow()
+    keys, n = found["key"].to_numpy(), found["n"].to_numpy()
+    order = np.argsort(keys)
+    sums = np.cumsum(n[order])
+    shares = np.arange(1, parts) / parts * (sums[-1] if len(sums) else 0)
+    at = np.searchsorted(sums, shares) if len(sums) else np.zeros(0, np.int64)
+    return np.unique(np.append(keys[order][at], largest).astype(np.int64))
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K, size: int = SIZE) -> DataFrame:
@@ -145,7 +169,8 @@ def fingerprint_edits(docs: DataFrame, k: int = K, size: int = SIZE) -> DataFram
     Reads doc_id and text. A null id comes after all others; rows with one id are ordered by their text; a
     single row is its own next. Null text is empty. No rows give no rows.
 
-    Texts are shuffled once, into ranges of ids that the ids' own quantiles set. The largest id of a range
+    Texts are shuffled once, into ranges of ids whose ends a bounded sample of the ids sets; as they only place the rows,
+    the result does not depend on it. The largest id of a range
     also goes to the range above it, where it follows the smallest; so a range needs nothing from its
     neighbours and rows are never numbered globally.
     """
@@ -156,10 +181,7 @@ def fingerprint_edits(docs: DataFrame, k: int = K, size: int = SIZE) -> DataFram
         F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("key"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    parts = partitions(spark)
-    shares = F.array(*(F.lit((i + 1) / parts) for i in range(parts)))
-    quantiles = given.agg(F.percentile_approx("key", shares, F.lit(100 * parts)).alias("at")).first()["at"]
-    tops = np.unique(np.array(quantiles or [least], dtype=np.int64))  # one per partition: small
+    tops = _tops(given, partitions(spark))
     ranges = len(tops)
 
     @F.pandas_udf("array<int>")
