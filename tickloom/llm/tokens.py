@@ -22,6 +22,8 @@ MARK = "▁"
 BLOCK_BYTES = 4 << 20
 #: A worker's trie is begun anew beyond this many nodes; counts do not depend on it.
 MAX_NODES = 400_000
+#: Characters beyond which a pre-token gets no nodes.
+LONG = 4096
 
 IS_INK = np.ones(256, dtype=bool)
 IS_INK[[9, 10, 11, 12, 13, 32]] = False
@@ -56,12 +58,16 @@ class ForwardTrie:
         self.clear()
 
     def clear(self) -> None:
+        #: Score and number of tokens of the pre-tokens added, by their hash.
+        self.known: dict[int, tuple[float, int]] = {}
         self.children: dict[tuple[int, str], int] = {}
         self.scores = [0.0]
         self.counts = [0]
 
     def add(self, token: str) -> tuple[float, int]:
         """Best score and number of tokens of a pre-token."""
+        if len(token) > LONG:
+            return self._long(token)
         node, path = 0, [0]
         for end, char in enumerate(token, 1):
             child = self.children.get((node, char))
@@ -72,23 +78,36 @@ class ForwardTrie:
             path.append(node)
         return self.scores[node], self.counts[node]
 
+    def _long(self, token: str) -> tuple[float, int]:
+        """The same without nodes: an end needs only the ends that a piece's length lies before it."""
+        width = self.longest + 1
+        scores, counts = [0.0] * width, [0] * width
+        for end in range(1, len(token) + 1):
+            scores[end % width], counts[end % width] = self._best(token, end, scores, counts, lambda k: k % width)
+        return scores[len(token) % width], counts[len(token) % width]
+
     def _new(self, token: str, end: int, path: list[int]) -> int:
-        scores, counts, pieces = self.scores, self.counts, self.pieces
+        best, count = self._best(token, end, self.scores, self.counts, path.__getitem__)
+        self.scores.append(best)
+        self.counts.append(count)
+        return len(self.scores) - 1
+
+    def _best(self, token: str, end: int, scores: list[float], counts: list[int], at) -> tuple[float, int]:
+        """Score and tokens of the best split up to `end`; `at` tells where those of an earlier end are held."""
+        pieces = self.pieces
         best, count = -math.inf, 0
         for begin in range(max(0, end - self.longest), end):
             value = pieces.get(token[begin:end])
             if value is not None:
-                score, tokens = scores[path[begin]] + value, counts[path[begin]] + 1
+                score, tokens = scores[at(begin)] + value, counts[at(begin)] + 1
                 if score > best or score == best and tokens < count:
                     best, count = score, tokens
         if token[end - 1] not in pieces:
             size = len(token[end - 1].encode("utf-8"))
-            score, tokens = scores[path[end - 1]] + size * self.byte_score, counts[path[end - 1]] + size
+            score, tokens = scores[at(end - 1)] + size * self.byte_score, counts[at(end - 1)] + size
             if score > best or score == best and tokens < count:
                 best, count = score, tokens
-        scores.append(best)
-        counts.append(count)
-        return len(scores) - 1
+        return best, count
 
 
 def count_block(block: Block, trie: ForwardTrie) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,13 +115,16 @@ def count_block(block: Block, trie: ForwardTrie) -> tuple[np.ndarray, np.ndarray
     starts, ends = runs(IS_INK[block.data], block.offsets)
     sums, up = prefix_hashes(block.data)
     keys = mix(span_hashes(sums, up, starts, ends) + (ends - starts).astype(np.uint64))
-    _, first, of = np.unique(keys, return_index=True, return_inverse=True)
+    names, first, of = np.unique(keys, return_index=True, return_inverse=True)
     raw = block.data.tobytes()
     scores, counts = np.empty(len(first)), np.empty(len(first), np.int64)
-    for i, k in enumerate(first):
-        if len(trie.scores) > MAX_NODES:
-            trie.clear()
-        scores[i], counts[i] = trie.add(MARK + raw[starts[k] : ends[k]].decode("utf-8"))
+    for i, (name, k) in enumerate(zip(names.tolist(), first)):
+        found = trie.known.get(name)
+        if found is None:
+            if len(trie.scores) > MAX_NODES:
+                trie.clear()
+            found = trie.known[name] = trie.add(MARK + raw[starts[k] : ends[k]].decode("utf-8"))
+        scores[i], counts[i] = found
     text = np.searchsorted(block.offsets, starts, side="right") - 1
     n = len(block.offsets) - 1
     return (
@@ -125,7 +147,8 @@ def count_tokens(
     Null and blank texts have no tokens and score 0. Every row is counted for itself. No rows give no rows.
 
     The vocabulary, whose size does not depend on the data, is broadcast. A task inserts the distinct
-    pre-tokens of a few MB of text at a time into its trie, so there is no shuffle and memory is bounded.
+    pre-tokens of a few MB of text at a time into its trie, so there is no shuffle and memory is bounded: a pre-token of
+    more than `LONG` characters is scored without nodes, one seen before is looked up by its hash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
