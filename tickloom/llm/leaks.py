@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.blocks import Words, blocks, gram_hashes, words
+from tickloom.llm.blocks import Words, blocks, gram_hashes, mix, words
 from tickloom.llm.frames import carried, quoted, stored
 
 WINDOW = 10
@@ -23,6 +24,8 @@ LEAD = 4
 SHARD_BYTES = 4 << 20
 #: Benchmark text searched for in one pass over the documents; what is beyond takes further passes.
 PASS_BYTES = 4 << 20
+#: Flags of the bitmap that selects the documents for several passes (2 MB).
+LEAD_MARKS = 1 << 24
 
 _MATCH = "items array<string>, longest_words long, longest_item string, longest_at long"
 
@@ -196,9 +199,13 @@ def find_leaks(
     judged each for itself, repeated item ids are one item, and a null item id reads as an empty string.
     No documents give no rows; no items find nothing.
 
+    longest_* tells of matches of whole windows; what is shorter than a window is no match.
+
     Documents are never shuffled: a pass sends at most about `pass_bytes` of benchmark text (measured before)
     to every task, and a larger benchmark takes as many passes as that needs, with the documents' hits kept
-    in the shared folder between them. A single longer item is a pass of its own.
+    in the shared folder between them. A single longer item is a pass of its own. Ahead of several passes the documents
+    are read once with one bitmap of the first words of all windows; only those that have a mark in it go
+    through the passes, the others are written once, without their texts.
     """
     spark = docs.sparkSession
     tests = benchmark.select(
@@ -210,6 +217,16 @@ def find_leaks(
     state = docs.select(
         F.struct(*(docs[quoted(c)] for c in kept)).alias("row"), docs[quoted(text_col)].cast("string").alias("text")
     )
+    clean = None
+    if passes > 1:
+        added = T._parse_datatype_string("n_words long, maybe boolean")
+        marks = spark.sparkContext.broadcast(_lead_marks(tests, window))
+        sifted = stored(state.mapInArrow(_sift(marks, shard_bytes), T.StructType([*state.schema.fields, *added.fields])), "leaks")
+        kinds = {f.name: f.dataType for f in T._parse_datatype_string(_MATCH).fields}
+        nothing = {"items": F.array(), "longest_words": F.lit(0), "longest_item": F.lit(None), "longest_at": F.lit(None)}
+        none = [nothing[c].cast(kind).alias(c) for c, kind in kinds.items()]
+        clean = sifted.where("NOT maybe").select("row", "n_words", F.lit(0).cast("long").alias("n_hit"), *none)
+        state = sifted.where("maybe").select("row", "text")
     for number in range(passes):
         chosen = tests.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == number) if passes > 1 else tests
         items = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in chosen.collect()])
@@ -219,7 +236,58 @@ def find_leaks(
         state = state.mapInArrow(_pass(items, window, shard_bytes, last), schema)
         if not last:
             state = stored(state, "leaks")
-    return state.withColumn("contaminated", F.col("n_hit") > 0)
+    found = state if clean is None else state.union(clean)
+    return found.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def _mark_spots(grams: np.ndarray, size: int) -> np.ndarray:
+    return (mix(grams + np.uint64(size)) & np.uint64(LEAD_MARKS - 1)).astype(np.int64)
+
+
+def _lead_marks(tests: DataFrame, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bit for each of `LEAD_MARKS` hashes of the first words of any item's windows, and the numbers of such words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leads = BenchmarkSuffixes([(None, text) for text in batch.column(0).to_pylist()], window).leads
+            spots = [_mark_spots(grams, n) for n, (grams, _) in leads.items()]
+            spots = np.unique(np.concatenate(spots)) if spots else np.zeros(0, np.int64)
+            sizes = [min(n, LEAD) for n in leads]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.r_[spots, np.full(len(sizes), -1)], pa.int64()), pa.array(np.r_[np.zeros(len(spots)), sizes], pa.int32())],
+                ["spot", "size"],
+            )
+
+    found = tests.select("text").mapInArrow(run, "spot long, size int").distinct().toArrow()
+    spot, size = found["spot"].to_numpy(), found["size"].to_numpy()
+    marks = np.zeros(LEAD_MARKS, dtype=bool)
+    marks[spot[spot >= 0]] = True
+    return np.packbits(marks), np.unique(size[spot < 0])
+
+
+def _sift(shared, shard_bytes: int):
+    """Which texts hold the first words of some window; texts are kept of these only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, sizes = shared.value
+        marks = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            counts, maybe = [], []
+            for block in blocks(batch.column(1), shard_bytes):
+                found = words(block)
+                ends = np.repeat(found.bounds[1:], found.counts)
+                hit = np.zeros(len(found.hashes), dtype=bool)
+                for n in sizes.tolist():
+                    hit |= marks[_mark_spots(gram_hashes(found.hashes, n), n)] & (np.arange(len(ends)) + n <= ends)
+                sums = np.concatenate([[0], np.cumsum(hit)])[found.bounds]
+                counts.append(found.counts)
+                maybe.append(np.diff(sums) > 0)
+            flags = pa.array(np.concatenate(maybe) if maybe else [], pa.bool_())
+            texts = pc.if_else(flags, batch.column(1), pa.scalar(None, batch.column(1).type))
+            n_words = pa.array(np.concatenate(counts) if counts else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, n_words, flags], ["row", "text", "n_words", "maybe"])
+
+    return run
 
 
 def _pass(items, window: int, shard_bytes: int, last: bool):
