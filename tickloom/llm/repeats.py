@@ -533,15 +533,16 @@ def remove_repeats(
     Null text is empty. A null id counts as larger than every id, so such a row loses what others hold and
     takes nothing from them. Rows with one id take nothing from each other. No rows give no rows.
 
-    Texts are shuffled once, compressed; what else moves are packs of one shard for one bucket. Buckets are
-    four per shuffle partition, so their size depends on that setting and not on the input's.
+    Texts are shuffled once, compressed; what else moves are packs of one shard for one bucket. There are four buckets
+    per shuffle partition, or one for every two shards if that is more, so that a bucket's size does not
+    grow with the input where the setting does not.
     """
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
     given = docs.select(
         docs[quoted(id_col)].cast("long").alias("id"), docs[quoted(text_col)].cast("string").alias("text")
     )
     shards = stored(given.mapInArrow(lambda it: _cut(it, shard_bytes), _SHARDS), "shards")
+    buckets = max(4 * partitions(spark), shards.count() // 2)
 
     def with_answers(packs: DataFrame) -> DataFrame:
         fields = [c for c in packs.columns if c != "shard"]
