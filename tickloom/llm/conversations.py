@@ -220,7 +220,8 @@ def audit_conversations(
     initial = F.substring("role", 1, 1)
     role = F.when(initial == "s", 0).when(initial == "u", 1).when(initial == "a", 2).otherwise(3)
     marked = given.repartition("conv").select("conv", "turn", "role", "text", (fault * 4 + role).cast("byte").alias("symbol"))
-    order = ["conv", F.asc_nulls_first("turn"), "role", "text"]
+    # Of equal rows the first one, which is no duplicate, has the least symbol.
+    order = ["conv", F.asc_nulls_first("turn"), "role", "text", "symbol"]
     dealt = marked.sortWithinPartitions(*order).select("conv", "turn", "symbol")
     schema = T.StructType([dealt.schema["conv"], *T._parse_datatype_string(AUDIT).fields])
 
