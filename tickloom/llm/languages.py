@@ -26,6 +26,10 @@ EVIDENCE = 40.0
 SMOOTHING = 10.0
 #: A text fits no language if its mean log-likelihood is this far below that of evenly spread grams.
 MARGIN = 3.0
+#: A text fits a language with few grams only if its mean is this far above that of grams the language has never shown.
+RARE_MARGIN = 0.3
+#: Added to the count of every gram.
+UNSEEN = 0.2
 BROADCAST_BYTES = 8 << 20
 #: Languages whose likelihoods (2**18 bytes each) are sent and held together.
 SLICE = 64
@@ -74,7 +78,8 @@ def train(rows: DataFrame, text: Column, label: Column, key: Column, sample: int
     names = [r["label"] for r in sizes]
     limits = [(r["label"], k, max(sample_limit(r["n"], sample), r["least"] + 1)) for k, r in enumerate(sizes)]
     limits = rows.sparkSession.createDataFrame(limits, "label string, language int, limit long")
-    chosen = given.join(F.broadcast(limits), "label").where("hash < limit").select("language", "text")
+    small = sum(len(name) + 32 for name in names) <= BROADCAST_BYTES
+    chosen = given.join(F.broadcast(limits) if small else limits, "label").where("hash < limit").select("language", "text")
     counted = chosen.mapInArrow(_counted, "language int, gram int, n long")
     counts = counted.groupBy("language", "gram").agg(F.sum("n").alias("n"))
     return {"names": names, "counts": stored(counts, "grams")}
@@ -115,12 +120,25 @@ def slices(model: dict) -> list[Broadcast]:
     for first in range(0, languages, SLICE):
         size = min(SLICE, languages - first)
         table = counts.where(F.col("language").between(first, first + size - 1)).toPandas()
-        dense = np.full((1 << _BITS, size), 0.2)
+        dense = np.full((1 << _BITS, size), UNSEEN)
         dense[table["gram"].to_numpy(np.int64), table["language"].to_numpy(np.int64) - first] += table["n"].to_numpy(float)
         made.append(counts.sparkSession.sparkContext.broadcast(np.log(dense / dense.sum(axis=0)).astype(np.float32)))
     return made
 
 
+def floors(model: dict) -> list[float]:
+    """The mean log-likelihood that a text of each language has to exceed.
+
+    For a language with many grams that is `MARGIN` below evenly spread ones. One with few has so flat a model that
+    any text would pass; there it is a little above the mean of a text of which it knows nothing.
+    """
+    totals = np.zeros(len(model["names"]))
+    for r in model["counts"].groupBy("language").agg(F.sum("n").alias("n")).collect():
+        totals[r["language"]] = r["n"]
+    unknown = np.log(UNSEEN / (UNSEEN * (1 << _BITS) + totals))
+    return np.maximum(-np.log(1 << _BITS) - MARGIN, unknown + RARE_MARGIN).tolist()
+
+
 def likelihoods(block: Block, shared: list[Broadcast]) -> tuple[np.ndarray, np.ndarray]:
     """Mean log-likelihood of each text's grams under each language, and the number of grams.
 
@@ -155,7 +173,7 @@ def identify_languages(
     these by all rows'. Text without grams leaves the decision to the other evidence.
 
     A row is rejected if the best posterior is below `least`, if its text has no letters, or if the text
-    fits its language far worse than evenly spread grams would. Null evidence is a value like any other (null text is
+    fits its language far worse than evenly spread grams would (see `floors`). Null evidence is a value like any other (null text is
     empty); a language that no row declares can't be found. Repeated rows count repeatedly and are judged alike.
     No rows give no rows; without languages every row is rejected.
 
@@ -232,7 +250,7 @@ def identify_languages(
     declared = level(["declared"]).select("declared", says.alias("says"))
     hosts, declared = _small(hosts, len(names)), _small(declared, len(names))
 
-    chance = float(-np.log(1 << _BITS)) - MARGIN
+    least_mean = F.lit(floors(model))
     damped = F.least(F.col("grams").cast("double"), F.lit(EVIDENCE))
     joined = (
         scored.select("row.*", "mean", "grams", "letters")
@@ -250,7 +268,7 @@ def identify_languages(
         F.col("given").alias("row"),
         F.element_at(F.lit(names), at).alias("language"),
         (1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - top))).alias("posterior"),
-        (F.element_at("mean", at) > chance).alias("fits"),
+        (F.element_at("mean", at) > F.element_at(least_mean, at)).alias("fits"),
         "letters",
     )
     accepted = (F.col("posterior") >= least) & F.col("fits") & F.col("letters")

@@ -83,6 +83,12 @@ def mix_sources(
     )
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents' own columns with copy and shuffle_key, which take the place of given columns of these names."""
+    kept = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    return mix_sources(docs, carry=kept, **options).select("row.*", "copy", "shuffle_key")
+
+
 def _slot(key: Column, parts: int) -> Column:
     share = F.conv(F.substring(key, 1, _BITS // 4), 16, 10).cast("double") / float(1 << _BITS)
     return F.floor(share * parts).cast("int")

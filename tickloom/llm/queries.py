@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.conversations import damaged, repaired_digests
 from tickloom.llm.fingerprints import fingerprint_edits
-from tickloom.llm.languages import document_evidence, identify_languages, train as train_languages
+from tickloom.llm.languages import document_evidence, identify_languages, page_evidence, train as train_languages, visible_text
 from tickloom.llm.frames import shared_folder
 from tickloom.llm.leaks import find_leaks
 from tickloom.llm.lexical import rank_documents
 from tickloom.llm.lines import dedup_lines
-from tickloom.llm.mixing import mix_sources
+from tickloom.llm.mixing import mixed_documents
 from tickloom.llm.nearcopies import near_copies
 from tickloom.llm.quality import classify_quality
 from tickloom.llm.repeats import remove_repeats
@@ -63,7 +63,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("row.*", "copy", "shuffle_key")
+    return mixed_documents(table(spark, sf_dir, "documents"))
 
 
 def language_model(docs: DataFrame) -> dict:
@@ -76,6 +76,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "language", "posterior", "accepted")
 
 
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages with the evidence of their markup and address; grams are those of `documents`."""
+    pages = table(spark, sf_dir, "pages")
+    evidence = page_evidence(pages["url"], pages["html"])
+    model = language_model(table(spark, sf_dir, "documents"))
+    found = identify_languages(pages, evidence, model, text=visible_text(pages["html"]), carry=["page_id"])
+    return found.select("row.page_id", "language", "posterior", "accepted")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(table(spark, sf_dir, "documents"), load_pieces(VOCABULARY), carry=["doc_id"])
     return counted.select("row.doc_id", "n_pretokens", "n_tokens", "score")
@@ -130,6 +139,7 @@ QUERIES: dict[str, Query] = {
         op4_decontamination,
         op5_mixing,
         op6_language_id,
+        language_of_pages,
         op7_token_counts,
         op8_toxicity,
         op9_suffix_dedup,
