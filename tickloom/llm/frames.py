@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.sinks import fs
+
 TextFunction = Callable[[pa.Array], dict[str, pa.Array]]
 
 
@@ -72,12 +74,27 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tickloom-{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables stored by this driver.
+_stored: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: computed once, and safe from lost executors."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What `make` returns, stored; the tables that were stored on the way to it are deleted."""
+    before = len(_stored)
+    out = stored(make(), name)
+    for path in _stored[before:-1]:
+        fs.delete(spark, path)
+    del _stored[before:-1]
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
