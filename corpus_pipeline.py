@@ -1,15 +1,20 @@
-"""A training corpus from `documents`: each stage is written as Parquet and read again by the next."""
+"""A training corpus from `documents`: each stage is written as Parquet and read again by the next.
+
+The stages' outputs stay in the shared folder; what a stage has stored on its way is deleted when its output is there.
+"""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.frames import stored
+from tickloom.llm.frames import stored_alone
 from tickloom.llm.languages import document_evidence, identify_languages
 from tickloom.llm.leaks import find_leaks
 from tickloom.llm.lines import dedup_lines
-from tickloom.llm.mixing import mix_sources
+from tickloom.llm.mixing import mixed_documents
 from tickloom.llm.nearcopies import keep_one_copy
 from tickloom.llm.queries import language_model, table
 
@@ -38,7 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents copied to the sources' target weights, in a global random order."""
-    return mix_sources(docs).select("row.*", "copy", "shuffle_key")
+    return mixed_documents(docs)
 
 
 STAGES = [
@@ -56,5 +61,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored_alone(spark, partial(stage, spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
