@@ -1,10 +1,12 @@
 """Merged folds, summaries, lasting counts, late rows, open windows, lost files, the ledger and the panels' statements."""
 
 import glob
+import json
 import os
 import random
 from collections import Counter
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import duckdb
 import pyarrow.parquet as pq
@@ -28,6 +30,7 @@ from tickloom.streaming import (
     supervise,
     with_batches,
 )
+from tickloom.streaming import progress
 from tickloom.streaming.ingest import not_published
 from test_lake import raw, state, windows
 
@@ -104,6 +107,7 @@ def test_folders_read_do_not_grow_with_folds(spark, tmp_path):
         AGGREGATES_TABLE.expire(spark, path)
         sizes.append(len(folders_read(read_aggregates(spark, path))))
         assert len(glob.glob(f"{tmp_path}/t/folded/upto=*")) <= 2
+        assert len(glob.glob(f"{tmp_path}/t/merged/upto=*")) <= 2
     assert set(sizes) == {2}
 
 
@@ -317,3 +321,13 @@ def test_statements_equal_the_panels(spark, sf_dir, name):
 def test_only_times_get_into_statements():
     with pytest.raises(ValueError):
         statements.statement("series", start="2024-01-01' OR 1=1 --")
+
+
+def test_sums_of_old_runs_are_forgotten():
+    report = {"numInputRows": 2, "batchId": 0}
+    for run in range(progress.RUNS + 30):
+        told = SimpleNamespace(json=json.dumps(report), runId=f"test-{run}", name="t", batchId=0)
+        progress.BatchLog().onQueryProgress(SimpleNamespace(progress=told))
+    assert len(progress._seen) == progress.RUNS
+    last = SimpleNamespace(runId=f"test-{run}", recentProgress=[])
+    assert progress.totals(last)["input_rows"] == 2

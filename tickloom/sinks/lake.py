@@ -275,8 +275,11 @@ class LakeTable:
         before = [m for m in merges if m != newest[_epoch(m)]]
         live = set(self._newest(spark, path, merges).values()) | set(self._newest(spark, path, before).values())
         for m in merges:
-            dates = (f"upto={m}/{p}" for p in self._partitions(spark, f"{path}/merged/upto={m}"))
-            old += [f"{base}/{d}" for d in dates if d not in live for base in ("merged", "merged_summary")]
+            dates = [f"upto={m}/{p}" for p in self._partitions(spark, f"{path}/merged/upto={m}")]
+            gone = [d for d in dates if d not in live]
+            if len(gone) == len(dates) and m in before:
+                gone = [f"upto={m}"]
+            old += [f"{base}/{d}" for d in gone for base in ("merged", "merged_summary")]
         for folder in old:
             fs.delete(spark, f"{path}/{folder}")
         return sum(not f.startswith("counts") and "_summary" not in f for f in old)

@@ -31,6 +31,8 @@ def batch_counts(report: dict) -> dict[str, int]:
 
 
 _SUMMED = ("input_rows", "written_rows", "late_rows")
+# Runs whose sums are remembered; what has to last is in the tables (`LakeTable.batch_counts`).
+RUNS = 100
 # What BatchLog has seen of each run: its first and last batch, and the totals from the one to the other.
 _seen: dict[str, tuple[int, int, dict[str, int]]] = {}
 _lock = threading.Lock()
@@ -75,7 +77,10 @@ class BatchLog(StreamingQueryListener):
         with _lock:
             first, last, sums = _seen.get(run, (batch, -1, dict.fromkeys(("batches", *_SUMMED, "state_rows"), 0)))
             if batch > last:  # a second log sees each batch again
+                _seen.pop(run, None)
                 _seen[run] = (first, batch, _added(sums, counts))
+                while len(_seen) > RUNS:  # those that have been silent longest
+                    del _seen[next(iter(_seen))]
         text = ", ".join(f"{name} {value}" for name, value in counts.items())
         log.info("%s: batch %d, %s", event.progress.name, event.progress.batchId, text)
 
