@@ -42,6 +42,7 @@ LONG_PIECE = 1 << 16
 _BLANK = np.isin(np.arange(256), list(b" \t\r\n"))
 _END = np.isin(np.arange(256), list(b".,;:!?"))
 _LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+_INK = (np.arange(256) > 32) & (np.arange(256) < 127)
 # First bytes of characters among which white space is, beside the four blanks.
 _SUSPECT = np.isin(np.arange(256), [0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
 # The first n of eight bytes.
@@ -74,8 +75,8 @@ class TextEncoder:
     No word of such a tokenizer holds white space behind something else, or a mark behind a letter, so a text may be
     cut in front of each run of blanks and between a letter and a mark; the pieces' ids, one after the other, are
     the text's. Pieces of a block are found and told apart by their bytes in whole arrays, and one that came before is
-    not encoded again. Texts with white space that is not sure to be one, or with a special token's name, are
-    encoded as they are. A long text without blanks is cut between marks and letters; memory grows with the
+    not encoded again. Where a text has other white space, it is cut behind ASCII signs and letters only; one
+    with a special token's name is encoded as it is. A long text without blanks is cut between marks and letters; memory grows with the
     longest run of letters, not with the text.
     """
 
@@ -129,24 +130,27 @@ class TextEncoder:
                 found[k] = known[pieces[k]] = ids
         return found
 
-    def _plain(self, block: Block, raw: bytes) -> np.ndarray:
-        """The texts that have to be encoded as they are."""
+    def _odd(self, block: Block, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The texts with a special token's name, and those with white space other than blanks."""
         seen = np.concatenate([[0], np.cumsum(_SUSPECT[block.data])])[block.offsets]
-        out = np.zeros(len(block.offsets) - 1, dtype=bool)
+        named, spaced = np.zeros((2, len(block.offsets) - 1), dtype=bool)
         names = [name.encode() for name in _special(self.path) if name.encode() in raw]
         for k in np.flatnonzero((np.diff(seen) > 0) | bool(names)).tolist():
             text = raw[block.offsets[k] : block.offsets[k + 1]]
-            out[k] = any(name in text for name in names) or bool(_OTHER_SPACE.search(text.decode()))
-        return out
+            named[k] = any(name in text for name in names)
+            spaced[k] = bool(_OTHER_SPACE.search(text.decode()))
+        return named, spaced
 
     def block(self, block: Block, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids; each text's end in `end_id`, if given."""
         data, offsets, raw = block.data, block.offsets, block.data.tobytes()
         texts = len(offsets) - 1
-        plain = self._plain(block, raw)
+        plain, spaced = self._odd(block, raw)
         blank = _BLANK[data]
         cut = np.zeros(len(data) + 1, dtype=bool)
         cut[1:-1] = (blank[1:] & ~blank[:-1]) | (_END[data[1:]] & _LETTER[data[:-1]])
+        for k in np.flatnonzero(spaced).tolist():  # only behind what is surely no white space
+            cut[offsets[k] + 1 : offsets[k + 1]] &= _INK[data[offsets[k] : offsets[k + 1] - 1]]
         for k in np.flatnonzero(plain).tolist():
             cut[offsets[k] : offsets[k + 1]] = False
         cut[offsets] = True
