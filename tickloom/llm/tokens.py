@@ -21,7 +21,9 @@ from tickloom.llm.frames import map_texts
 MARK = "▁"
 BLOCK_BYTES = 4 << 20
 #: A worker's trie is begun anew beyond this many nodes; counts do not depend on it.
-MAX_NODES = 400_000
+MAX_NODES = 800_000
+#: Pre-tokens whose scores are remembered.
+MAX_KNOWN = 1_000_000
 #: Characters beyond which a pre-token gets no nodes.
 LONG = 4096
 
@@ -45,6 +47,9 @@ def load_pieces(path: str) -> dict[str, float]:
     return {model.id_to_piece(i): -math.log((n + 10) * total) for n, i in enumerate(ids)}
 
 
+_NO_PIECE = object()
+
+
 class ForwardTrie:
     """Prefixes of the pre-tokens seen, each with its best score and the number of tokens of that split.
 
@@ -54,12 +59,15 @@ class ForwardTrie:
     def __init__(self, pieces: dict[str, float], byte_score: float | None = None) -> None:
         self.pieces = pieces
         self.longest = max(map(len, pieces), default=1)
+        # What pieces end in: the score of a piece, `_NO_PIECE` for what is only the end of one.
+        self.tails: dict[str, object] = {p[k:]: _NO_PIECE for p in pieces for k in range(1, len(p))}
+        self.tails.update(pieces)
         self.byte_score = min(pieces.values(), default=0.0) - 2.0 if byte_score is None else byte_score
+        #: Score and number of tokens of pre-tokens, by their hash; they outlive the nodes.
+        self.known: dict[int, tuple[float, int]] = {}
         self.clear()
 
     def clear(self) -> None:
-        #: Score and number of tokens of the pre-tokens added, by their hash.
-        self.known: dict[int, tuple[float, int]] = {}
         self.children: dict[tuple[int, str], int] = {}
         self.scores = [0.0]
         self.counts = [0]
@@ -83,28 +91,39 @@ class ForwardTrie:
         width = self.longest + 1
         scores, counts = [0.0] * width, [0] * width
         for end in range(1, len(token) + 1):
-            scores[end % width], counts[end % width] = self._best(token, end, scores, counts, lambda k: k % width)
+            path = [k % width for k in range(max(0, end - width), end)]
+            found = self._best(token, end, path, scores, counts)
+            scores[end % width], counts[end % width] = found
         return scores[len(token) % width], counts[len(token) % width]
 
     def _new(self, token: str, end: int, path: list[int]) -> int:
-        best, count = self._best(token, end, self.scores, self.counts, path.__getitem__)
+        best, count = self._best(token, end, path, self.scores, self.counts)
         self.scores.append(best)
         self.counts.append(count)
         return len(self.scores) - 1
 
-    def _best(self, token: str, end: int, scores: list[float], counts: list[int], at) -> tuple[float, int]:
-        """Score and tokens of the best split up to `end`; `at` tells where those of an earlier end are held."""
-        pieces = self.pieces
-        best, count = -math.inf, 0
-        for begin in range(max(0, end - self.longest), end):
-            value = pieces.get(token[begin:end])
-            if value is not None:
-                score, tokens = scores[at(begin)] + value, counts[at(begin)] + 1
-                if score > best or score == best and tokens < count:
-                    best, count = score, tokens
-        if token[end - 1] not in pieces:
+    def _best(self, token: str, end: int, path: list[int], scores: list[float], counts: list[int]) -> tuple[float, int]:
+        """Score and tokens of the best split up to `end`; those of the ends before it are at the places in `path`, the
+        nearest last. Longer pieces are tried until what precedes `end` ends no piece."""
+        tails = self.tails
+        best, count, begin, back = -math.inf, 0, end, 0
+        while begin > 0:
+            begin -= 1
+            back -= 1
+            value = tails.get(token[begin:end])
+            if value is None:
+                break
+            if value is not _NO_PIECE:
+                at = path[back]
+                score = scores[at] + value
+                if score > best:
+                    best, count = score, counts[at] + 1
+                elif score == best and counts[at] + 1 < count:
+                    count = counts[at] + 1
+        if token[end - 1] not in self.pieces:
+            at = path[-1]
             size = len(token[end - 1].encode("utf-8"))
-            score, tokens = scores[at(end - 1)] + size * self.byte_score, counts[at(end - 1)] + size
+            score, tokens = scores[at] + size * self.byte_score, counts[at] + size
             if score > best or score == best and tokens < count:
                 best, count = score, tokens
         return best, count
@@ -123,6 +142,8 @@ def count_block(block: Block, trie: ForwardTrie) -> tuple[np.ndarray, np.ndarray
         if found is None:
             if len(trie.scores) > MAX_NODES:
                 trie.clear()
+            if len(trie.known) > MAX_KNOWN:
+                trie.known.clear()
             found = trie.known[name] = trie.add(MARK + raw[starts[k] : ends[k]].decode("utf-8"))
         scores[i], counts[i] = found
     text = np.searchsorted(block.offsets, starts, side="right") - 1
