@@ -315,7 +315,7 @@ def test_statements_equal_the_panels(spark, sf_dir, name):
     assert cursor.fetchall() == [tuple(r) for r in expected.collect()]
     # Spark reads it as well, with its own quotes.
     frame.createOrReplaceTempView("stocks")
-    assert [tuple(r) for r in spark.sql(statements.statement(name, start=span[0], end=span[1], quote="`").replace("double precision", "double")).collect()] == [tuple(r) for r in expected.collect()]
+    assert [tuple(r) for r in spark.sql(statements.statement(name, start=span[0], end=span[1], quote="`", double="double")).collect()] == [tuple(r) for r in expected.collect()]
 
 
 def test_only_times_get_into_statements():

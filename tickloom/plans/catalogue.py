@@ -5,6 +5,7 @@ Times come back without zone and averages rounded, since sums of doubles depend
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -22,7 +23,7 @@ from tickloom.operators import (
     wide_series,
     window_aggregate,
 )
-from tickloom.plans import dashboard
+from tickloom.plans import dashboard, statements
 from tickloom.plans.adapters import (
     line_ticks,
     read_bars,
@@ -367,6 +368,27 @@ def dedup_resend_agg_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resent(spark, sf_dir, "dedup", dedup=True)
 
 
+def folded_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One symbol's rows from merged and folded files, which are sorted by symbol, and from the log."""
+    stocks = read_stocks(spark, _summed(spark, sf_dir, "symbol").stocks)
+    return _plain(keep_symbols(stocks, ("view",)))
+
+
+def _stated(spark: SparkSession, sf_dir: str, panel: str) -> DataFrame:
+    """The statement that a database gets for a panel, answered by Spark."""
+    view = f"bars_{uuid.uuid4().hex}"
+    read_bars(spark, sf_dir).createOrReplaceTempView(view)
+    return spark.sql(statements.statement(panel, view, *PART, quote="`", double="double"))
+
+
+def statement_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stated(spark, sf_dir, "spread")
+
+
+def statement_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stated(spark, sf_dir, "series")
+
+
 def late_rows_resend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All messages are sent twice to hourly windows: the rows that Spark has dropped as late."""
     config = _config(spark, "late-rows", width="1 hour")
@@ -575,6 +597,9 @@ QUERIES: dict[str, Query] = {
         total_from_summary,
         latest_from_summary,
         spread_from_summary,
+        folded_symbol,
+        statement_spread,
+        statement_series,
         open_windows_1h,
         batch_counts,
         empty_batches,

@@ -69,6 +69,7 @@ def _wide(time: str) -> str:
     return f"""SELECT {time} AS time, {columns} FROM s WHERE "timestamp" {_SPAN} GROUP BY {time}"""
 
 
+_PART = """"timestamp" BETWEEN TIMESTAMP '2024-01-05 10:30:00' AND TIMESTAMP '2024-01-24 16:05:00'"""
 _ROWS = 'SELECT symbol, open, high, low, close, "timestamp" FROM '
 _HOUR = """time_bucket(INTERVAL '1 hour', "timestamp")"""
 _AFTER_END = f"{_HOUR} + INTERVAL '1 hour'"
@@ -143,13 +144,14 @@ SELECT symbol, open, high, low, close, "timestamp", {_WATERMARK} AS judged_by
 FROM s WHERE {_AFTER_END} <= {_WATERMARK}""",
     "total_from_summary": f"WITH {_BARS} SELECT count(*) AS total_records FROM b",
     "latest_from_summary": f"WITH {_BARS} {_latest('b')}",
-    "spread_from_summary": f"""WITH {_BARS} {_spread(
-        "\"timestamp\" BETWEEN TIMESTAMP '2024-01-05 10:30:00' AND TIMESTAMP '2024-01-24 16:05:00'"
-    )}""",
+    "spread_from_summary": f"WITH {_BARS} {_spread(_PART)}",
+    "folded_symbol": f"WITH {_BARS} {_ROWS} b WHERE symbol = 'view'",
+    "statement_spread": f"""WITH {_BARS} {_spread(_PART)}""",
+    "statement_series": f"""WITH {_BARS} SELECT "timestamp" AS time, symbol AS metric, close FROM b WHERE {_PART}""",
     "open_windows_1h": f"""WITH {_TICKS}
 SELECT DISTINCT {_HOUR} AS window_start, {_AFTER_END} AS window_end, symbol
 FROM s WHERE {_AFTER_END} > {_WATERMARK}""",
-    "batch_counts": """SELECT 0 AS batch, count(*) FILTER (event_type < 'f') AS "rows", 0 AS faulty FROM events
+    "batch_counts": """SELECT 0::BIGINT AS batch, count(*) FILTER (event_type < 'f') AS "rows", 0::BIGINT AS faulty FROM events
 UNION ALL SELECT 1, count(*), count(*) FILTER (event_id % 97 < 9) FROM events
 UNION ALL SELECT 2, count(*) FILTER (event_type >= 'f'), 0 FROM events""",
     "empty_batches": f"WITH {_TICKS} {_ROWS} s",

@@ -1,7 +1,7 @@
 """The panels as one SQL statement each, for a database that answers them itself.
 
 A panel is described once: its columns, what they are called, and how it groups and sorts. The statement is made from
-that, in plain SQL that PostgreSQL, DuckDB and Spark read alike, and goes to the database through the reader's `query`
+that, in plain SQL that PostgreSQL and DuckDB read alike (Spark with its own quotes), and goes to the database through the reader's `query`
 option, so that only the answer is fetched. `dashboard` has the same panels over DataFrames; tests compare the two.
 """
 
@@ -55,7 +55,7 @@ PANELS = {
         columns=(
             ("symbol", "symbol"),
             (
-                "cast(round(cast(avg({high} - {low}) AS decimal(38,10)), 4) AS double precision)",
+                "cast(round(cast(avg({high} - {low}) AS decimal(38,10)), 4) AS {double})",
                 "avg_daily_spread",
             ),
         ),
@@ -79,15 +79,16 @@ def statement(
     start: str | datetime | None = None,
     end: str | datetime | None = None,
     quote: str = '"',
+    double: str = "double precision",
 ) -> str:
-    """The panel's statement. `quote` is the sign around names: `timestamp` is a word of the language."""
+    """The panel's statement. `quote` is the sign around names (`timestamp` is a word of the language), `double` a type's name."""
     panel = PANELS[name]
 
     def named(column: str) -> str:
         return f"{quote}{column}{quote}"
 
     def expression(text: str) -> str:
-        return named(text) if text in _NAMES else text.format(**{c: named(c) for c in _NAMES})
+        return named(text) if text in _NAMES else text.format(double=double, **{c: named(c) for c in _NAMES})
 
     columns = ", ".join(f"{expression(e)} AS {named(title)}" for e, title in panel.columns)
     source = table
