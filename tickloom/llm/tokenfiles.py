@@ -34,9 +34,9 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1000
 #: Pieces that a task remembers, and the longest of them in bytes.
-REMEMBERED = 3 << 18
+REMEMBERED = 1 << 20
 LONGEST = 64
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 4 << 20
 LONG_PIECE = 1 << 16
 
 _BLANK = np.isin(np.arange(256), list(b" \t\r\n"))
@@ -171,6 +171,7 @@ class TextEncoder:
         key = mix(one + mix(last + mix(two + z.astype(np.uint64))))
         _, first, of = np.unique(key, return_index=True, return_inverse=True)
         same = (z == z[first][of]) & (one == one[first][of]) & (two == two[first][of]) & (last == last[first][of])
+        del padded, eight, one, two, last, key, blank, cut
         ids = self._remembered([raw[i:j] for i, j in zip(at[first].tolist(), (at + z)[first].tolist())])
 
         piece = np.zeros(len(starts), dtype=np.int64)
