@@ -88,6 +88,36 @@ def test_pieces_under_one_hash_are_told_apart(monkeypatch):
     assert TextEncoder(TOKENIZER)(text) == plain_ids(text)
 
 
+def test_words_of_letters_skip_the_search_for_words(monkeypatch):
+    searched, search = [], TextEncoder._encode_pieces
+    monkeypatch.setattr(TextEncoder, "_encode_pieces", lambda self, pieces: searched.extend(pieces) or search(self, pieces))
+    encoder = TextEncoder(TOKENIZER)
+    texts = [f"prose{mark} prosé{mark} проза" for mark in ("", "***", "'s", "#", ".")]
+    assert [encoder(t) for t in texts] == [plain_ids(t) for t in texts]
+    # The word before a mark is the same piece as the word alone.
+    assert sorted(searched) == ["#", "'s", "***", "."]
+    assert len(encoder.known.hashes) == 3 + 4
+
+
+def test_letters_and_marks_of_two_bytes(monkeypatch):
+    rng = random.Random(5)
+    signs = list("aZé×÷ÀÿĀſƻǀɏʰЀяѿ҂ґΩ;·'’_-1²  .*\n\x00") + ["'ll", " été", " word", "\u0301", "\ud7ff"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(1, 12))) for _ in range(3000)]
+    encoder = TextEncoder(TOKENIZER)
+    assert all(encoder(t) == plain_ids(t) for t in texts)
+    monkeypatch.setattr(tokenfiles, "_word_tokenizer", lambda path: None)  # a tokenizer whose model is not asked alone
+    assert all(TextEncoder(TOKENIZER)(t) == plain_ids(t) for t in texts[:300])
+
+
+def test_any_white_space_is_found():
+    space = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2064\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x2010)))
+    none = "a\x0a\x0e\x1b\x20\x84\xa1\u1681\u180d\u1fff\u2010\u2027\u2030\u205e\u2065\u3001\ufefe\uff00🙂"
+    texts = [x for s in space + none for x in (s, f"é{s}", f"{s}b")]
+    (block,) = tokenfiles.blocks(pa.array(texts))
+    _, spaced = TextEncoder(TOKENIZER)._odd(block, block.data.tobytes(), tokenfiles._KINDS[block.data])
+    assert spaced.tolist() == [any(c in space for c in t) for t in texts]
+
+
 def test_very_long_texts():
     text = "word  and\n" * 300_000
     assert TextEncoder(TOKENIZER)(text) == plain_ids(text)

@@ -39,16 +39,24 @@ LONGEST = 64
 CHUNK_BYTES = 3 << 20
 LONG_PIECE = 1 << 16
 
-_BLANK = np.isin(np.arange(256), list(b" \t\r\n"))
-_END = np.isin(np.arange(256), list(b".,;:!?"))
-_LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-_INK = (np.arange(256) > 32) & (np.arange(256) < 127)
-# First bytes of characters among which white space is, beside the four blanks.
-_SUSPECT = np.isin(np.arange(256), [0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
+# What a byte may be: one of the four blanks, an ASCII mark, an ASCII letter, the first byte of two that are a letter
+# (U+00C0 to U+023F and U+0400 to U+047F but for the two of `_TIMES`), the first byte of other white space, or ink.
+_BLANK, _MARK, _LETTER, _LEAD, _SUSPECT, _INK = (np.uint8(1 << k) for k in range(6))
+_KINDS = np.zeros(256, dtype=np.uint8)
+_KINDS[list(b" \t\r\n")] |= _BLANK
+_KINDS[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] |= _MARK
+_KINDS[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] |= _LETTER
+_KINDS[[*range(0xC3, 0xC9), 0xD0, 0xD1]] |= _LEAD
+_KINDS[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] |= _SUSPECT
+_KINDS[33:127] |= _INK
+_TIMES = (0x97, 0xB7)
 # The first n of eight bytes.
 _FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
-# Beside the four blanks, what any version of Unicode may count as white space.
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+# Beside the four blanks, what any version of Unicode may count as white space; the same as bounds of three bytes.
+_OTHER_SPACE = [(0x0B, 0x0C), (0x1C, 0x1F), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E)]
+_OTHER_SPACE += [(0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x2064), (0x3000, 0x3000), (0xFEFF, 0xFEFF)]
+_SPACE_FROM = np.array([int.from_bytes(chr(a).encode().ljust(3, b"\x00")) for a, _ in _OTHER_SPACE])
+_SPACE_TO = np.array([int.from_bytes(chr(b).encode().ljust(3, b"\xff")) for _, b in _OTHER_SPACE])
 # Between a mark that is no letter, digit, space or apostrophe and a letter.
 _MARK_LETTER = re.compile(
     r"(?<=[!-&(-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])"
@@ -69,13 +77,80 @@ def _special(path: str) -> dict[str, int]:
     return {t.content: i for i, t in _tokenizer(path).get_added_tokens_decoder().items() if t.special}
 
 
+@cache
+def _word_tokenizer(path: str):
+    """The file's model for words, written in byte-level letters, between spaces; the letter of a byte; the bytes of an id.
+
+    None where the file does more with a word of letters than to give it to its model, byte by byte.
+    """
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    whole = _tokenizer(path)
+    model, before, added = whole.model, whole.pre_tokenizer, whole.get_added_tokens_decoder().values()
+    if not isinstance(model, models.BPE) or not isinstance(before, pre_tokenizers.ByteLevel) or whole.normalizer is not None:
+        return None
+    if before.add_prefix_space or not before.use_regex or not all(t.special for t in added):
+        return None
+    if model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix:
+        return None
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letters = np.arange(256, dtype="<u4")
+    letters[np.setdiff1d(np.arange(256), printed)] = 256 + np.arange(256 - len(printed))
+    vocabulary = whole.get_vocab(with_added_tokens=False)
+    if not {chr(c) for c in letters.tolist()} <= vocabulary.keys():
+        return None
+    sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+    for piece, i in vocabulary.items():
+        sizes[i] = len(piece)
+    words = Tokenizer(model)
+    words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    return words, letters, sizes
+
+
+def _places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after the other."""
+    ends = np.cumsum(lengths)
+    places = np.repeat(starts - ends + lengths, lengths)
+    places += np.arange(len(places))
+    return places
+
+
+class Remembered:
+    """Ids of pieces by the hashes of their bytes; `told`, their size and bytes, is compared, too."""
+
+    def __init__(self):
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.told = np.zeros((0, 4), dtype=np.uint64)
+        self.starts, self.lengths = np.zeros((2, 0), dtype=np.int64)
+        self.ids = np.zeros(0, dtype="<u4")
+
+    def find(self, hashes: np.ndarray, told: np.ndarray) -> np.ndarray:
+        """The place of each; -1 for one that is not there."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where((self.hashes[at] == hashes) & (self.told[at] == told).all(axis=1), at, -1)
+
+    def add(self, hashes: np.ndarray, told: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Ascending hashes; one that is there already stays what it is."""
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.searchsorted(self.hashes, hashes, side="right") == at
+        at, lengths, ids = at[new], lengths[new], ids[_places(starts[new], lengths[new])]
+        self.hashes = np.insert(self.hashes, at, hashes[new])
+        self.told = np.insert(self.told, at, told[new], axis=0)
+        self.starts = np.insert(self.starts, at, len(self.ids) + np.cumsum(lengths) - lengths)
+        self.lengths = np.insert(self.lengths, at, lengths)
+        self.ids = np.concatenate([self.ids, ids])
+
+
 class TextEncoder:
     """Ids of texts by a tokenizer whose words are ` ?letters`, ` ?digits`, ` ?marks` or white space.
 
     No word of such a tokenizer holds white space behind something else, or a mark behind a letter, so a text may be
     cut in front of each run of blanks and between a letter and a mark; the pieces' ids, one after the other, are
     the text's. Pieces of a block are found and told apart by their bytes in whole arrays, and one that came before is
-    not encoded again. Where a text has other white space, it is cut behind ASCII signs and letters only; one
+    not encoded again. A piece ` ?letters` is one word, and goes to the tokenizer's model without a search for words.
+    Where a text has other white space, it is cut behind ASCII signs and letters only; one
     with a special token's name is encoded as it is. A long text without blanks is cut between marks and letters; memory grows with the
     longest run of letters, not with the text.
     """
@@ -83,8 +158,9 @@ class TextEncoder:
     def __init__(self, path: str):
         self.path = path
         # Pieces seen lately and those seen before; the latter are forgotten when there are too many of the former.
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
+        self.known, self.before = Remembered(), Remembered()
+        # The same for pieces of more than 24 bytes.
+        self.longer: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = _tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)
@@ -103,60 +179,99 @@ class TextEncoder:
             out += [joined[a:b] for a, b in zip(starts, ends)]
         return out
 
+    def _encode_words(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each ` ?letters` in `data`, and all ids. A byte-level id stands for its bytes, so sizes part the words."""
+        if not len(starts):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
+        words, letters, bytes_of = _word_tokenizer(self.path)
+        ends = np.cumsum(sizes + 1)
+        signs = letters[data[_places(starts, sizes + 1)]]
+        signs[ends - 1] = ord(" ")
+        edges = [0, *ends[999:-1:1000].tolist(), len(signs)]
+        ids = []
+        for a, b in zip(edges, edges[1:]):
+            (found,) = words.encode_batch_fast([signs[a : b - 1].tobytes().decode("utf-32-le")], add_special_tokens=False)
+            ids.append(np.array(found.ids, dtype="<u4"))
+        ids = np.concatenate(ids)
+        upto = np.searchsorted(np.cumsum(bytes_of[ids]), np.cumsum(sizes)) + 1
+        return np.diff(upto, prepend=0), ids
+
     def _alone(self, piece: bytes, plain: bool) -> bytes:
         """The ids of a piece that is not looked up with others; one that is `plain` must not be cut."""
         if len(piece) <= LONGEST and not plain:
-            return self._remembered([piece])[0]
+            if piece not in self.longer:
+                if 2 * len(self.longer) > REMEMBERED:
+                    self.longer = {}
+                self.longer[piece] = self._encode([piece.decode()])[0]
+            return self.longer[piece]
         text = piece.decode()
         parts = _MARK_LETTER.split(text) if len(piece) > LONG_PIECE and not plain else [text]
         return b"".join(self._encode([part])[0] for part in parts)
 
-    def _remembered(self, pieces: list[bytes]) -> list[bytes]:
-        if 2 * len(self.known) > REMEMBERED:
-            self.known, self.before = {}, self.known
-        known, before = self.known, self.before
-        found = list(map(known.get, pieces))
-        new = []
-        for k, ids in enumerate(found):
-            if ids is None:
-                ids = before.get(pieces[k])
-                if ids is None:
-                    new.append(k)
-                else:
-                    found[k] = known[pieces[k]] = ids
-        if new:
-            made = self._encode_pieces([pieces[k].decode() for k in new])
-            for k, ids in zip(new, made):
-                found[k] = known[pieces[k]] = ids
-        return found
-
-    def _odd(self, block: Block, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def _odd(self, block: Block, raw: bytes, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The texts with a special token's name, and those with white space other than blanks."""
-        seen = np.concatenate([[0], np.cumsum(_SUSPECT[block.data])])[block.offsets]
         named, spaced = np.zeros((2, len(block.offsets) - 1), dtype=bool)
-        names = [name.encode() for name in _special(self.path) if name.encode() in raw]
-        for k in np.flatnonzero((np.diff(seen) > 0) | bool(names)).tolist():
-            text = raw[block.offsets[k] : block.offsets[k + 1]]
-            named[k] = any(name in text for name in names)
-            spaced[k] = bool(_OTHER_SPACE.search(text.decode()))
+        for name in (name.encode() for name in _special(self.path)):
+            if name in raw:
+                named |= [name in raw[i:j] for i, j in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist())]
+        at = np.flatnonzero(kinds & _SUSPECT)
+        three = sum(block.data[np.minimum(at + k, len(raw) - 1)].astype(np.int64) << (16 - 8 * k) for k in range(3))
+        at = at[three <= _SPACE_TO[np.searchsorted(_SPACE_FROM, three, side="right") - 1]]
+        spaced[np.searchsorted(block.offsets, at, side="right") - 1] = True
         return named, spaced
 
+    def _ids_of(self, hashes: np.ndarray, told: np.ndarray, starts: np.ndarray, word: np.ndarray, data: np.ndarray):
+        """Where the ids of distinct pieces begin, their numbers, and the ids: remembered ones and those made now.
+
+        Hashes ascend; `word` tells which pieces are ` ?letters`.
+        """
+        if 2 * len(self.known.hashes) > REMEMBERED:
+            self.known, self.before = Remembered(), self.known
+        sizes = told[:, 0].astype(np.int64)
+        begin, lengths = np.zeros((2, len(hashes)), dtype=np.int64)
+        parts, flat, missing = [], [], np.arange(len(hashes))
+        for held in (self.known, self.before):
+            at = held.find(hashes[missing], told[missing])
+            found, at, missing = missing[at >= 0], at[at >= 0], missing[at < 0]
+            lengths[found] = held.lengths[at]
+            parts.append(found)
+            flat.append(held.ids[_places(held.starts[at], held.lengths[at])])
+        word = word & (_word_tokenizer(self.path) is not None)
+        words, others = missing[word[missing]], missing[~word[missing]]
+        lengths[words], ids = self._encode_words(data, starts[words], sizes[words])
+        made = self._encode_pieces([data[i:j].tobytes().decode() for i, j in zip(starts[others].tolist(), (starts + sizes)[others].tolist())])
+        lengths[others] = [len(x) // 4 for x in made]
+        ids = np.concatenate([*flat, ids, np.frombuffer(b"".join(made), dtype="<u4")])
+        order = np.concatenate([*parts, words, others])
+        begin[order] = np.cumsum(lengths[order]) - lengths[order]
+        new = np.sort(order[len(parts[0]) :])
+        self.known.add(hashes[new], told[new], begin[new], lengths[new], ids)
+        return begin, lengths, ids
+
     def block(self, block: Block, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids; each text's end in `end_id`, if given."""
         data, offsets, raw = block.data, block.offsets, block.data.tobytes()
         texts = len(offsets) - 1
-        plain, spaced = self._odd(block, raw)
-        blank = _BLANK[data]
+        kinds = _KINDS[data]
+        plain, spaced = self._odd(block, raw, kinds)
+        blank, letter = kinds & _BLANK != 0, kinds & (_LETTER | _LEAD) != 0
+        letter[1:] |= kinds[:-1] & _LEAD != 0
+        times = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == _TIMES[0]) | (data[1:] == _TIMES[1])))
+        letter[times] = letter[times + 1] = False
         cut = np.zeros(len(data) + 1, dtype=bool)
-        cut[1:-1] = (blank[1:] & ~blank[:-1]) | (_END[data[1:]] & _LETTER[data[:-1]])
+        cut[1:-1] = (blank[1:] & ~blank[:-1]) | ((kinds[1:] & _MARK != 0) & letter[:-1])
         for k in np.flatnonzero(spaced).tolist():  # only behind what is surely no white space
-            cut[offsets[k] + 1 : offsets[k + 1]] &= _INK[data[offsets[k] : offsets[k + 1] - 1]]
+            cut[offsets[k] + 1 : offsets[k + 1]] &= kinds[offsets[k] : offsets[k + 1] - 1] & _INK != 0
         for k in np.flatnonzero(plain).tolist():
             cut[offsets[k] : offsets[k + 1]] = False
         cut[offsets] = True
         starts = np.flatnonzero(cut)
         starts, ends = starts[:-1] if len(data) else starts[:0], starts[1:]
         size = ends - starts
+        others = np.concatenate([np.zeros(1, dtype=np.int32), np.cumsum(~letter, dtype=np.int32)])
+        others = others[ends] - others[starts]  # bytes of a piece that are of no letter
+        word = (others == (data[starts] == ord(" "))) & (others < size)
+        del kinds, blank, letter, cut, others
         of_text = np.searchsorted(offsets, starts, side="right") - 1
 
         # Up to 24 bytes are three numbers: the first eight, the next eight, the last eight.
@@ -169,28 +284,34 @@ class TextEncoder:
         two = np.where(z > 16, eight[at + 8], np.uint64(0))
         last = np.where(z > 8, eight[np.maximum(at + z - 8, 0)], np.uint64(0))
         key = mix(one + mix(last + mix(two + z.astype(np.uint64))))
-        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        hashes, of = np.unique(key, return_inverse=True)
+        first = np.zeros(len(hashes), dtype=np.int64)
+        first[of] = np.arange(len(of))  # any of those with the hash
+        told = np.stack([z[first].astype(np.uint64), one[first], two[first], last[first]], axis=1)
         same = (z == z[first][of]) & (one == one[first][of]) & (two == two[first][of]) & (last == last[first][of])
-        del padded, eight, one, two, last, key, blank, cut
-        ids = self._remembered([raw[i:j] for i, j in zip(at[first].tolist(), (at + z)[first].tolist())])
+        del eight, one, two, last, key
+        begin, lengths, ids = self._ids_of(hashes, told, at[first], word[short[first]], padded)
+        del padded, hashes, told, first, at, z
 
         piece = np.zeros(len(starts), dtype=np.int64)
         piece[short] = of
         few[short[~same]] = False  # other bytes under an equal hash
-        for k in np.flatnonzero(~few).tolist():
-            piece[k] = len(ids)
-            ids.append(self._alone(raw[starts[k] : ends[k]], bool(plain[of_text[k]])))
+        alone = np.flatnonzero(~few)
+        piece[alone] = len(lengths) + np.arange(len(alone))
+        more = [self._alone(raw[starts[k] : ends[k]], bool(plain[of_text[k]])) for k in alone.tolist()]
         held = np.searchsorted(starts, offsets)
         if end_id is not None:
-            piece = np.insert(piece, held[1:], len(ids))
+            piece = np.insert(piece, held[1:], len(lengths) + len(more))
             held = held + np.arange(texts + 1)
-            ids.append(int(end_id).to_bytes(4, "little"))
-        lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+            more.append(int(end_id).to_bytes(4, "little"))
+        added = np.array([len(x) // 4 for x in more], dtype=np.int64)
+        begin = np.concatenate([begin, len(ids) + np.cumsum(added) - added])
+        lengths = np.concatenate([lengths, added])
+        flat = np.concatenate([ids, np.frombuffer(b"".join(more), dtype="<u4")])
         counts = lengths[piece]
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        from_ = np.repeat((np.cumsum(lengths) - lengths)[piece] - bounds[:-1], counts) + np.arange(bounds[-1])
-        return np.diff(bounds[held]), flat[from_]
+        begin, bounds = begin[piece], np.concatenate([[0], np.cumsum(counts)])
+        del starts, ends, size, of_text, few, short, of, same, piece
+        return np.diff(bounds[held]), flat[_places(begin, counts)]
 
     def __call__(self, text: str) -> list[int]:
         return [i for b in blocks(pa.array([text], pa.string())) for i in self.block(b)[1].tolist()]
