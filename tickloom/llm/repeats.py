@@ -5,15 +5,19 @@ alone, so equal strings have equal anchors at equal places. Neighbouring strings
 the text under the strings of one anchor, 50 to 80 bytes. Strings can only be equal if their stretches' anchors
 are, so stretches are dealt out by anchor, and a task sorts the suffixes that begin in its stretches.
 
-1. Texts are cut into shards of about 2 MB, stored compressed in the shared folder.
-2. Each shard sends its distinct anchors, six bytes each, to buckets; a bucket answers with a bit per anchor:
+1. Texts are cut into shards of about 8 MB, stored compressed in the shared folder.
+2. Each shard sends its distinct anchors, six bytes each, to buckets; a bucket answers with a flag per anchor:
    whether another document has it.
 3. Each shard sends its distinct stretches under such anchors, with the smallest id that holds them in the
-   shard. A bucket sorts their suffixes and answers with the smallest id for each string.
+   shard. A bucket sorts their suffixes and answers with the smallest id for each string, where it is
+   smaller than the one sent.
 4. Each shard marks the strings whose smallest id is below the document's own.
 
 An anchor or stretch that a third of all documents share is sent once per shard, whatever the documents'
-number. If many shards share an anchor, its strings are dealt out singly by their own hash.
+number. If many shards share an anchor, or many stretches, its strings are dealt out singly by their own hash.
+
+A shard's packs for all buckets are rows of one Arrow batch, and a bucket's packs are read from its buffers, so
+that a pack, of which there are as many as shards times buckets, costs little beyond its bytes.
 """
 
 from __future__ import annotations
@@ -27,18 +31,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.blocks import BYTE_VALUES, blocks, mix, prefix_hashes, runs, span_hashes
+from tickloom.llm.blocks import BYTE_VALUES, blocks, mix, prefix_hashes, runs
 from tickloom.llm.frames import partitions, quoted, stored
 
 LENGTH = 50
 ANCHOR = 20
-SHARD_BYTES = 2 << 20
-PIECE = 1 << 19
+SHARD_BYTES = 8 << 20
+PIECE = 1 << 16
 HOT_SHARDS = 4096
+HOT_STRETCHES = 1 << 18
+MOST_SPREAD = 1024
 NO_ID = np.iinfo(np.int64).max
 
+#: Stretches whose suffixes are sorted, or whose strings are marked, at once; whole anchors are not cut.
+_AT_ONCE = 1 << 17
+#: Stretches of a shard under one anchor are counted in steps of this many, up to 127 steps.
+_STEP = 32
+
 _PLACE = np.uint64((1 << 24) - 1)
 _KEY = np.uint64((1 << 48) - 1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_HALF = np.uint64(32)
+#: The first k bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def squeeze(data: np.ndarray) -> bytes:
@@ -49,124 +64,204 @@ def unsqueeze(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
 
 
-# ---------------------------------------------------------------- suffix sorting
+def steps(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... size - 1 for each size."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-class HashedText:
-    """Bytes whose spans are compared through prefix polynomial hashes."""
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, the number of each value among them, and the first place of each."""
+    if not len(values):
+        return values, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.ones(len(ranked), dtype=bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    number = np.empty(len(ranked), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    heads = np.flatnonzero(new)
+    return ranked[heads], number, np.minimum.reduceat(order, heads)
+
 
-    def __init__(self, data: np.ndarray, values: np.ndarray = BYTE_VALUES) -> None:
-        self.data = data
-        self.sums, self.up = prefix_hashes(data, values)
+def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """data[bounds[i]:bounds[i + 1]] as the i-th binary; bounds count bytes and begin with 0."""
+    offsets = pa.py_buffer(np.ascontiguousarray(bounds, dtype=np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(data))])
 
-    def hashes(self, starts: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return span_hashes(self.sums, self.up, starts, starts + length)
 
-    def common(self, one: np.ndarray, two: np.ndarray, limit: int) -> np.ndarray:
-        """Length of the common extension of the suffixes at `one` and `two`, at most `limit`: a binary search."""
-        low = np.zeros(len(one), dtype=np.int64)
-        high = np.full(len(one), limit, dtype=np.int64)
-        while True:
-            open_ = np.flatnonzero(low < high)
+def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of binaries without nulls, one after the other, and the size of each."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64)
+    _, at, body = column.buffers()
+    offsets = np.frombuffer(at, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(body, dtype=np.uint8) if body is not None and body.size else np.zeros(0, dtype=np.uint8)
+    return data[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+# ---------------------------------------------------------------- suffix sorting
+
+
+class HashedText:
+    """Bytes that are hashed and compared in words of eight; up to `margin` bytes around them read as zero."""
+
+    def __init__(self, data: np.ndarray, margin: int = 8) -> None:
+        self.margin = margin + 8
+        held = np.zeros(len(data) + 2 * self.margin, dtype=np.uint8)
+        held[self.margin : self.margin + len(data)] = data
+        self.data = held[self.margin : self.margin + len(data)]
+        self._words = np.ndarray((len(held) - 7,), dtype="<u8", buffer=held, strides=(1,))
+
+    def words(self, starts: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place on; the first is the lowest."""
+        return self._words[starts + self.margin].astype(np.uint64, copy=False)
+
+    def first_bytes(self, starts: np.ndarray, lengths: np.ndarray | int) -> Iterator[np.ndarray]:
+        """The first `lengths` bytes from each place on, word by word; bytes behind them are zero."""
+        least, most = (int(f(lengths)) for f in (np.min, np.max))
+        for k in range(0, most, 8):
+            word = self.words(starts + k)
+            yield word if k + 8 <= least else word & _FIRST[np.clip(np.asarray(lengths) - k, 0, 8)]
+
+    def hashes(self, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
+        out = np.zeros(len(starts), dtype=np.uint64) + np.asarray(lengths).astype(np.uint64)
+        if len(starts):
+            for word in self.first_bytes(starts, lengths):
+                out ^= word
+                out *= _ODD
+                out ^= out >> _HALF
+        return mix(out)
+
+    def differ(self, one: np.ndarray, two: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(one), dtype=bool)
+        if len(one):
+            for a, b in zip(self.first_bytes(one, lengths), self.first_bytes(two, lengths)):
+                out |= a != b
+        return out
+
+    def ahead(self, one: np.ndarray, two: np.ndarray, limit: int) -> np.ndarray:
+        """Length of the common extension of the suffixes at `one` and `two`, at most `limit`."""
+        return self._common(one, two, limit, 1)
+
+    def behind(self, one: np.ndarray, two: np.ndarray, limit: int) -> np.ndarray:
+        """Number of common bytes that end in front of `one` and `two`, at most `limit`."""
+        return self._common(one, two, limit, -1)
+
+    def _common(self, one: np.ndarray, two: np.ndarray, limit: int, way: int) -> np.ndarray:
+        out = np.zeros(len(one), dtype=np.int64)
+        open_ = np.arange(len(one))
+        for k in range(0, limit, 8):
+            at = k if way > 0 else -k - 8
+            word = self.words(one[open_] + at) ^ self.words(two[open_] + at)
+            if way < 0:
+                word = word.byteswap()
+            # Bytes up to the first one that differs.
+            equal = sum((word & x == 0).astype(np.int64) for x in _FIRST[1:])
+            out[open_] += equal
+            open_ = open_[equal == 8]
             if not len(open_):
-                return low
-            a, b = one[open_], two[open_]
-            middle = (low[open_] + high[open_] + 1) // 2
-            same = self.hashes(a, middle) == self.hashes(b, middle)
-            low[open_] = np.where(same, middle, low[open_])
-            high[open_] = np.where(same, high[open_], middle - 1)
-
-    def before(self, one: np.ndarray, two: np.ndarray, limit: int) -> np.ndarray:
-        """-1, 0 or 1: the order of the suffixes' first `limit` bytes, from their first difference."""
-        length = self.common(one, two, limit)
-        differ = length < limit
-        at = np.minimum(length, limit - 1)
-        sign = np.sign(self.data[one + at].astype(np.int16) - self.data[two + at].astype(np.int16))
-        return np.where(differ, sign, 0)
+                break
+        return np.minimum(out, limit)
 
 
 def suffix_order(text: HashedText, starts: np.ndarray, groups: np.ndarray, limit: int) -> np.ndarray:
     """The order that sorts the suffixes at `starts` by their first `limit` bytes within each group.
 
-    `groups` is ascending. A bottom-up mergesort over all groups at once: an element's place in the merged
-    run is its place in its own run plus its rank in the sibling run, found by binary search with
-    logarithmic suffix comparisons. Stable.
+    `groups` is ascending. Word after word, those that share all bytes so far are sorted by the next eight;
+    a suffix that shares them with no other has its place. Stable.
     """
     n = len(starts)
     order = np.arange(n)
     if not n:
         return order
-    first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
-    sizes = np.diff(np.r_[first, n])
-    base = np.repeat(first, sizes)
-    size = np.repeat(sizes, sizes)
-    place = np.arange(n) - base
-    width = 1
-    while width < sizes.max():
-        active = np.flatnonzero(size > width)
-        run = place[active] // width
-        own = base[active] + run * width
-        sibling = np.minimum(base[active] + (run ^ 1) * width, base[active] + size[active])
-        end = np.minimum(sibling + width, base[active] + size[active])
-        right = (run & 1).astype(bool)
-        low, high = sibling.copy(), end.copy()
-        mine = starts[order[active]]
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                break
-            middle = (low[open_] + high[open_]) // 2
-            sign = text.before(starts[order[middle]], mine[open_], limit)
-            # The left run's elements go before their equals of the right run.
-            smaller = np.where(right[open_], sign <= 0, sign < 0)
-            low[open_] = np.where(smaller, middle + 1, low[open_])
-            high[open_] = np.where(smaller, high[open_], middle)
-        target = np.minimum(own, sibling) + (active - own) + (low - sibling)
-        merged = order.copy()
-        merged[target] = order[active]
-        order = merged
-        width *= 2
+    new = np.r_[True, groups[1:] != groups[:-1]]
+    open_ = np.arange(n)
+    for k in range(0, limit, 8):
+        # Places in runs of two or more.
+        open_ = open_[~(new[open_] & np.r_[new, True][open_ + 1])]
+        if not len(open_):
+            break
+        run = np.cumsum(new[open_])
+        word = text.words(starts[order[open_]] + k)
+        if k + 8 > limit:
+            word &= _FIRST[limit - k]
+        word = word.byteswap()
+        by = np.lexsort((word, run))
+        order[open_] = order[open_][by]
+        word = word[by]
+        new[open_[1:]] |= word[1:] != word[:-1]
     return order
 
 
-def equal_bytes(data: np.ndarray, one: np.ndarray, two: np.ndarray, length: int) -> bool:
-    step = np.arange(length)
-    for i in range(0, len(one), 1 << 16):
-        a, b = one[i : i + (1 << 16), None] + step, two[i : i + (1 << 16), None] + step
-        if not np.array_equal(data[a], data[b]):
-            return False
-    return True
-
-
-def least_of_equals(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, ids: np.ndarray, limit: int) -> np.ndarray:
-    """For each suffix the smallest id among those of its group that begin with the same `limit` bytes.
-
-    Neighbours in suffix order are equal if their common extension is `limit`; equals are verified byte by
-    byte, and a collision of hashes starts over with other byte values.
+def least_of_equals(
+    text: HashedText,
+    first: np.ndarray,
+    strings: np.ndarray,
+    place: np.ndarray,
+    ids: np.ndarray,
+    length: int,
+) -> np.ndarray:
+    """For each string of each stretch the smallest id among the stretches that hold it.
+
+    The suffixes that begin at the stretches' anchors are sorted. In front of a sorted suffix goes one byte after
+    the other: sorting by that byte alone sorts the longer suffixes, as the order of the rest is kept. Behind each
+    byte the neighbours are compared. The bytes that two of them share on both sides of their anchors are
+    counted once, however many of their strings meet.
     """
-    by_group = np.argsort(groups, kind="stable")
-    starts, ids, groups = starts[by_group], ids[by_group], groups[by_group]
-    values = BYTE_VALUES
-    while True:
-        text = HashedText(data, values)
-        order = suffix_order(text, starts, groups, limit)
-        at = starts[order]
-        new = np.ones(len(at), dtype=bool)
-        same_group = np.flatnonzero(groups[1:] == groups[:-1])
-        equal = text.common(at[same_group], at[same_group + 1], limit) == limit
-        new[same_group[equal] + 1] = False
-        joined = np.flatnonzero(~new)
-        if equal_bytes(data, at[joined - 1], at[joined], limit):
-            break
-        values = mix(values + np.uint64(1))
-    heads = np.flatnonzero(new)
-    out = np.empty(len(ids), dtype=np.int64)
-    if len(heads):
-        least = np.minimum.reduceat(ids[order], heads)
-        out[by_group[order]] = np.repeat(least, np.diff(np.r_[heads, len(at)]))
+    bounds = np.cumsum(strings) - strings
+    out = np.repeat(ids, strings)
+    anchor = min(ANCHOR, length)
+    anchors = first + place
+    by_anchor = text.hashes(anchors, anchor)
+    order = np.argsort(by_anchor)
+    new = np.r_[True, by_anchor[order[1:]] != by_anchor[order[:-1]], True]
+    # Nothing can be equal under the anchor of one stretch.
+    order = order[~(new[1:] & new[:-1])]
+    heads = np.flatnonzero(np.r_[True, by_anchor[order[1:]] != by_anchor[order[:-1]]]) if len(order) else order
+    cuts = heads[np.r_[True, np.diff(heads // _AT_ONCE) > 0]] if len(heads) else heads
+    for a, b in zip(cuts, np.r_[cuts[1:], len(order)]):
+        part = np.sort(order[a:b])
+        _least_of_part(text, anchors[part], strings[part], place[part], ids[part], bounds[part], length, out)
     return out
 
 
+def _least_of_part(
+    text: HashedText,
+    anchors: np.ndarray,
+    strings: np.ndarray,
+    place: np.ndarray,
+    ids: np.ndarray,
+    bounds: np.ndarray,
+    length: int,
+    out: np.ndarray,
+) -> None:
+    lowest = place - strings + 1
+    most = int(place.max())
+    who = suffix_order(text, anchors, np.zeros(len(anchors), dtype=np.int64), length)
+    partner = np.full(len(anchors), -1)
+    ahead, behind = np.zeros((2, len(anchors)), dtype=np.int64)
+    for spot in range(most + 1):  # bytes in front of the anchor
+        if spot:
+            who = who[place[who] >= spot]
+            who = who[np.argsort(text.data[anchors[who] - spot], kind="stable")]
+        mine = who[lowest[who] <= spot]
+        one, two = mine[:-1], mine[1:]
+        changed = np.flatnonzero(partner[two] != one)
+        a, b = one[changed], two[changed]
+        partner[b] = a
+        ahead[b] = text.ahead(anchors[a], anchors[b], length)
+        behind[b] = text.behind(anchors[a], anchors[b], most)
+        same = (behind[two] >= spot) & (ahead[two] >= length - spot)
+        if same.any():
+            of_run = np.r_[same, False] | np.r_[False, same]
+            of = mine[of_run]
+            heads = np.flatnonzero(~np.r_[False, same][of_run])
+            least = np.minimum.reduceat(ids[of], heads)
+            out[bounds[of] + place[of] - spot] = np.repeat(least, np.diff(np.r_[heads, len(of)]))
+
+
 # ---------------------------------------------------------------- anchors and stretches
 
 
@@ -179,6 +274,30 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
+def string_starts(offsets: np.ndarray, length: int) -> np.ndarray:
+    """Whether a string of `length` bytes begins at each place, within one text."""
+    out = np.ones(offsets[-1], dtype=bool)
+    full = np.flatnonzero(offsets[1:] > offsets[:-1])
+    for k in range(1, length):
+        out[np.maximum(offsets[1:][full] - k, offsets[:-1][full])] = False
+    return out
+
+
+def distinct(text: HashedText, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of its kind for each stretch, and the first stretch of each kind; kinds differ in bytes."""
+    _, kind, kinds = numbered(text.hashes(first, lengths))
+    head = kinds[kind]
+    copies = np.flatnonzero(head != np.arange(len(kind)))
+    head = head[copies]
+    differ = lengths[copies] != lengths[head]
+    differ |= text.differ(first[copies], first[head], lengths[copies])
+    alone = copies[differ]
+    if len(alone):  # two contents with one hash: the others get a kind each
+        kind[alone] = len(kinds) + np.arange(len(alone))
+        kinds = np.concatenate([kinds, alone])
+    return kind, kinds
+
+
 class Stretches:
     """All stretches of a shard: first string, number of strings, anchor's place under the first, anchor's hash."""
 
@@ -187,24 +306,22 @@ class Stretches:
         anchor = min(ANCHOR, length)
         found: list[tuple[np.ndarray, ...]] = []
         strings = len(data) - length + 1
+        begins = string_starts(offsets, length)
         for begin in range(0, max(strings, 0), PIECE):
             count = min(PIECE, strings - begin)
             piece = data[begin : begin + count + length - 1]
             sums, up = prefix_hashes(piece)
-            spots = np.arange(len(piece) - anchor + 1)
-            hashes = mix(span_hashes(sums, up, spots, spots + anchor))
+            hashes = mix((sums[anchor:] - sums[:-anchor]) * up[: len(piece) - anchor + 1])
             # The leftmost of equal hashes: its place is in the low bits.
-            least = sliding_min((hashes & ~_PLACE) | spots.astype(np.uint64), length - anchor + 1)
-            at = np.arange(begin, begin + count)
-            ends = offsets[1:][np.searchsorted(offsets[1:], at, side="right")]
-            inside = at + length <= ends
-            new = np.ones(count, dtype=bool)
-            new[1:] = (least[1:] != least[:-1]) | ~inside[:-1]
-            last = np.ones(count, dtype=bool)
-            last[:-1] = new[1:] | ~inside[1:]
-            first = np.flatnonzero(inside & new)
+            least = sliding_min((hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64), length - anchor + 1)
+            inside = begins[begin : begin + count]
+            change = least[1:] != least[:-1]
+            new, last = inside.copy(), inside.copy()
+            new[1:] &= change | ~inside[:-1]
+            last[:-1] &= change | ~inside[1:]
+            first = np.flatnonzero(new)
             spot = (least[first] & _PLACE).astype(np.int64)
-            found.append((begin + first, np.flatnonzero(inside & last) - first + 1, spot - first, hashes[spot]))
+            found.append((begin + first, np.flatnonzero(last) - first + 1, spot - first, hashes[spot]))
         empty = (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),)
         self.first, self.strings, self.place, self.hash = (
             (np.concatenate(x) for x in zip(*found)) if found else empty
@@ -212,35 +329,7 @@ class Stretches:
         self.text = np.searchsorted(offsets, self.first, side="right") - 1
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """The number of its kind for each stretch, and the first stretch of each kind; kinds differ in bytes."""
-        lengths = self.strings + self.length - 1
-        values = np.empty(len(self.first), dtype=np.uint64)
-        for begin in range(0, len(self.first), 1 << 15):  # in order of place: a piece at a time
-            part = slice(begin, min(begin + (1 << 15), len(self.first)))
-            low, high = self.first[part][0], self.first[part][-1] + lengths[part][-1]
-            sums, up = prefix_hashes(self.data[low:high])
-            values[part] = mix(
-                span_hashes(sums, up, self.first[part] - low, self.first[part] - low + lengths[part])
-                + lengths[part].astype(np.uint64)
-            )
-        _, kinds, kind = np.unique(values, return_index=True, return_inverse=True)
-        copies = np.flatnonzero(kinds[kind] != np.arange(len(kind)))
-        differ = self._differ(copies, kinds[kind[copies]], lengths)
-        if len(differ):  # two contents with one hash: the others get a kind each
-            alone = copies[differ]
-            kind[alone] = len(kinds) + np.arange(len(alone))
-            kinds = np.concatenate([kinds, alone])
-        return kind, kinds
-
-    def _differ(self, one: np.ndarray, two: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        bad = [np.flatnonzero(lengths[one] != lengths[two])]
-        step = np.arange(int(lengths.max(initial=0)))
-        for i in range(0, len(one), 1 << 14):
-            a, b = one[i : i + (1 << 14)], two[i : i + (1 << 14)]
-            reach = np.minimum(step, np.minimum(lengths[a], lengths[b])[:, None] - 1)
-            rows = (self.data[self.first[a][:, None] + reach] != self.data[self.first[b][:, None] + reach]).any(axis=1)
-            bad.append(i + np.flatnonzero(rows))
-        return np.unique(np.concatenate(bad))
+        return distinct(HashedText(self.data, self.length), self.first, self.strings + self.length - 1)
 
 
 class Shard:
@@ -252,23 +341,29 @@ class Shard:
 
     def anchors(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchors in order of (bucket, key), the bucket of each, and the anchor of each stretch."""
-        key = self.stretches.hash & _KEY
-        distinct, of = np.unique(key, return_inverse=True)
-        bucket = (distinct % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        return distinct[order], bucket[order], rank[of]
+        keys, of, _ = numbered(self.stretches.hash & _KEY)
+        return keys, bucket_of(keys, buckets), of
+
+    def kinds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The kind of each stretch, the first stretch of each kind, and the smallest id that has the kind."""
+        kind, kinds = self.stretches.distinct()
+        least = np.full(len(kinds), NO_ID, dtype=np.int64)
+        np.minimum.at(least, kind, self.ids[self.stretches.text])
+        return kind, kinds, least
 
 
-def six_bytes(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys of 48 bits in order have buckets in order."""
+    return (((keys >> np.uint64(16)) * np.uint64(buckets)) >> _HALF).astype(np.int64)
 
 
-def from_six_bytes(raw: bytes) -> np.ndarray:
-    part = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(part), 8), dtype=np.uint8)
-    wide[:, :6] = part
+def six_bytes(keys: np.ndarray) -> np.ndarray:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].ravel()
+
+
+def from_six_bytes(raw: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = raw.reshape(-1, 6)
     return wide.view("<u8").ravel().astype(np.uint64)
 
 
@@ -294,100 +389,111 @@ def _cut(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.Rec
             number += 1
 
 
-def _shards(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, Shard, list[dict]]]:
+def _shards(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, Shard, pa.StructArray | None]]:
     """Each row's shard and its answers from the buckets."""
     for i in range(batch.num_rows):
-        answers = batch.column(4)[i].as_py() if batch.num_columns > 4 else None
+        answers = batch.column(4)[i].values if batch.num_columns > 4 else None
         yield (
             batch.column(0)[i].as_py(),
             Shard(*(batch.column(k)[i].as_py() for k in (1, 2, 3)), length),
-            answers or [],
+            answers,
         )
 
 
-_ANCHORS = "bucket int, shard long, keys binary, shared binary"
+_ANCHORS = "bucket int, shard long, keys binary, held binary"
 
 
 def _send_anchors(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packs of anchors, with a byte for each: whether texts of the shard share it, and above that the steps of its count."""
     for batch in batches:
         for number, shard, _ in _shards(batch, length):
             keys, bucket, of = shard.anchors(buckets)
+            if not len(keys):
+                continue
             low = np.full(len(keys), len(shard.ids), dtype=np.int64)
             high = np.full(len(keys), -1, dtype=np.int64)
             np.minimum.at(low, of, shard.stretches.text)
             np.maximum.at(high, of, shard.stretches.text)
-            shared = low != high
-            heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, dtype=int)
-            spans = list(zip(heads, np.r_[heads[1:], len(keys)]))
-            if spans:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket[heads].astype(np.int32)),
-                        pa.array(np.full(len(spans), number), pa.int64()),
-                        pa.array([six_bytes(keys[a:b]) for a, b in spans], pa.binary()),
-                        pa.array([np.packbits(shared[a:b]).tobytes() for a, b in spans], pa.binary()),
-                    ],
-                    ["bucket", "shard", "keys", "shared"],
-                )
-
-
-_MARKS = "shard long, bucket int, shared binary, hot binary"
-
-
-def _answer_anchors(packs: pa.Table, hot_shards: int) -> pa.Table:
-    """A bit for each anchor sent: whether documents share it, and whether more than `hot_shards` shards do."""
-    keys = [from_six_bytes(x.as_py()) for x in packs["keys"]]
-    flags = [np.unpackbits(np.frombuffer(x.as_py(), dtype=np.uint8), count=len(k)) for x, k in zip(packs["shared"], keys)]
-    _, of, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    shared = (count > 1) | (np.bincount(of, weights=np.concatenate(flags), minlength=len(count)) > 0)
-    bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-    out_shared, out_hot, rows = [], [], []
-    for i in range(len(keys)):
-        mine = of[bounds[i] : bounds[i + 1]]
-        if shared[mine].any():
-            rows.append(i)
-            out_shared.append(np.packbits(shared[mine]).tobytes())
-            out_hot.append(np.packbits(count[mine] > hot_shards).tobytes())
-    take = packs.take(pa.array(rows, pa.int64()))
+            counts = np.minimum(np.bincount(of, minlength=len(keys)) // _STEP, 127)
+            held = ((low != high) + 2 * counts).astype(np.uint8)
+            heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            bounds = np.r_[heads, len(keys)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket[heads].astype(np.int32)),
+                    pa.array(np.full(len(heads), number), pa.int64()),
+                    binaries(six_bytes(keys), bounds * 6),
+                    binaries(held, bounds),
+                ],
+                ["bucket", "shard", "keys", "held"],
+            )
+
+
+_MARKS = "shard long, bucket int, flags binary"
+
+
+def _answer_anchors(packs: pa.Table, hot_shards: int, hot_stretches: int) -> pa.Table:
+    """A byte for each anchor sent: 0 if one document has it, 1 if more have, 2 if many shards or stretches have."""
+    keys, sizes = buffers(packs["keys"])
+    held, _ = buffers(packs["held"])
+    _, of, _ = numbered(from_six_bytes(keys))
+    count = np.bincount(of)
+    stretches = np.bincount(of, weights=held >> 1) * _STEP
+    shared = (count > 1) | (np.bincount(of, weights=held & 1) > 0)
+    hot = (count > hot_shards) | (stretches > hot_stretches)
+    flags = np.where(shared, 1 + hot, 0).astype(np.uint8)[of]
+    bounds = np.concatenate([[0], np.cumsum(sizes // 6)])
+    rows = np.flatnonzero(np.logical_or.reduceat(flags > 0, bounds[:-1]))
+    take = packs.select(["shard", "bucket"]).take(pa.array(rows, pa.int64()))
+    kept = np.concatenate([flags[bounds[i] : bounds[i + 1]] for i in rows]) if len(rows) else flags[:0]
     return pa.table(
         {
             "shard": take["shard"],
             "bucket": take["bucket"],
-            "shared": pa.array(out_shared, pa.binary()),
-            "hot": pa.array(out_hot, pa.binary()),
+            "flags": binaries(kept, np.concatenate([[0], np.cumsum(sizes[rows] // 6)])),
         }
     )
 
 
-_STRETCHES = "bucket int, shard long, at binary, strings binary, place binary, least binary, body binary"
+_STRETCHES = "bucket int, shard long, n int, pack binary"
 
 
 def _send_stretches(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for number, shard, marks in _shards(batch, length):
-            if marks:
+            if marks is not None and len(marks):
                 yield from _stretches_of(number, shard, marks, length, buckets)
 
 
-def _stretches_of(number: int, shard: Shard, marks: list[dict], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _planes(x: np.ndarray) -> bytes:
+    """First all lowest bytes, then all second ones, and so on: smaller when compressed."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _from_planes(raw: np.ndarray, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
+
+
+def _stretches_of(
+    number: int, shard: Shard, marks: pa.StructArray, length: int, buckets: int
+) -> Iterator[pa.RecordBatch]:
+    """Packs of stretches: first string, number of strings, anchor's place, smallest id, and the bytes."""
     keys, bucket, of = shard.anchors(buckets)
-    shared, hot = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
-    for mark in marks:
-        a, b = np.searchsorted(bucket, [mark["bucket"], mark["bucket"] + 1])
-        shared[a:b] = np.unpackbits(np.frombuffer(mark["shared"], dtype=np.uint8), count=b - a)
-        hot[a:b] = np.unpackbits(np.frombuffer(mark["hot"], dtype=np.uint8), count=b - a)
+    flags = np.zeros(len(keys), dtype=np.uint8)
+    given, sizes = buffers(marks.field("flags"))
+    begins = np.searchsorted(bucket, marks.field("bucket").to_numpy(zero_copy_only=False))
+    flags[np.repeat(begins, sizes) + steps(sizes)] = given
     all_ = shard.stretches
-    kind, kinds = all_.distinct()
-    least = np.full(len(kinds), NO_ID, dtype=np.int64)
-    np.minimum.at(least, kind, shard.ids[all_.text])
-    chosen = np.flatnonzero(shared[of[kinds]])
+    _, kinds, least = shard.kinds()
+    chosen = np.flatnonzero(flags[of[kinds]])
     sent, least = kinds[chosen], least[chosen]
     first, strings, place = all_.first[sent], all_.strings[sent], all_.place[sent]
     goes = bucket[of[sent]]
-    single = np.flatnonzero(hot[of[sent]])
+    single = np.flatnonzero(flags[of[sent]] == 2)
     if len(single):  # string by string, each to the bucket of its own hash
         times = strings[single]
-        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        step = steps(times)
         at = np.repeat(first[single], times) + step
         one = string_hashes(shard.data, at, length)
         rest = np.setdiff1d(np.arange(len(sent)), single)
@@ -395,26 +501,32 @@ def _stretches_of(number: int, shard: Shard, marks: list[dict], length: int, buc
         place = np.concatenate([place[rest], np.repeat(place[single], times) - step])
         least = np.concatenate([least[rest], np.repeat(least[single], times)])
         strings = np.concatenate([strings[rest], np.ones(len(at), dtype=np.int64)])
-        goes = np.concatenate([goes[rest], (one % np.uint64(buckets)).astype(np.int64)])
+        goes = np.concatenate([goes[rest], bucket_of(one & _KEY, buckets)])
+    if not len(goes):
+        return
     order = np.lexsort((first, goes))
     first, strings, place, least, goes = first[order], strings[order], place[order], least[order], goes[order]
-    heads = np.flatnonzero(np.r_[True, goes[1:] != goes[:-1]]) if len(goes) else []
-    for a, b in zip(heads, np.r_[heads[1:], len(goes)] if len(goes) else []):
-        sizes = strings[a:b] + length - 1
-        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        body = shard.data[np.repeat(first[a:b], sizes) + within]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([goes[a]], pa.int32()),
-                pa.array([number], pa.int64()),
-                pa.array([squeeze(first[a:b].astype(np.int64))], pa.binary()),
-                pa.array([squeeze(strings[a:b].astype(np.uint8))], pa.binary()),
-                pa.array([squeeze(place[a:b].astype(np.uint8))], pa.binary()),
-                pa.array([squeeze(least[a:b])], pa.binary()),
-                pa.array([squeeze(body)], pa.binary()),
-            ],
-            ["bucket", "shard", "at", "strings", "place", "least", "body"],
+    heads = np.flatnonzero(np.r_[True, goes[1:] != goes[:-1]])
+    packs, press = [], zstandard.ZstdCompressor(level=3)
+    for a, b in zip(heads, np.r_[heads[1:], len(goes)]):
+        lengths = strings[a:b] + length - 1
+        parts = (
+            _planes(first[a:b].astype(np.uint32)),
+            strings[a:b].astype(np.uint8).tobytes(),
+            place[a:b].astype(np.uint8).tobytes(),
+            _planes(least[a:b]),
+            shard.data[np.repeat(first[a:b], lengths) + steps(lengths)].tobytes(),
         )
+        packs.append(press.compress(b"".join(parts)))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(goes[heads].astype(np.int32)),
+            pa.array(np.full(len(heads), number), pa.int64()),
+            pa.array(np.diff(np.r_[heads, len(goes)]).astype(np.int32)),
+            pa.array(packs, pa.binary()),
+        ],
+        ["bucket", "shard", "n", "pack"],
+    )
 
 
 def string_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -424,42 +536,44 @@ def string_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-_LEAST = "shard long, at binary, strings binary, least binary"
+_LEAST = "shard long, n int, pack binary"
 
 
 def _answer_stretches(packs: pa.Table, length: int) -> pa.Table:
-    """The smallest id for each string sent; stretches of which no string has a smaller id are left out."""
-    parts = {c: [unsqueeze(x.as_py(), k) for x in packs[c]] for c, k in (("at", np.int64), ("strings", np.uint8), ("place", np.uint8), ("least", np.int64), ("body", np.uint8))}
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts["at"]])])
-    strings = np.concatenate(parts["strings"]).astype(np.int64)
-    place, ids, data = (np.concatenate(parts[c]) for c in ("place", "least", "body"))
-    sizes = strings + length - 1
-    first = np.cumsum(sizes) - sizes
+    """Packs of stretches for which some string has a smaller id than the one sent: the smallest id for each string."""
+    counts = packs["n"].to_numpy().astype(np.int64)
+    parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+    for n, pack in zip(counts, packs["pack"]):
+        raw = unsqueeze(pack.as_py(), np.uint8)
+        cuts = np.cumsum([4 * n, n, n, 8 * n])
+        for part, x in zip(parts, np.split(raw, cuts)):
+            part.append(x)
+    at = [_from_planes(x, np.uint32) for x in parts[0]]
+    strings, place = (np.concatenate(parts[k]).astype(np.int64) for k in (1, 2))
+    ids = np.concatenate([_from_planes(x, np.int64) for x in parts[3]])
+    text = HashedText(np.concatenate(parts[4]), length)
+    del parts
+    lengths = strings + length - 1
+    first = np.cumsum(lengths) - lengths
     # Equal stretches become one before their suffixes are sorted.
-    whole = Stretches.__new__(Stretches)
-    whole.data, whole.length, whole.first, whole.strings = data, length, first, strings
-    kind, kinds = whole.distinct()
+    kind, kinds = distinct(text, first, lengths)
     least = np.full(len(kinds), NO_ID, dtype=np.int64)
     np.minimum.at(least, kind, ids)
-    times = strings[kinds]
-    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    starts = np.repeat(first[kinds], times) + step
-    spot = np.repeat(place[kinds].astype(np.int64), times) - step
-    anchors = HashedText(data).hashes(first[kinds] + place[kinds], min(ANCHOR, length))
-    _, groups = np.unique(mix(np.repeat(anchors, times)) + spot.astype(np.uint64), return_inverse=True)
-    found = least_of_equals(data, starts, groups, np.repeat(least, times), length)
-    kind_at = np.cumsum(times) - times
-    rows, out = [], []
-    for i in range(len(parts["at"])):
-        a, b = bounds[i], bounds[i + 1]
-        n = strings[a:b]
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        mine = found[np.repeat(kind_at[kind[a:b]], n) + within]
-        if (mine < NO_ID).any():
-            rows.append(i)
-            out.append(squeeze(mine))
-    take = packs.take(pa.array(rows, pa.int64()))
-    return pa.table({"shard": take["shard"], "at": take["at"], "strings": take["strings"], "least": pa.array(out, pa.binary())})
+    found = least_of_equals(text, first[kinds], strings[kinds], place[kinds], least, length)
+    kind_at = np.cumsum(strings[kinds]) - strings[kinds]
+    smaller = np.minimum.reduceat(found, kind_at)[kind] < ids
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    rows, sizes, out, press = [], [], [], zstandard.ZstdCompressor(level=3)
+    for i in np.flatnonzero(np.logical_or.reduceat(smaller, bounds[:-1])):
+        of = np.flatnonzero(smaller[bounds[i] : bounds[i + 1]])
+        mine = bounds[i] + of
+        times = strings[mine]
+        values = found[np.repeat(kind_at[kind[mine]], times) + steps(times)]
+        rows.append(i)
+        sizes.append(len(of))
+        out.append(press.compress(_planes(at[i][of]) + times.astype(np.uint8).tobytes() + _planes(values)))
+    take = packs.select(["shard"]).take(pa.array(rows, pa.int64()))
+    return pa.table({"shard": take["shard"], "n": pa.array(sizes, pa.int32()), "pack": pa.array(out, pa.binary())})
 
 
 _KEPT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
@@ -471,25 +585,42 @@ def _mark(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             yield _kept(shard, covered(shard, answers, length))
 
 
-def covered(shard: Shard, answers: list[dict], length: int) -> np.ndarray:
+def covered(shard: Shard, answers: pa.StructArray | None, length: int) -> np.ndarray:
     """Which bytes lie in a string with a smaller id than their text's."""
     n = len(shard.data)
-    if not answers:
-        return np.zeros(n, dtype=bool)
-    least = np.full(n, NO_ID, dtype=np.int64)
-    for answer in answers:
-        at, strings = unsqueeze(answer["at"], np.int64), unsqueeze(answer["strings"], np.uint8).astype(np.int64)
-        step = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
-        least[np.repeat(at, strings) + step] = unsqueeze(answer["least"], np.int64)
     all_ = shard.stretches
-    kind, kinds = all_.distinct()
-    times = all_.strings
-    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    same = np.repeat(all_.first[kinds[kind]], times) + step
-    hit = least[same] < np.repeat(shard.ids[all_.text], times)
-    at = (np.repeat(all_.first, times) + step)[hit]
-    change = np.bincount(at, minlength=n + 1) - np.bincount(at + length, minlength=n + 1)
-    return np.cumsum(change)[:n] > 0
+    kind, kinds, least = shard.kinds()
+    ids = shard.ids[all_.text]
+    packs = [] if answers is None else [
+        (size.as_py(), unsqueeze(pack.as_py(), np.uint8)) for size, pack in zip(answers.field("n"), answers.field("pack"))
+    ]
+    # The answered stretch, or the one that holds an answered string.
+    places = [_from_planes(raw[: 4 * size], np.uint32).astype(np.int64) for size, raw in packs]
+    stretch = [np.searchsorted(all_.first, at, side="right") - 1 for at in places]
+    answered = np.zeros(len(kinds), dtype=bool)
+    for of in stretch:
+        answered[kind[of]] = True
+    times = np.where(answered, all_.strings[kinds], 0)
+    begins = np.cumsum(times) - times
+    smallest = np.repeat(least, times)
+    for (size, raw), at, of in zip(packs, places, stretch):
+        strings = raw[4 * size : 5 * size].astype(np.int64)
+        goes = begins[kind[of]] + at - all_.first[of]
+        smallest[np.repeat(goes, strings) + steps(strings)] = _from_planes(raw[5 * size :], np.int64)
+    change = np.zeros(n + 1, dtype=np.int32)
+    whole = np.flatnonzero(~answered[kind] & (least[kind] < ids))
+    change[all_.first[whole]] += 1
+    change[all_.first[whole] + all_.strings[whole] + length - 1] -= 1
+    single = np.flatnonzero(answered[kind])
+    for i in range(0, len(single), _AT_ONCE):
+        part = single[i : i + _AT_ONCE]
+        times = all_.strings[part]
+        step = steps(times)
+        hit = smallest[np.repeat(begins[kind[part]], times) + step] < np.repeat(ids[part], times)
+        at = (np.repeat(all_.first[part], times) + step)[hit]
+        change[at] += 1
+        change[at + length] -= 1
+    return np.cumsum(change, dtype=np.int32)[:n] > 0
 
 
 def _kept(shard: Shard, gone: np.ndarray) -> pa.RecordBatch:
@@ -524,6 +655,7 @@ def remove_repeats(
     text_col: str = "text",
     shard_bytes: int = SHARD_BYTES,
     hot_shards: int = HOT_SHARDS,
+    hot_stretches: int = HOT_STRETCHES,
 ) -> DataFrame:
     """doc_id, n_bytes, the removed spans (byte ranges, maximal, in order) and the kept bytes of every text.
 
@@ -533,16 +665,16 @@ def remove_repeats(
     Null text is empty. A null id counts as larger than every id, so such a row loses what others hold and
     takes nothing from them. Rows with one id take nothing from each other. No rows give no rows.
 
-    Texts are shuffled once, compressed; what else moves are packs of one shard for one bucket. There are four buckets
-    per shuffle partition, or one for every two shards if that is more, so that a bucket's size does not
-    grow with the input where the setting does not.
+    Texts are shuffled once, compressed; what else moves are packs of one shard for one bucket. There is a bucket for
+    every two shards, so that a bucket's size does not grow with the input, or four for each shuffle partition up
+    to `MOST_SPREAD` if that is more.
     """
     spark = docs.sparkSession
     given = docs.select(
         docs[quoted(id_col)].cast("long").alias("id"), docs[quoted(text_col)].cast("string").alias("text")
     )
     shards = stored(given.mapInArrow(lambda it: _cut(it, shard_bytes), _SHARDS), "shards")
-    buckets = max(4 * partitions(spark), shards.count() // 2)
+    buckets = max(min(4 * partitions(spark), MOST_SPREAD), shards.count() // 2)
 
     def with_answers(packs: DataFrame) -> DataFrame:
         fields = [c for c in packs.columns if c != "shard"]
@@ -550,7 +682,7 @@ def remove_repeats(
         return shards.join(lists, "shard", "left").select("shard", "ids", "sizes", "body", "answers")
 
     anchors = shards.mapInArrow(lambda it: _send_anchors(it, length, buckets), _ANCHORS)
-    marks = anchors.groupBy("bucket").applyInArrow(lambda t: _answer_anchors(t, hot_shards), _MARKS)
+    marks = anchors.groupBy("bucket").applyInArrow(lambda t: _answer_anchors(t, hot_shards, hot_stretches), _MARKS)
     sent = with_answers(marks).mapInArrow(lambda it: _send_stretches(it, length, buckets), _STRETCHES)
     least = sent.groupBy("bucket").applyInArrow(lambda t: _answer_stretches(t, length), _LEAST)
     return with_answers(least).mapInArrow(lambda it: _mark(it, length), _KEPT)
