@@ -69,3 +69,13 @@ def test_many_stretches_under_one_anchor(spark, hot_stretches):
         "doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("spans"), F.sha2("kept", 256)
     )
     assert by_key(found.collect()) == brute_repeats(rows)
+
+
+def test_short_texts_make_full_shards(spark):
+    texts = spark.range(4000, numPartitions=1).select("id", F.lit("some thirty bytes of text, each").alias("text"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        shards = texts.mapInArrow(lambda it: repeats._cut(it, 50_000), repeats._SHARDS).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert shards == 3

@@ -45,8 +45,8 @@ NO_ID = np.iinfo(np.int64).max
 
 #: Stretches whose suffixes are sorted, or whose strings are marked, at once; whole anchors are not cut.
 _AT_ONCE = 1 << 17
-#: Stretches of a shard under one anchor are counted in steps of this many, up to 127 steps.
-_STEP = 32
+#: The numbers of stretches of a shard under one anchor are sent rounded down to one of these.
+_COUNTS = 32 * (2 ** (np.arange(128) / 8) - 1)
 
 _PLACE = np.uint64((1 << 24) - 1)
 _KEY = np.uint64((1 << 48) - 1)
@@ -374,19 +374,26 @@ _SHARDS = "shard long, ids binary, sizes binary, body binary"
 
 def _cut(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # ids, sizes and bytes of the next shard
     for batch in batches:
         ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-        for block in blocks(batch.column(1), shard_bytes):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number], pa.int64()),
-                    pa.array([ids[block.first : block.last].astype(np.int64).tobytes()], pa.binary()),
-                    pa.array([np.diff(block.offsets).astype(np.int64).tobytes()], pa.binary()),
-                    pa.array([squeeze(block.data)], pa.binary()),
-                ],
-                ["shard", "ids", "sizes", "body"],
-            )
-            number += 1
+        for block in blocks(batch.column(1), max(shard_bytes // 8, 1)):
+            if held and sum(len(x[2]) for x in held) + len(block.data) > shard_bytes:
+                yield _shard_row(number, held)
+                number, held = number + 1, []
+            part = ids[block.first : block.last], np.diff(block.offsets), block.data
+            held.append(tuple(x.astype(kind) for x, kind in zip(part, (np.int64, np.int64, np.uint8))))
+    if held:
+        yield _shard_row(number, held)
+
+
+def _shard_row(number: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    ids, sizes, data = (np.concatenate(x) for x in zip(*held))
+    values = ids.tobytes(), sizes.tobytes(), squeeze(data)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in values)],
+        ["shard", "ids", "sizes", "body"],
+    )
 
 
 def _shards(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, Shard, pa.StructArray | None]]:
@@ -404,7 +411,7 @@ _ANCHORS = "bucket int, shard long, keys binary, held binary"
 
 
 def _send_anchors(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packs of anchors, with a byte for each: whether texts of the shard share it, and above that the steps of its count."""
+    """Packs of anchors, with a byte for each: whether texts of the shard share it, and above that its count's place."""
     for batch in batches:
         for number, shard, _ in _shards(batch, length):
             keys, bucket, of = shard.anchors(buckets)
@@ -414,7 +421,7 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], length: int, buckets: int)
             high = np.full(len(keys), -1, dtype=np.int64)
             np.minimum.at(low, of, shard.stretches.text)
             np.maximum.at(high, of, shard.stretches.text)
-            counts = np.minimum(np.bincount(of, minlength=len(keys)) // _STEP, 127)
+            counts = np.searchsorted(_COUNTS, np.bincount(of, minlength=len(keys)), side="right") - 1
             held = ((low != high) + 2 * counts).astype(np.uint8)
             heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             bounds = np.r_[heads, len(keys)]
@@ -438,7 +445,7 @@ def _answer_anchors(packs: pa.Table, hot_shards: int, hot_stretches: int) -> pa.
     held, _ = buffers(packs["held"])
     _, of, _ = numbered(from_six_bytes(keys))
     count = np.bincount(of)
-    stretches = np.bincount(of, weights=held >> 1) * _STEP
+    stretches = np.bincount(of, weights=_COUNTS[held >> 1])
     shared = (count > 1) | (np.bincount(of, weights=held & 1) > 0)
     hot = (count > hot_shards) | (stretches > hot_stretches)
     flags = np.where(shared, 1 + hot, 0).astype(np.uint8)[of]
